@@ -14,26 +14,33 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in SENTENCE.finditer(text)]
+def features(word: str) -> tuple[str, ...]:
+    """The word, and its beginnings of four and six letters, which inflected and compound forms share."""
+    return word, word[:4] + "*", word[:6] + "*"
 
 
 class Model:
-    """P(document) = 1 - (1 - leak) * product over sentences of (1 - logistic(bias + sum of the weights of its distinct words))."""
+    """P(document) = 1 - (1 - leak) * product over sentences of (1 - logistic(bias + sum of the weights of its distinct words' features))."""
 
     def __init__(self, weights: dict[str, float], bias: float, leak: float) -> None:
         self.weights, self.bias, self.leak = weights, bias, leak
+        self.known: dict[str, float] = {}
         self.quiet = float(np.logaddexp(0, bias))  # -log(1 - p) of a sentence without a known word
 
     def score(self, text: str) -> tuple[float, int, int, float]:
         """Score of the text; begin, end and score of its worst sentence (-1, -1, 0 if there is none)."""
-        get, lower = self.weights.get, text.lower()
+        known, lower = self.known, text.lower()
+        if len(known) > 500_000:
+            known.clear()
         own = lower if len(lower) == len(text) else "".join(c.lower()[0] for c in text)
         total, top, where = -np.log1p(-self.leak), -np.inf, (-1, -1)
         for m in SENTENCE.finditer(own):
             s = 0.0
             for w in set(WORD.findall(m[0])):
-                s += get(w, 0.0)
+                v = known.get(w)
+                if v is None:
+                    v = known[w] = sum(self.weights.get(x, 0.0) for x in features(w))
+                s += v
             if s == 0.0:
                 total += self.quiet
             else:
@@ -43,15 +50,15 @@ class Model:
         return float(-np.expm1(-total)), *where, float(1 / (1 + np.exp(-self.bias - top))) if where[0] >= 0 else 0.0
 
 
-def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, features: int = 4000, rounds: int = 150) -> Model:
-    """Trains by gradient on the likelihood of the noisy-or. Words are chosen by how far their odds between labels stand from chance."""
+def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, most: int = 4000, rounds: int = 150) -> Model:
+    """Trains by gradient on the likelihood of the noisy-or. Features are chosen by how far their odds between labels stand from chance."""
     seen: dict[str, list[float]] = {}
     bags = []
     for text, y, w in zip(texts, labels, weight):
         own = text.lower()
         bag = [set(WORD.findall(m[0])) for m in SENTENCE.finditer(own)]
         bags.append(bag)
-        for x in set().union(*bag) if bag else ():
+        for x in {f for w in set().union(*bag) for f in features(w)} if bag else ():
             n = seen.setdefault(x, [0.0, 0.0])
             n[int(y)] += 1
     total = np.array([(labels == 0).sum(), (labels == 1).sum()], float) + 1
@@ -59,14 +66,14 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, features: int
     n = np.array([seen[x] for x in words]).reshape(-1, 2)
     share = (n.sum(1) + 1) / total.sum()
     z = np.abs(n[:, 1] - total[1] * share) / np.sqrt(total[1] * share * (1 - share) * total[0] / total.sum() + 1e-9)
-    best = np.argsort(-z, kind="stable")[:features]
-    best = best[z[best] >= 2.5]
+    best = np.argsort(-z, kind="stable")[:most]
+    best = best[z[best] >= 4]
     names = sorted(words[i] for i in best)
     column = {x: i for i, x in enumerate(names)}
     rows, cols, docs = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
-            known = [column[x] for x in s if x in column]
+            known = [column[f] for x in s for f in features(x) if f in column]
             rows += [len(docs)] * len(known)
             cols += known
             docs.append(d)
@@ -94,7 +101,7 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = 4000, clean: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on at most ``toxic`` documents of label 1 and ``clean`` of label 0, those of the smallest id hashes outside the held-out fold.
 
     The classes are weighted back to their shares among all labelled rows. Null labels are left out; of several labels
@@ -119,7 +126,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_co
     ``worst_*``: the sentence with the highest score, in code points (-1 where a text has none). Null and empty texts
     get the leak alone; equal texts get equal scores; every row gives a row. The score sees nothing but the text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))  # at most ``features`` words
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))  # a bounded number of features
 
     def work(cols: dict) -> dict:
         own = Model(*shared.value)
