@@ -41,6 +41,15 @@ class Huffman:
             for (length, c), s in self.codes.items():
                 for extra in range(1 << s):
                     self.bytes_of[c << s | extra] = _signed(extra, s)
+            good = np.flatnonzero(self.bytes_of > -(1 << 20))
+            self.top, self.zero, self._shifted = int(good.max()), bool((self.bytes_of[good] == 0).any()), {}
+            if len(good) != self.top + 1:  # canonical codes leave gaps only above
+                self.bytes_of = None
+
+    def shifted(self, al: int) -> np.ndarray:
+        if al not in self._shifted:
+            self._shifted[al] = np.sign(self.bytes_of) * (np.abs(self.bytes_of) << al)
+        return self._shifted[al]
 
 
 def _signed(bits: int, size: int) -> int:
@@ -87,7 +96,7 @@ def encode_payload(payload: bytes) -> bytes:
     """A progressive 4:2:0 JPEG whose quantised coefficients are the payload's bytes, one each, in zigzag order of its blocks.
 
     Bytes become DC values from -128 to 127 and AC values of magnitude 2 to 129: no AC value vanishes in the first pass
-    of successive approximation. Scans: DC without its last bit, AC 1-5 and 6-63 of each component without theirs, then
+    of successive approximation. Scans: DC without its last bit, AC of chroma, and of luma in bands 1-5 and 6-63, without theirs, then
     the last bits. The Huffman tables are made so that a code and its extra bits fill a byte, whatever the value.
     """
     n = max(1, -(-len(payload) // 384))
@@ -121,9 +130,8 @@ def encode_payload(payload: bytes) -> bytes:
     for place, spec in ((0x00, dc_spec), (0x10, ac_spec), (0x11, eob_spec)):
         out.append(_segment(0xC4, bytes([place]) + spec[0] + spec[1]))
     out.append(scan([0, 1, 2], 0, 0, 0, 1, 0x00, dc_codes[diff + 127].tobytes()))
-    for ss, se in ((1, 5), (6, 63)):
-        for c, plane in enumerate(planes):
-            out.append(scan([c], ss, se, 0, 1, 0x00, first_of[plane[:, ss : se + 1]].tobytes()))
+    for c, ss, se in ((0, 1, 5), (1, 1, 63), (2, 1, 63), (0, 6, 63)):
+        out.append(scan([c], ss, se, 0, 1, 0x00, first_of[planes[c][:, ss : se + 1]].tobytes()))
     out.append(scan([0, 1, 2], 0, 0, 1, 0, 0x00, packed((dc & 1).astype(np.uint8))))
     for c, plane in enumerate(planes):
         bits = last_of[plane]
@@ -169,7 +177,7 @@ class Jpeg:
         """``serial``: read every scan bit by bit, also those that could be read byte by byte."""
         if data[:2] != b"\xff\xd8":
             raise ValueError("no JPEG")
-        self.serial, self.comment, self.quant, self.tables, self.restart = serial, b"", {}, {}, 0
+        self.serial, self.comment, self.quant, self.tables, self.restart, self.orders = serial, b"", {}, {}, 0, {}
         at = 2
         while at < len(data):
             marker = data[at + 1]
@@ -230,7 +238,9 @@ class Jpeg:
                 i += 2
         runs.append(data[start:end])
         runs = [r.replace(b"\xff\x00", b"\xff") for r in runs]
-        blocks = self._order(chosen)
+        if (key := tuple(chosen)) not in self.orders:
+            self.orders[key] = self._order(chosen)
+        blocks = self.orders[key]
         if self.serial or self.restart or not self._by_bytes(blocks, chosen, tables, ss, se, ah, al, runs[0]):
             self._by_bits(blocks, len(chosen), tables, ss, se, ah, al, runs)
         return end
@@ -258,11 +268,9 @@ class Jpeg:
                 values = np.unpackbits(raw)[:n].reshape(-1, width).astype(np.int32) << al
             else:
                 table = self.tables[tables[0] >> 4]
-                if len(set(tables)) > 1 or table.bytes_of is None or raw.size != n:
+                if len(set(tables)) > 1 or table.bytes_of is None or raw.size != n or n and raw.max() > table.top:
                     return False
                 values = table.bytes_of[raw].reshape(-1, width)
-                if values.size and values.min() < -(1 << 19):
-                    return False
             first = 0
             for c, places in blocks:
                 own, flat = values[:, first : first + places.shape[1]], self.coefficients[c].reshape(-1, 64)
@@ -270,25 +278,25 @@ class Jpeg:
                 if ah:
                     flat[places.ravel(), 0] |= own.ravel()
                 else:
-                    flat[places.ravel(), 0] = np.cumsum(own.ravel()) << al
+                    flat[places.ravel(), 0] = own.ravel().cumsum() << al
             return True
         (c, places), band, table = blocks[0], se - ss + 1, self.tables[0x10 | tables[0] & 15]
-        flat, places = self.coefficients[c].reshape(-1, 64), places.ravel()
+        flat = self.coefficients[c].reshape(-1, 64)
+        rows = slice(None) if n == len(flat) else places.ravel()
         if not ah:
-            if table.bytes_of is None or raw.size != n * band:
-                return False
-            values = table.bytes_of[raw]
-            if values.size and (values.min() < -(1 << 19) or not values.all()):
+            if table.bytes_of is None or table.zero or raw.size != n * band or n and raw.max() > table.top:
                 return False
-            flat[places, ss : se + 1] = (np.abs(values) << al).reshape(-1, band) * np.sign(values).reshape(-1, band)
+            flat[rows, ss : se + 1] = table.shifted(al)[raw].reshape(-1, band)
             return True
-        old = flat[places, ss : se + 1]
-        if table.codes.get((1, 0)) != 0 or raw.size != -(-n * (band + 1) // 8) or not old.all():
+        if table.codes.get((1, 0)) != 0 or raw.size != -(-n * (band + 1) // 8):
             return False
+        old = flat[rows, ss : se + 1]
         bits = np.unpackbits(raw)[: n * (band + 1)].reshape(n, band + 1)
-        if bits[:, 0].any():
+        if bits[:, 0].any() or not old.all():
             return False
-        flat[places, ss : se + 1] = old + np.sign(old) * (bits[:, 1:].astype(np.int32) << al)
+        more = bits[:, 1:].astype(np.int32) << al
+        np.negative(more, out=more, where=old < 0)
+        flat[rows, ss : se + 1] = old + more
         return True
 
     def _by_bits(self, blocks, n_parts, tables, ss, se, ah, al, runs) -> None:
