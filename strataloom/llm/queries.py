@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, media, mixing, secrets, toxicity
+from . import bpe, lines, lm, media, minhash, mixing, secrets, toxicity, vectors
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -33,6 +37,14 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read(spark, sf_dir, "documents"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(read(spark, sf_dir, "documents"))
 

@@ -135,3 +135,19 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_co
 
     out = per_batch(whole_texts(docs, id_col, text_col), work, "doc_id long, score double, predicted int, worst_start long, worst_end long, worst_score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "worst_start", "worst_end", "worst_score")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns and their values stay as they are."""
+    import pyarrow as pa
+
+
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))  # a bounded number of features
+
+    def keep(batches):
+        own = Model(*shared.value)
+        for batch in batches:
+            flags = [own.score(t or "")[0] < threshold for t in batch[text_col].to_pylist()]
+            yield batch.filter(pa.array(flags))
+
+    return docs.mapInArrow(keep, docs.schema)
