@@ -25,6 +25,9 @@ def per_batch(df: DataFrame, work: Callable[[list[dict]], dict] | Callable, sche
     Batches are cut to a few MB, so a task never holds more than that and one row, however long the texts.
     """
     spark = df.sparkSession
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= 1024:
+        spark.conf.set(rows, "1024")  # texts make large rows
     target = [(f.name, f.dataType) for f in _parsed(spark, schema).fields]
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -4,56 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import staged, unstaged
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame:
+def link_buckets(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame:
     """(node, component) under the links that ``verify`` leaves of the pairs of nodes that share a bucket.
 
-    ``buckets``: (key, node), distinct. ``verify``: from (a, b) to those of them that are linked. The components are
-    those of comparing every pair in every bucket, yet most pairs never arise:
+    ``buckets``: (key, node), distinct. ``traits``: (node, s). ``near``: a condition on two ``s`` that every linked pair
+    meets; it is part of the joins, so that no other pair becomes a row. ``verify``: from (a, b), which are near, to
+    those of them that are linked. The components are those of comparing every pair in every bucket, yet most pairs
+    never arise:
 
     - in each bucket the nodes are compared with its smallest one, then those of other components than the bucket's
       largest are compared with a middle node of that one (``stars`` rounds, one pair for each node and bucket);
     - a bucket whose nodes are all in one component by then is done, however large it is;
     - in the others, the nodes outside the largest component are compared with all nodes of other components that
-      they have not been compared with. So a group of m copies of which r stay apart costs m + r * m pairs, not m * m.
+      they have not been compared with. So of a group of m copies of which r stay apart, r * m pairs are looked at and only
+      those that are near become rows.
     """
+    left, right = traits.select(F.col("node").alias("a"), F.col("s").alias("_sa")), traits.select(F.col("node").alias("b"), F.col("s").alias("_sb"))
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        return staged(pairs.join(left, "a").join(right, "b").filter(near(F.col("_sa"), F.col("_sb"))).select("a", "b"), "near")
+
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     shared = staged(buckets.join(sizes, "key"), "buckets")
     least = shared.groupBy("key").agg(F.min("node").alias("a"))
-    done = staged(shared.join(least, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    done = sifted(shared.join(least, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct())
     links = staged(verify(done), "links")
     comps = connected_components(links)
     for turn in range(stars):
         placed = staged(_placed(shared, comps), "placed")
         last = turn == stars - 1
-        top = F.max(F.struct("n", "comp", "mid"))
         by = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("mid"))
-        open_ = by.groupBy("key").agg(F.count("*").alias("parts"), top.alias("top")).filter("parts > 1").select("key", F.col("top.comp").alias("main"), F.col("top.mid").alias("mid"))
+        open_ = by.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp", "mid")).alias("top")).filter("parts > 1").select("key", F.col("top.comp").alias("main"), F.col("top.mid").alias("mid"))
         members = placed.join(open_, "key")
-        others = members.filter("comp != main")
         if not last:
-            pairs = others.select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b"))
+            found = sifted(members.filter("comp != main").select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
         else:
-            left = others.select("key", F.col("node").alias("x"), F.col("comp").alias("xc"))
-            right = members.select("key", F.col("node").alias("y"), F.col("comp").alias("yc"), "main")
-            pairs = left.join(right, "key").filter("xc != yc and (yc = main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        new = staged(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        more = staged(verify(new), "links")
-        if more.isEmpty():
-            unstaged(placed)
-            if last:
-                break
-            done = staged(done.union(new), "pairs")
-            continue
-        links, done = links.union(more), done.union(new)
-        comps = connected_components(links)
+            held = members.join(traits, "node")
+            x = held.filter("comp != main").select("key", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("s").alias("xs"))
+            y = held.select("key", F.col("node").alias("y"), F.col("comp").alias("yc"), F.col("s").alias("ys"), "main")
+            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & near(F.col("xs"), F.col("ys")))
+            found = staged(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "near")
+        more = staged(verify(found), "links")
         unstaged(placed)
+        done = done.union(found)
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = connected_components(links)
     return comps
 
 

@@ -14,8 +14,8 @@ from .linking import link_buckets
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch, as 64-bit words.
-WORDS = 8
+#: MinHash samples of one permutation, the least of each bin, which an odd sketch folds into this many 64-bit words.
+BINS, WORDS = 1024, 32
 
 
 class _WordHashes(dict):
@@ -52,8 +52,12 @@ def _functions() -> tuple:
     return rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32), rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(own: np.ndarray, functions: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and the odd sketch of a set: each MinHash sample flips one bit of the sketch."""
+def signature(own: np.ndarray, functions: tuple) -> tuple[np.ndarray, np.ndarray, int]:
+    """Band keys of a set, its odd sketch, and how many samples that holds.
+
+    The bands take ``SAMPLES`` independent MinHash values. The sketch takes one permutation's least value in each of
+    ``BINS`` bins, as many as have any, and each of these samples flips one bit: equal samples of two sets cancel out.
+    """
     a, b, r = functions
     x = (own >> np.uint64(32)).astype(np.uint32)
     least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
@@ -61,33 +65,45 @@ def signature(own: np.ndarray, functions: tuple) -> tuple[np.ndarray, np.ndarray
         least = np.minimum(least, (x[None, i : i + 4096] * a[:, None] + b[:, None]).min(1))
     bands = least.reshape(BANDS, ROWS).astype(np.uint64)
     keys = _mix((bands * r).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    places = _mix(least.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(64 * WORDS)
+    z = np.sort(_mix(own))  # by bin, which the highest bits name, then by value
+    bins = z >> np.uint64(54)
+    samples = z[np.concatenate([[True], bins[1:] != bins[:-1]])]
+    places = _mix(samples) % np.uint64(64 * WORDS)
     odd = np.bincount(places.astype(np.int64), minlength=64 * WORDS) & 1
-    return keys.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return keys.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64), len(samples)
 
 
 def features(docs: DataFrame, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, f0, f1, keys array<long>, odd array<long>): size, 128-bit identity, band keys and odd sketch of each text's set."""
+    """(doc_id, n, f0, f1, keys array<long>, odd array<long>, filled): size, 128-bit identity, band keys and odd sketch of each text's set."""
 
     def work(cols: dict) -> dict:
         known, functions = kept_in_worker(("word hashes",), _WordHashes), kept_in_worker(("minhash functions",), _functions)
-        out = {k: [] for k in ("n", "f0", "f1", "keys", "odd")}
+        out = {k: [] for k in ("n", "f0", "f1", "keys", "odd", "filled")}
         for text in cols["text"]:
             own = shingles(text, known, words)
-            keys, odd = signature(own, functions) if len(own) else (np.zeros(0, np.int64), np.zeros(WORDS, np.int64))
+            keys, odd, filled = signature(own, functions) if len(own) else (np.zeros(0, np.int64), np.zeros(WORDS, np.int64), 0)
             f = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-            for k, v in zip(out, (len(own), int(f[0]), int(f[1]), keys, odd)):
+            for k, v in zip(out, (len(own), int(f[0]), int(f[1]), keys, odd, filled)):
                 out[k].append(v)
         return {"doc_id": cols["doc_id"]} | out
 
-    return per_batch(whole_texts(docs, id_col, text_col), work, "doc_id long, n long, f0 long, f1 long, keys array<long>, odd array<long>")
+    return per_batch(whole_texts(docs, id_col, text_col), work, "doc_id long, n long, f0 long, f1 long, keys array<long>, odd array<long>, filled int")
 
 
-def estimate(a: str, b: str):
-    """Similarity of two sets from the odd bits of their sketches' XOR; null where the sketches are too unlike to tell."""
-    bits = 64 * WORDS
-    odd = sum((F.bit_count(F.element_at(a, i).bitwiseXOR(F.element_at(b, i))) for i in range(1, WORDS + 1)), F.lit(0))
-    return F.when(odd * 2 < bits, 1 + F.log(1 - 2 * odd / F.lit(float(bits))) * (bits / 2) / (2 * SAMPLES))
+def may_reach(a, b, least: float, margin: float = 0.075):
+    """Whether two sets (structs of odd, filled, n) may be at a similarity of ``least``, by sizes and by the odd bits of their sketches' XOR.
+
+    d odd bits of B stand for -B / 2 * log(1 - 2 d / B) samples that only one side has; what is left of both is equal.
+    At a similarity of ``least`` so many bins would have a sample of either set, and ``least`` of them equal ones. The
+    margin is five standard errors of that share, which are 0.006 for a text of 400 words and at most 0.015.
+    """
+    bits = float(64 * WORDS)
+    odd = sum((F.bit_count(F.element_at(a["odd"], i).bitwiseXOR(F.element_at(b["odd"], i))) for i in range(1, WORDS + 1)), F.lit(0))
+    differ = F.when(odd * 2 < bits, -F.log(1 - 2 * odd / F.lit(bits)) * (bits / 2)).otherwise(F.lit(1e18))
+    equal = (a["filled"] + b["filled"] - differ) / 2
+    either = (1 - F.exp(-(a["n"] + b["n"]) / F.lit((1 + least) * BINS))) * BINS
+    sizes = F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * F.lit(least) - 1e-6
+    return sizes & (equal >= either * (least - margin) - 3)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,20 +111,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Texts of equal sets are one node, the smallest id of them. The 160 MinHash samples of a node make 32 bands of 5 (a
     pair at 0.8 shares no band with probability 3e-6); nodes that share a band are compared as ``link_buckets`` says.
-    A pair goes on if the odd sketches put it at ``percent`` less 18 points or more, over five standard errors, and is
-    linked if its full sets say so. Texts without words have no shingles and stay alone. Rows of one id count as one
+    A pair goes on if the odd sketches say that it may reach ``percent`` (``may_reach``), and is linked if its full
+    sets say so. Texts without words have no shingles and stay alone. Rows of one id count as one
     document in links; rows without an id are linked with nothing (component null) and kept.
     """
     table = staged(features(docs, words, id_col, text_col), "features")
-    nodes = table.filter("n > 0 and doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"))
+    nodes = table.filter("n > 0 and doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("filled").alias("filled"))
     nodes = staged(nodes, "nodes")
     buckets = nodes.select(F.explode("keys").alias("key"), "node").distinct()
-    least = percent / 100 - 0.18
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (nodes.select(F.col("node").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-        near = pairs.join(left, "a").join(right, "b").filter(estimate("odd_a", "odd_b") >= least)
-        near = staged(near.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct(), "near")
+    def verify(near: DataFrame) -> DataFrame:
         need = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = whole_texts(docs, id_col, text_col).join(need, "doc_id", "left_semi")
         both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -133,7 +145,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
         return per_batch(both, work, "a long, b long").distinct()
 
-    comps = link_buckets(buckets, verify)
+    traits = nodes.groupBy("node").agg(F.first(F.struct("odd", "filled", "n")).alias("s"))
+    comps = link_buckets(buckets, traits, lambda x, y: may_reach(x, y, percent / 100), verify)
     classes = nodes.join(comps, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("own"))
     out = table.select("doc_id", "n", "f0", "f1").join(classes, ["f0", "f1"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("own"))

@@ -25,7 +25,7 @@ def targets(sizes: list[float], weights: list[float], cap: float = 3.0) -> list[
                 out[i] = level * weights[i]
             break
         for i in full:
-            out[i] = cap * sizes[i]
+            out[i] = float(cap * sizes[i])
             left -= out[i]
             open_.discard(i)
     return out
