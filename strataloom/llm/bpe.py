@@ -165,7 +165,7 @@ class Packed(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.vocabulary.merge(piece.encode()), "<u4").tobytes()
-        if len(self) > 400_000:
+        if len(self) > 1_000_000:
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
