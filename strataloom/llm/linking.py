@@ -19,8 +19,9 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, near: Callable[[Column,
     those of them that are linked. The components are those of comparing every pair in every bucket, yet most pairs
     never arise:
 
-    - in each bucket the nodes are compared with its smallest one, then those of other components than the bucket's
-      largest are compared with a middle node of that one (``stars`` rounds, one pair for each node and bucket);
+    - in each bucket the nodes are compared with its heaviest one (weight: the sizes of all buckets that a node is in; what
+      copies were made from shares more keys with them than they do among themselves), then those of other components
+      than the bucket's largest are compared with a node of that one (``stars`` rounds, one pair for each node and bucket);
     - a bucket whose nodes are all in one component by then is done, however large it is;
     - in the others, the nodes outside the largest component are compared with all nodes of other components that
       they have not been compared with. So of a group of m copies of which r stay apart, r * m pairs are looked at and only
@@ -31,10 +32,11 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, near: Callable[[Column,
     def sifted(pairs: DataFrame) -> DataFrame:
         return staged(pairs.join(left, "a").join(right, "b").filter(near(F.col("_sa"), F.col("_sb"))).select("a", "b"), "near")
 
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    shared = staged(buckets.join(sizes, "key"), "buckets")
-    least = shared.groupBy("key").agg(F.min("node").alias("a"))
-    done = sifted(shared.join(least, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct())
+    sizes = staged(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    shared = staged(buckets.join(sizes.select("key"), "key"), "buckets")
+    weights = shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    done = sifted(shared.join(hubs, "key").filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     links = staged(verify(done), "links")
     comps = connected_components(links)
     for turn in range(stars):

@@ -14,8 +14,9 @@ from .linking import link_buckets
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
-#: MinHash samples of one permutation, the least of each bin, which an odd sketch folds into this many 64-bit words.
-BINS, WORDS = 1024, 32
+#: MinHash samples of one permutation, the least of each bin: many bins for sets of up to ``SMALL`` shingles, of which
+#: then hardly any is lost, and fewer for pairs with a larger set. An odd sketch folds each into this many 64-bit words.
+BINS, WORDS, SMALL = (1 << 16, 1 << 12), 32, 2000
 
 
 class _WordHashes(dict):
@@ -52,11 +53,12 @@ def _functions() -> tuple:
     return rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32), rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(own: np.ndarray, functions: tuple) -> tuple[np.ndarray, np.ndarray, int]:
-    """Band keys of a set, its odd sketch, and how many samples that holds.
+def signature(own: np.ndarray, functions: tuple) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Band keys of a set, its odd sketches, and how many samples each holds.
 
-    The bands take ``SAMPLES`` independent MinHash values. The sketch takes one permutation's least value in each of
-    ``BINS`` bins, as many as have any, and each of these samples flips one bit: equal samples of two sets cancel out.
+    The bands take ``SAMPLES`` independent MinHash values. Each of the two sketches, one behind the other, takes one
+    permutation's least value in each of its bins, as many as have any, and each of these samples flips one bit: equal
+    samples of two sets cancel out.
     """
     a, b, r = functions
     x = (own >> np.uint64(32)).astype(np.uint32)
@@ -66,44 +68,58 @@ def signature(own: np.ndarray, functions: tuple) -> tuple[np.ndarray, np.ndarray
     bands = least.reshape(BANDS, ROWS).astype(np.uint64)
     keys = _mix((bands * r).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     z = np.sort(_mix(own))  # by bin, which the highest bits name, then by value
-    bins = z >> np.uint64(54)
-    samples = z[np.concatenate([[True], bins[1:] != bins[:-1]])]
-    places = _mix(samples) % np.uint64(64 * WORDS)
-    odd = np.bincount(places.astype(np.int64), minlength=64 * WORDS) & 1
-    return keys.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64), len(samples)
+    odd, filled = [], []
+    for count in BINS:
+        bins = z >> np.uint64(65 - count.bit_length())
+        samples = z[np.concatenate([[True], bins[1:] != bins[:-1]])]
+        places = _mix(samples) % np.uint64(64 * WORDS)
+        odd.append(np.packbits((np.bincount(places.astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64))
+        filled.append(len(samples))
+    return keys.view(np.int64), np.concatenate(odd), filled
 
 
 def features(docs: DataFrame, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, f0, f1, keys array<long>, odd array<long>, filled): size, 128-bit identity, band keys and odd sketch of each text's set."""
+    """(doc_id, n, f0, f1, keys array<long>, odd array<long>, filled array<int>): size, 128-bit identity, band keys and odd sketches of each text's set."""
 
     def work(cols: dict) -> dict:
         known, functions = kept_in_worker(("word hashes",), _WordHashes), kept_in_worker(("minhash functions",), _functions)
         out = {k: [] for k in ("n", "f0", "f1", "keys", "odd", "filled")}
         for text in cols["text"]:
             own = shingles(text, known, words)
-            keys, odd, filled = signature(own, functions) if len(own) else (np.zeros(0, np.int64), np.zeros(WORDS, np.int64), 0)
+            keys, odd, filled = signature(own, functions) if len(own) else (np.zeros(0, np.int64), np.zeros(2 * WORDS, np.int64), [0, 0])
             f = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
             for k, v in zip(out, (len(own), int(f[0]), int(f[1]), keys, odd, filled)):
                 out[k].append(v)
         return {"doc_id": cols["doc_id"]} | out
 
-    return per_batch(whole_texts(docs, id_col, text_col), work, "doc_id long, n long, f0 long, f1 long, keys array<long>, odd array<long>, filled int")
+    return per_batch(whole_texts(docs, id_col, text_col), work, "doc_id long, n long, f0 long, f1 long, keys array<long>, odd array<long>, filled array<int>")
 
 
-def may_reach(a, b, least: float, margin: float = 0.075):
+def may_reach(a, b, least: float, errors: float = 5.5):
     """Whether two sets (structs of odd, filled, n) may be at a similarity of ``least``, by sizes and by the odd bits of their sketches' XOR.
 
     d odd bits of B stand for -B / 2 * log(1 - 2 d / B) samples that only one side has; what is left of both is equal.
     At a similarity of ``least`` so many bins would have a sample of either set, and ``least`` of them equal ones. The
-    margin is five standard errors of that share, which are 0.006 for a text of 400 words and at most 0.015.
+    sketches of the finer bins speak for pairs of small sets. A pair may fall short by one sample and ``errors``
+    standard errors: of the odd bits, of the choice of samples, and of the number of bins that have any.
     """
-    bits = float(64 * WORDS)
-    odd = sum((F.bit_count(F.element_at(a["odd"], i).bitwiseXOR(F.element_at(b["odd"], i))) for i in range(1, WORDS + 1)), F.lit(0))
-    differ = F.when(odd * 2 < bits, -F.log(1 - 2 * odd / F.lit(bits)) * (bits / 2)).otherwise(F.lit(1e18))
-    equal = (a["filled"] + b["filled"] - differ) / 2
-    either = (1 - F.exp(-(a["n"] + b["n"]) / F.lit((1 + least) * BINS))) * BINS
+    bits, union = float(64 * WORDS), (a["n"] + b["n"]) / F.lit(1 + least)
+
+    def enough(level: int):
+        bins = float(BINS[level])
+        odd = sum((F.bit_count(F.element_at(a["odd"], i).bitwiseXOR(F.element_at(b["odd"], i))) for i in range(level * WORDS + 1, (level + 1) * WORDS + 1)), F.lit(0))
+        differ = F.when(odd * 2 < bits, -F.log(1 - 2 * odd / F.lit(bits)) * (bits / 2)).otherwise(F.lit(1e18))
+        equal = (F.element_at(a["filled"], level + 1) + F.element_at(b["filled"], level + 1) - differ) / 2
+        empty = F.exp(-union / bins)
+        either = (1 - empty) * bins
+        only = either * (1 - least)
+        by_bits = (F.exp(4 * only / bits) - 1) * (bits / 4) - only
+        by_choice = either * (least * (1 - least)) * (1 - either / union)
+        by_bins = empty * (1 - (1 + union / bins) * empty) * bins
+        return equal >= either * least - 1 - F.sqrt(by_bits / 4 + by_choice + by_bins * least**2) * errors
+
     sizes = F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * F.lit(least) - 1e-6
-    return sizes & (equal >= either * (least - margin) - 3)
+    return sizes & F.when(F.greatest(a["n"], b["n"]) <= SMALL, enough(0)).otherwise(enough(1))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
