@@ -15,6 +15,8 @@ CATEGORIES = {
 }
 LETTERS = ((4.8, "A+"), (4.5, "A"), (4.0, "B"), (3.0, "C"), (2.0, "D"))
 CURVE, UNKNOWN = 4.35, 4.0
+#: Halves are rounded up, whatever the order in which doubles were summed.
+HALF = 1e-9
 
 
 def curve(normalized: Column, constant: float = CURVE) -> Column:
@@ -35,13 +37,13 @@ def rollup(aspects: DataFrame, by: list[str], weights: dict[str, dict[str, float
     spark = aspects.sparkSession
     table = spark.createDataFrame([(c, a, w) for c, own in weights.items() for a, w in own.items()], "category string, aspect string, weight double")
     joined = aspects.filter("state <> 'not_applicable'").join(F.broadcast(table), "aspect")  # as many rows as the fixed weights
-    value = lambda p: F.round(F.sum(F.col("weight") * F.when(F.col("state") == "measured", F.col("score")).otherwise(p)) / F.sum("weight"), 4)
+    value = lambda p: F.round(F.sum(F.col("weight") * F.when(F.col("state") == "measured", F.col("score")).otherwise(p)) / F.sum("weight") + HALF, 4)
     return joined.groupBy(*by, "category").agg(value(price).alias("score"), value(low).alias("low"), value(high).alias("high"))
 
 
 def overall(categories: DataFrame, by: list[str]) -> DataFrame:
     """Mean of the rounded categories, and its bounds."""
-    return categories.groupBy(*by).agg(*[F.round(F.avg(c), 4).alias(c) for c in ("score", "low", "high")])
+    return categories.groupBy(*by).agg(*[F.round(F.avg(c) + HALF, 4).alias(c) for c in ("score", "low", "high")])
 
 
 def letter(score: Column, readings: list[tuple[Column, float, float]] = ()) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..operators import bands, history, matching, scoring, series, stats, text
+from ..streaming import events
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -335,7 +337,7 @@ def _aspects(spark, d):
 
 
 WEIGHTS = "w(category, aspect, weight) as (values " + ", ".join(f"('{c}', '{a}', {x}::double)" for c, own in scoring.CATEGORIES.items() for a, x in own.items()) + ")"
-ROLL = "round(sum(weight * case when state = 'measured' then score else {} end) / sum(weight), 4)"
+ROLL = "round(sum(weight * case when state = 'measured' then score else {} end) / sum(weight) + 1e-9, 4)"
 CATS = f"cat as (select nation, category, {ROLL.format(4.0)} score, {ROLL.format(0.0)} low, {ROLL.format(5.0)} high from a join w using (aspect) where state <> 'not_applicable' group by 1, 2)"
 
 
@@ -344,13 +346,13 @@ def rollup_score(spark, d):
     return scoring.rollup(_aspects(spark, d), ["nation"])
 
 
-@query(f"with {ASPECTS}, {WEIGHTS}, {CATS}, o as (select nation, round(avg(score), 4) score, round(avg(low), 4) low, round(avg(high), 4) high from cat group by 1) select *, case when low >= 4.8 then 'A+' when low >= 4.5 then 'A' when low >= 4 then 'B' when low >= 3 then 'C' when low >= 2 then 'D' else 'F' end grade from o")
+@query(f"with {ASPECTS}, {WEIGHTS}, {CATS}, o as (select nation, round(avg(score) + 1e-9, 4) score, round(avg(low) + 1e-9, 4) low, round(avg(high) + 1e-9, 4) high from cat group by 1) select *, case when low >= 4.8 then 'A+' when low >= 4.5 then 'A' when low >= 4 then 'B' when low >= 3 then 'C' when low >= 2 then 'D' else 'F' end grade from o")
 def grade(spark, d):
     return scoring.overall(scoring.rollup(_aspects(spark, d), ["nation"]), ["nation"]).withColumn("grade", scoring.letter(F.col("low")))
 
 
-@query(f"""with {ASPECTS}, {WEIGHTS}, {CATS}, o as (select nation, round(avg(score), 4) base from cat group by 1), sc as (select a.nation, s.aspect scenario, a.aspect, case when a.aspect = s.aspect then 5.0 else score end score, case when a.aspect = s.aspect and state <> 'not_applicable' then 'measured' else state end state from a cross join (select distinct aspect from a) s),
- c2 as (select nation, scenario, category, {ROLL.format(4.0)} score from sc join w using (aspect) where state <> 'not_applicable' group by 1, 2, 3) select nation, scenario aspect, round(round(avg(score), 4) - any_value(base), 4) delta from c2 join o using (nation) group by 1, 2""")
+@query(f"""with {ASPECTS}, {WEIGHTS}, {CATS}, o as (select nation, round(avg(score) + 1e-9, 4) base from cat group by 1), sc as (select a.nation, s.aspect scenario, a.aspect, case when a.aspect = s.aspect then 5.0 else score end score, case when a.aspect = s.aspect and state <> 'not_applicable' then 'measured' else state end state from a cross join (select distinct aspect from a) s),
+ c2 as (select nation, scenario, category, {ROLL.format(4.0)} score from sc join w using (aspect) where state <> 'not_applicable' group by 1, 2, 3) select nation, scenario aspect, round(round(avg(score) + 1e-9, 4) - any_value(base), 4) delta from c2 join o using (nation) group by 1, 2""")
 def counterfactual_delta(spark, d):
     return scoring.counterfactual(_aspects(spark, d), ["nation"])
 
@@ -387,3 +389,26 @@ def bootstrap_median(spark, d):
 @query("select k, count(*) n from (select (props::json ->> 'k')::bigint k from events) group by 1")
 def json_props(spark, d):
     return _t(spark, d, "events").select(F.from_json("props", "k bigint").getField("k").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+PAGE_PATH = "regexp_replace(url, '^[a-z]+://[^/]*/?', '')"
+
+
+def _page_paths(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*/?", "").alias("path"))
+
+
+@query(f"select page_id, {PAGE_PATH} path, regexp_matches('/' || {PAGE_PATH}, '/a[^/]*/') or regexp_matches('/' || {PAGE_PATH}, '[.]pdf$') or contains('/' || {PAGE_PATH} || '/', '/news/') excluded from pages")
+def path_exclusion(spark, d):
+    return _page_paths(spark, d).withColumn("excluded", paths.is_excluded(F.col("path"), ["a*/", "*.pdf", "news"]))
+
+
+@query(f"select page_id, regexp_matches(lower({PAGE_PATH}), '(^|/)(tests|test|__tests__|spec|specs|acceptance|e2e)/|(^|/)test[_.][^/]*$|[.]pf$|(_test|[.]test|[.]spec|_spec)([.][^./]*)?$') is_test from pages")
+def test_paths(spark, d):
+    return _page_paths(spark, d).select("page_id", paths.is_test_path(F.col("path")).alias("is_test"))
+
+
+@query("select event_type, date_trunc('day', ts) \"start\", count(*) records, round(sum(value), 4) total from events group by 1, 2")
+def event_windows_stream(spark, d):
+    counts = events.windowed(events.log_stream(spark, d, "events.parquet"), ["event_type"], late="60 days")
+    return events.drained(counts, ["event_type", "start"]).withColumn("total", F.round("total", 4))
