@@ -139,18 +139,22 @@ def splitters(special: dict[str, int]):
     return regex.compile(SPLIT), regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
 
+#: Added to the length of a proven whole token, so that one sum has both counts; no text has so many tokens.
+WHOLE = 1 << 40
+
+
 class Lengths(dict):
-    """Tokens by piece: proven whole tokens from the start, others as they are merged; bounded."""
+    """Tokens by piece: proven whole tokens (marked by ``WHOLE``) from the start, others as they are merged; bounded."""
 
     def __init__(self, whole: frozenset[str], vocabulary: Vocabulary) -> None:
-        super().__init__(dict.fromkeys(whole, 1))
+        super().__init__(dict.fromkeys(whole, 1 + WHOLE))
         self.whole, self.vocabulary = whole, vocabulary
 
     def __missing__(self, piece: str) -> int:
         n = len(self.vocabulary.merge(piece.encode()))
-        if len(self) > 400_000:
+        if len(self) > 1_000_000:
             self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
+            self.update(dict.fromkeys(self.whole, 1 + WHOLE))
         if len(piece) <= 64:
             self[piece] = n
         return n
@@ -195,19 +199,15 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, id_
             return Lengths(shared.value[1], vocabulary), *splitters(vocabulary.special)
 
         lengths, split, special = kept_in_worker(("lengths", hash(shared.value[0])), make)
-        whole, get, find = lengths.whole, lengths.__getitem__, split.findall
+        get, find = lengths.__getitem__, split.findall
         n_tokens, n_whole = [], []
         for t in cols["text"]:
             parts = special.split(t) if special else [t]
-            pieces = find(parts[0])
-            n = sum(map(get, pieces)) + len(parts) // 2
-            w = sum(map(whole.__contains__, pieces))
+            both = sum(map(get, find(parts[0]))) + len(parts) // 2
             for part in parts[2::2]:
-                pieces = find(part)
-                n += sum(map(get, pieces))
-                w += sum(map(whole.__contains__, pieces))
-            n_tokens.append(n)
-            n_whole.append(w)
+                both += sum(map(get, find(part)))
+            n_tokens.append(both % WHOLE)
+            n_whole.append(both // WHOLE)
         return {"doc_id": cols["doc_id"], "n_bytes": [len(t.encode()) for t in cols["text"]], "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens], "n_whole": n_whole}
 
     return per_batch(whole_texts(docs, id_col, text_col), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_whole long")
