@@ -14,7 +14,7 @@ from ..session import staged, unstaged
 def link_buckets(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame:
     """(node, component) under the links that ``verify`` leaves of the pairs of nodes that share a bucket.
 
-    ``buckets``: (key, node), distinct. ``traits``: (node, s). ``near``: a condition on two ``s`` that every linked pair
+    ``buckets``: (key, node); a repeated row costs time, no more. ``traits``: (node, s). ``near``: a condition on two ``s`` that every linked pair
     meets; it is part of the joins, so that no other pair becomes a row. ``verify``: from (a, b), which are near, to
     those of them that are linked. The components are those of comparing every pair in every bucket, yet most pairs
     never arise:

@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     table = staged(features(docs, words, id_col, text_col), "features")
     nodes = table.filter("n > 0 and doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("filled").alias("filled"))
     nodes = staged(nodes, "nodes")
-    buckets = nodes.select(F.explode("keys").alias("key"), "node").distinct()
+    buckets = nodes.select(F.explode("keys").alias("key"), "node")
 
     def verify(near: DataFrame) -> DataFrame:
         need = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
