@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import bands, history, matching, scoring, series, stats, text
+from ..operators import bands, evidence, history, matching, scoring, series, stats, text
 from ..streaming import events
 
 QUERIES: dict = {}
@@ -412,3 +412,141 @@ def test_paths(spark, d):
 def event_windows_stream(spark, d):
     counts = events.windowed(events.log_stream(spark, d, "events.parquet"), ["event_type"], late="60 days")
     return events.drained(counts, ["event_type", "start"]).withColumn("total", F.round("total", 4))
+
+
+@query("select event_type from events group by 1 having count(distinct user_id) = (select count(distinct user_id) from events)")
+def covered_by_all(spark, d):
+    return evidence.covered_by_all(_t(spark, d, "events"), "user_id", "event_type")
+
+
+@query("select source, (select count(distinct lang) from documents) - count(distinct lang) missing from documents group by 1")
+def missing_languages(spark, d):
+    return evidence.missing_from(_t(spark, d, "documents"), "source", "lang")
+
+
+@query("select distinct o_custkey c_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
+def unresolved_references(spark, d):
+    refs = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return evidence.unresolved(refs, _t(spark, d, "customer").filter("c_acctbal > 0"), "c_custkey")
+
+
+@query("select lang, count(*) unread from documents where doc_id not in (select doc_id from labels) group by 1")
+def unread_by_language(spark, d):
+    return evidence.unread(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id", "lang")
+
+
+_TYPES = ("click", "purchase", "view")
+
+
+@query("select user_id, " + ", ".join(f"arg_max(value, event_id) filter (where event_type = '{t}') \"{t}\"" for t in _TYPES) + " from events group by 1")
+def last_write_pivot(spark, d):
+    return evidence.last_write(_t(spark, d, "events"), "user_id", "event_type", "value", "event_id", list(_TYPES))
+
+
+@query("select user_id from events group by 1 having count(distinct case when event_type in ('click', 'purchase', 'view') then event_type end) < 3")
+def refused_groups(spark, d):
+    return evidence.refused(_t(spark, d, "events"), "user_id", "event_type", list(_TYPES))
+
+
+@query(
+    """with w as (select o_orderpriority, o_orderstatus, files, row_number() over (partition by o_orderpriority order by o_orderdate desc, o_orderkey) r
+    from orders join (select l_orderkey, count(*) files from lineitem group by 1) on l_orderkey = o_orderkey)
+    select o_orderpriority, count(*) fixes, median(files) median_files, round(avg(case when files > 4 then 1.0 else 0.0 end) + 1e-9, 6) broad_share
+    from w where r <= 300 and o_orderstatus = 'F' group by 1 having count(*) >= 5"""
+)
+def fix_breadth(spark, d):
+    files = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("files"))
+    commits = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate").join(files, "o_orderkey")
+    return evidence.fix_breadth(commits, "o_orderpriority", [F.desc("o_orderdate"), F.col("o_orderkey")], F.col("o_orderstatus") == "F", "files", broad=4)
+
+
+@query(
+    """select o_orderstatus, count(*) compared, count(*) filter (where a = b) agreed, round(count(*) filter (where a = b) / count(*) + 1e-9, 6) rate
+    from (select l_orderkey, count(*) a, max(l_linenumber) b from lineitem group by 1) join orders on o_orderkey = l_orderkey group by 1"""
+)
+def measurer_agreement(spark, d):
+    lines = _t(spark, d, "lineitem")
+    a = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).join(_t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    return evidence.agreement(a, lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n")), ["l_orderkey"], "n", "o_orderstatus")
+
+
+@query("select case when p_size >= 40 then 'high' when p_size >= 20 then 'medium' when p_size >= 10 then 'low' else 'none' end severity, count(*) n from part group by 1")
+def severity_histogram(spark, d):
+    return evidence.histogram(_t(spark, d, "part"), "p_size", {"low": 10, "medium": 20, "high": 40})
+
+
+@query("select source, count(distinct lang) versions from documents group by 1 having count(distinct lang) > 1")
+def mixed_versions(spark, d):
+    return evidence.mixed_versions(_t(spark, d, "documents"), "source", "lang")
+
+
+@query("select l_suppkey, p_brand, count(distinct p_partkey) packages from lineitem join part on p_partkey = l_partkey where p_size >= 10 and p_retailprice >= 1000 group by 1, 2")
+def import_concerns(spark, d):
+    part = _t(spark, d, "part")
+    imports = _t(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey"))
+    return evidence.concerns(imports, part.filter("p_retailprice >= 1000"), part.filter("p_size < 10"), "l_suppkey", "p_partkey", "p_brand")
+
+
+@query(
+    """select tool, coalesce(sum(n), 0)::bigint files, case when coalesce(sum(n), 0) > 0 then 'runs' else 'no file in its languages' end reason
+    from (values ('a', 'en'), ('a', 'fr'), ('b', 'de'), ('c', 'xx')) t(tool, l) left join (select lang, count(*) n from documents group by 1) on lang = l group by 1"""
+)
+def runnable_tools(spark, d):
+    tools = spark.createDataFrame([("a", ["en", "fr"]), ("b", ["de"]), ("c", ["xx"])], "tool string, languages array<string>")
+    return evidence.runnable(tools, _t(spark, d, "documents").select("lang", F.lit(1).alias("n")), "tool", "languages", "lang", "n")
+
+
+@query(
+    """select l_orderkey, l_linenumber, 'discounted' rule from lineitem where l_discount > 0.09
+    union all select l_orderkey, l_linenumber, 'returned in bulk' from lineitem where l_returnflag = 'R' and l_quantity >= 48"""
+)
+def broken_rules(spark, d):
+    rules = {"discounted": F.col("l_discount") > 0.09, "returned in bulk": (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 48)}
+    return evidence.broken(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], rules)
+
+
+@query("select doc_id, coalesce(quality, 1 - n_chars % 2)::bigint quality, case when quality is null then 'built-in' else 'external' end origin from documents left join labels using (doc_id)")
+def verdict_overlay(spark, d):
+    own = _t(spark, d, "documents").select("doc_id", (1 - F.col("n_chars") % 2).alias("quality"))
+    return evidence.overlay(own, _t(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("quality")), ["doc_id"], "quality")
+
+
+@query("select p_partkey, p_name from part where p_size = 7 and starts_with(p_type, 'S')")
+def selected_items(spark, d):
+    return evidence.select_items(_t(spark, d, "part"), ("p_type",), p_size=7, p_type="S").select("p_partkey", "p_name")
+
+
+@query(
+    """select l_orderkey, l_linenumber, 'l_quantity' criterion, l_quantity "value", 30.0 - l_quantity remaining from lineitem where l_returnflag = 'R'
+    union all select l_orderkey, l_linenumber, 'l_tax', l_tax, 0.05 - l_tax from lineitem where l_returnflag = 'R'"""
+)
+def remaining_budgets(spark, d):
+    return evidence.limits(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], {"l_quantity": 30, "l_tax": 0.05}, F.col("l_returnflag") == "R")
+
+
+@query("select event_id, event_type || ':' || user_id || ':' || strftime(ts, '%Y-%m-%d') || '#' || row_number() over (partition by event_type, user_id, strftime(ts, '%Y-%m-%d') order by event_id) fingerprint from events")
+def finding_fingerprints(spark, d):
+    rows = _t(spark, d, "events").select("event_id", "event_type", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return evidence.fingerprints(rows, "event_type", "user_id", "day", "event_id").select("event_id", "fingerprint")
+
+
+_ASPECTS = "select c_nationkey, count(*) n, round(avg(c_acctbal) + 1e-9, 2) balance, count(distinct c_mktsegment) segments from customer group by 1"
+
+
+def _aspects(spark, d):
+    return _t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal") + 1e-9, 2).alias("balance"), F.count_distinct("c_mktsegment").alias("segments"))
+
+
+@query(f"select c_nationkey, n, case when n >= 6 then balance end balance, case when n >= 60 then segments end segments from ({_ASPECTS})")
+def undersupported_aspects(spark, d):
+    return evidence.blanked(_aspects(spark, d), "n", {"balance": 6, "segments": 60})
+
+
+@query(
+    f"""with a as (select c_nationkey, case when n >= 60 then segments end segments, n - n n from ({_ASPECTS}))
+    select c_nationkey, 'segments' field, case when segments is null then 'missing' when segments = 0 then 'zero' else 'measured' end state from a
+    union all select c_nationkey, 'n', 'zero' from a"""
+)
+def evidence_states(spark, d):
+    rows = evidence.blanked(_aspects(spark, d), "n", {"segments": 60}).withColumn("n", F.col("n") - F.col("n"))
+    return evidence.states(rows, ["c_nationkey"], ["segments", "n"])
