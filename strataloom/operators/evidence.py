@@ -131,3 +131,33 @@ def states(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
         return F.when(F.col(name).isNull(), F.lit("missing")).when(F.col(name) == 0, F.lit("zero")).otherwise(F.lit("measured"))
 
     return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), state(n).alias("state")) for n in fields])).alias("_s")).select(*keys, "_s.*")
+
+
+def pressure(band: Column, withheld: Column, failed: Column, warned: Column, population: Column, severe: float = 1.0, warning: float = 0.3) -> Column:
+    """The band's pressure where it is known; ``severe`` where it is withheld though there is a population; else failures and, at less weight, warnings per unit."""
+    return F.when(band.isNotNull(), band).when(withheld & (population > 0), F.lit(severe)).when(population > 0, (failed + F.lit(warning) * warned) / population)
+
+
+def capped(letter: Column, cap: Column, best: str = "B") -> Column:
+    """``letter``, yet no better than ``best`` where ``cap`` holds; a missing letter stays missing."""
+    return F.when(cap & ((letter < best) | letter.startswith("A")), F.lit(best)).otherwise(letter)
+
+
+def sufficiency(df: DataFrame, unread_share: Column, gaps: dict[str, Column], most: float = 0.2) -> DataFrame:
+    """``df`` with ``sufficiency`` and ``reasons``: insufficient from ``most`` unread on, incomplete with any gap, reasons in the given order."""
+    reasons = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in gaps.items()]))
+    state = F.when(unread_share >= most, "insufficient").when(F.size("reasons") > 0, "incomplete").otherwise("complete")
+    return df.withColumn("reasons", reasons).withColumn("sufficiency", state)
+
+
+def withheld(items: DataFrame, escalated: DataFrame, key: str, is_major: Column) -> DataFrame:
+    """``items`` with ``reason``: why an item is not handed on; null for those that are."""
+    marks = escalated.select(key).distinct().withColumn("_escalated", F.lit(True))
+    return items.join(marks, key, "left").withColumn("reason", F.when(is_major, "major").when(F.col("_escalated"), "escalated")).drop("_escalated")
+
+
+def asset_directories(files: DataFrame, directory: str, suffix: str, markup: list[str], code: list[str], least: int = 2) -> DataFrame:
+    """(directory) with at least ``least`` markup files, more of them than code files, and files of other suffixes beside."""
+    n, m = F.count_if(F.col(suffix).isin(markup)), F.count_if(F.col(suffix).isin(code))
+    out = files.groupBy(directory).agg(n.alias("_markup"), m.alias("_code"), F.count("*").alias("_all"))
+    return out.filter((F.col("_markup") >= least) & (F.col("_markup") > F.col("_code")) & (F.col("_all") > F.col("_markup") + F.col("_code"))).select(directory)

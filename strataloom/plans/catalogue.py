@@ -443,9 +443,9 @@ def last_write_pivot(spark, d):
     return evidence.last_write(_t(spark, d, "events"), "user_id", "event_type", "value", "event_id", list(_TYPES))
 
 
-@query("select user_id from events group by 1 having count(distinct case when event_type in ('click', 'purchase', 'view') then event_type end) < 3")
+@query("select conv_id from conversations group by 1 having count(distinct case when role in ('system', 'user') then role end) < 2")
 def refused_groups(spark, d):
-    return evidence.refused(_t(spark, d, "events"), "user_id", "event_type", list(_TYPES))
+    return evidence.refused(_t(spark, d, "conversations"), "conv_id", "role", ["system", "user"])
 
 
 @query(
@@ -480,11 +480,11 @@ def mixed_versions(spark, d):
     return evidence.mixed_versions(_t(spark, d, "documents"), "source", "lang")
 
 
-@query("select l_suppkey, p_brand, count(distinct p_partkey) packages from lineitem join part on p_partkey = l_partkey where p_size >= 10 and p_retailprice >= 1000 group by 1, 2")
+@query("select l_suppkey, p_brand, count(distinct p_partkey) packages from lineitem join part on p_partkey = l_partkey where p_size >= 10 and p_retailprice >= 950 group by 1, 2")
 def import_concerns(spark, d):
     part = _t(spark, d, "part")
     imports = _t(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey"))
-    return evidence.concerns(imports, part.filter("p_retailprice >= 1000"), part.filter("p_size < 10"), "l_suppkey", "p_partkey", "p_brand")
+    return evidence.concerns(imports, part.filter("p_retailprice >= 950"), part.filter("p_size < 10"), "l_suppkey", "p_partkey", "p_brand")
 
 
 @query(
@@ -550,3 +550,46 @@ def undersupported_aspects(spark, d):
 def evidence_states(spark, d):
     rows = evidence.blanked(_aspects(spark, d), "n", {"segments": 60}).withColumn("n", F.col("n") - F.col("n"))
     return evidence.states(rows, ["c_nationkey"], ["segments", "n"])
+
+
+@query(
+    """select l_suppkey, case when sum(l_tax) filter (where l_linenumber = 7) is not null then round(sum(l_tax) filter (where l_linenumber = 7) + 1e-9, 4)
+    when count(*) > 60 then 1.0 else round((count(*) filter (where l_returnflag = 'R') + 0.3 * count(*) filter (where l_returnflag = 'A')) / count(*) + 1e-9, 4) end pressure from lineitem group by 1"""
+)
+def dimension_pressures(spark, d):
+    counts = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(
+        F.round(F.sum(F.when(F.col("l_linenumber") == 7, F.col("l_tax"))) + 1e-9, 4).alias("band"), F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("failed"), F.count_if(F.col("l_returnflag") == "A").alias("warned")
+    )
+    return counts.select("l_suppkey", F.round(evidence.pressure(F.col("band"), F.col("n") > 60, F.col("failed"), F.col("warned"), F.col("n")) + F.when(F.col("band").isNull(), 1e-9).otherwise(0.0), 4).alias("pressure"))
+
+
+@query(
+    """select c_nationkey, case when n < 3 or balance is null then least_letter else raw end grade from
+    (select *, case when low >= 4 then 'A' when low >= 3 then 'B' else 'C' end raw, case when low >= 3 then 'B' else 'C' end least_letter from (select c_nationkey, count(*) n, case when count(*) >= 6 then 1 end balance, count(distinct c_mktsegment) low from customer group by 1))"""
+)
+def capped_grades(spark, d):
+    rows = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_distinct("c_mktsegment").alias("low"))
+    raw = F.when(F.col("low") >= 4, "A").when(F.col("low") >= 3, "B").otherwise("C")
+    return rows.select("c_nationkey", evidence.capped(raw, (F.col("n") < 3) | (F.col("n") < 6)).alias("grade"))
+
+
+@query(
+    """select source, case when unread * 5 >= n then 'insufficient' when n < 45 or langs < 4 then 'incomplete' else 'complete' end sufficiency,
+    concat_ws(', ', case when n < 45 then 'few files' end, case when langs < 4 then 'languages missing' end) reasons
+    from (select source, count(*) n, count(*) filter (where n_chars < 200) unread, count(distinct lang) langs from documents group by 1)"""
+)
+def sufficiency(spark, d):
+    rows = _t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 200).alias("unread"), F.count_distinct("lang").alias("langs"))
+    out = evidence.sufficiency(rows, F.col("unread") / F.col("n"), {"few files": F.col("n") < 45, "languages missing": F.col("langs") < 4})
+    return out.select("source", "sufficiency", F.concat_ws(", ", "reasons").alias("reasons"))
+
+
+@query("select p_partkey, case when p_size > 45 then 'major' when p_partkey in (select l_partkey from lineitem where l_quantity = 50) then 'escalated' end reason from part")
+def withheld_items(spark, d):
+    escalated = _t(spark, d, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
+    return evidence.withheld(_t(spark, d, "part"), escalated, "p_partkey", F.col("p_size") > 45).select("p_partkey", "reason")
+
+
+@query("select source from documents group by 1 having count(*) filter (where lang = 'en') >= 2 and count(*) filter (where lang = 'en') > count(*) filter (where lang = 'fr') and count(*) > count(*) filter (where lang in ('en', 'fr'))")
+def asset_directories(spark, d):
+    return evidence.asset_directories(_t(spark, d, "documents"), "source", "lang", ["en"], ["fr"])
