@@ -530,25 +530,25 @@ def finding_fingerprints(spark, d):
     return evidence.fingerprints(rows, "event_type", "user_id", "day", "event_id").select("event_id", "fingerprint")
 
 
-_ASPECTS = "select c_nationkey, count(*) n, round(avg(c_acctbal) + 1e-9, 2) balance, count(distinct c_mktsegment) segments from customer group by 1"
+_NATION_ASPECTS = "select c_nationkey, count(*) n, round(avg(c_acctbal) + 1e-9, 2) balance, count(distinct c_mktsegment) segments from customer group by 1"
 
 
-def _aspects(spark, d):
+def _nation_aspects(spark, d):
     return _t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal") + 1e-9, 2).alias("balance"), F.count_distinct("c_mktsegment").alias("segments"))
 
 
-@query(f"select c_nationkey, n, case when n >= 6 then balance end balance, case when n >= 60 then segments end segments from ({_ASPECTS})")
+@query(f"select c_nationkey, n, case when n >= 6 then balance end balance, case when n >= 60 then segments end segments from ({_NATION_ASPECTS})")
 def undersupported_aspects(spark, d):
-    return evidence.blanked(_aspects(spark, d), "n", {"balance": 6, "segments": 60})
+    return evidence.blanked(_nation_aspects(spark, d), "n", {"balance": 6, "segments": 60})
 
 
 @query(
-    f"""with a as (select c_nationkey, case when n >= 60 then segments end segments, n - n n from ({_ASPECTS}))
+    f"""with a as (select c_nationkey, case when n >= 60 then segments end segments, n - n n from ({_NATION_ASPECTS}))
     select c_nationkey, 'segments' field, case when segments is null then 'missing' when segments = 0 then 'zero' else 'measured' end state from a
     union all select c_nationkey, 'n', 'zero' from a"""
 )
 def evidence_states(spark, d):
-    rows = evidence.blanked(_aspects(spark, d), "n", {"segments": 60}).withColumn("n", F.col("n") - F.col("n"))
+    rows = evidence.blanked(_nation_aspects(spark, d), "n", {"segments": 60}).withColumn("n", F.col("n") - F.col("n"))
     return evidence.states(rows, ["c_nationkey"], ["segments", "n"])
 
 
