@@ -195,6 +195,26 @@ def test_lines(spark, empty):
     assert lines.line_digest(empty.select("doc_id", "text")).count() == 0
 
 
+def edited(rng, line: str, edits: int) -> str:
+    out = list(line)
+    for at in sorted(rng.choice(len(out), edits, replace=False).tolist(), reverse=True):
+        out[at : at + 1] = [["q"], [], [out[at], "q"]][int(rng.integers(3))]
+    return "".join(out)
+
+
+def random_line(rng, n: int) -> str:
+    return " ".join("".join(rng.choice(list("abcdefghijklmnopr"), int(rng.integers(2, 9)))) for _ in range(n))
+
+
+@pytest.mark.parametrize("part, least", [(0.02, 0.99), (0.05, 0.97), (0.09, 0.88)])
+def test_lines_within_the_edit_bound_are_found_at_the_defaults(spark, part, least):
+    rng = np.random.default_rng(11)
+    base = [random_line(rng, int(rng.integers(6, 60))) for _ in range(200)]
+    rows = [(2 * i + k, t) for i, x in enumerate(base) for k, t in enumerate((x, edited(rng, x, max(1, int(part * len(x))))))]
+    got = [r["doc_id"] for r in lines.line_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_dropped"]]
+    assert all(i % 2 for i in got) and len(got) >= least * len(base)
+
+
 def test_blocks_meet_within_the_distance(spark):
     from pyspark.sql import functions as F
 
