@@ -215,6 +215,13 @@ def test_lines_within_the_edit_bound_are_found_at_the_defaults(spark, part, leas
     assert all(i % 2 for i in got) and len(got) >= least * len(base)
 
 
+@pytest.mark.parametrize("distance", [None, 3])
+def test_short_lines_are_dropped_as_equals_alone(spark, distance):
+    rows = [(1, "Ietzte\nand ornd\n \n--\n漢字文章"), (2, "ietzte!\nand ornt\n \n--\n漢字文章。"), (3, "ietzta\nAND ornd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["dropped"] for r in lines.line_digest(df, distance=distance).collect()} == {1: "", 2: "0,4", 3: "1"}
+
+
 def test_blocks_meet_within_the_distance(spark):
     from pyspark.sql import functions as F
 
