@@ -222,6 +222,14 @@ def test_short_lines_are_dropped_as_equals_alone(spark, distance):
     assert {r["doc_id"]: r["dropped"] for r in lines.line_digest(df, distance=distance).collect()} == {1: "", 2: "0,4", 3: "1"}
 
 
+def test_long_lines_have_no_other_bound_than_their_share(spark):
+    rng = np.random.default_rng(12)
+    a, b = random_line(rng, 300), random_line(rng, 3000)
+    rows = [(1, a), (2, edited(rng, a, len(a) * 7 // 100)), (3, b), (4, edited(rng, b, 70)), (5, edited(rng, b, len(b) * 5 // 100)), (6, a[: len(a) * 8 // 10])]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.line_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 1, 6: 0} and len(a) * 7 // 100 > 64
+
+
 def test_blocks_meet_within_the_distance(spark):
     from pyspark.sql import functions as F
 
