@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -254,12 +255,12 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     short = per_batch(rows.filter(F.octet_length("text") <= spread), work, "doc_id long, ids binary")
 
     def cut(cols: dict) -> dict:
-        """Pieces up to a block's size travel together; a longer piece is halved until its blocks are small enough. ``piece`` is the same for blocks to be joined."""
+        """Pieces up to a block's size travel together with their sizes, as a block split anew would lack the text behind it; a longer piece is halved until its blocks are small enough. ``piece`` is the same for blocks to be joined."""
         _, split, special, _, _ = _encoder(spec.value)
-        block, out = max(LEAF, spread // 8), {k: [] for k in ("row", "doc_id", "no", "piece", "raw")}
+        block, out = max(LEAF, spread // 8), {k: [] for k in ("row", "doc_id", "no", "piece", "raw", "sizes")}
 
-        def put(i: int, raw: bytes, piece: int) -> None:
-            for k, v in (("row", cols["row"][i]), ("doc_id", cols["doc_id"][i]), ("no", len(out["no"])), ("piece", piece), ("raw", raw)):
+        def put(i: int, raw: bytes, piece: int, sizes: list[int] | None = None) -> None:
+            for k, v in (("row", cols["row"][i]), ("doc_id", cols["doc_id"][i]), ("no", len(out["no"])), ("piece", piece), ("raw", raw), ("sizes", sizes)):
                 out[k].append(v)
 
         for i, text in enumerate(cols["text"]):
@@ -268,35 +269,34 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                 if special and special.fullmatch(part):
                     put(i, part.encode(), -1)
                     continue
-                held: list[str] = []
+                held: list[bytes] = []
                 size = 0
                 for x in split.findall(part):
                     raw = x.encode()
                     if len(raw) > block:
                         if held:
-                            put(i, "".join(held).encode(), -2)
+                            put(i, b"".join(held), -2, list(map(len, held)))
                             held, size = [], 0
                         n += 1
                         for at in range(0, len(raw), block):
                             put(i, raw[at : at + block], n)
                         continue
-                    held.append(x)
+                    held.append(raw)
                     size += len(raw)
-                    if size >= block and not x.isspace():
-                        put(i, "".join(held).encode(), -2)
+                    if size >= block:
+                        put(i, b"".join(held), -2, list(map(len, held)))
                         held, size = [], 0
                 if held:
-                    put(i, "".join(held).encode(), -2)
+                    put(i, b"".join(held), -2, list(map(len, held)))
         return out
 
     def encode_blocks(cols: dict) -> dict:
-        vocabulary, split, _, _, _ = _encoder(spec.value)
-        ids = []
-        for piece, raw in zip(cols["piece"], cols["raw"]):
+        vocabulary, ids = _encoder(spec.value)[0], []
+        for piece, raw, sizes in zip(cols["piece"], cols["raw"], cols["sizes"]):
             if piece == -1:
                 got = [vocabulary.special[raw.decode()]]
             elif piece == -2:
-                got = [x for p in split.findall(raw.decode()) for x in vocabulary.merge(p.encode())]
+                got = [x for end, n in zip(accumulate(sizes), sizes) for x in vocabulary.merge(raw[end - n : end])]
             else:
                 got = vocabulary.tree(raw)
             ids.append(np.array(got, "<u4").tobytes())
@@ -321,7 +321,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         return {"doc_id": cols["doc_id"], "ids": out}
 
     long = rows.filter(F.octet_length("text") > spread).withColumn("row", F.monotonically_increasing_id())
-    blocks = per_batch(long, cut, "row long, doc_id long, no long, piece long, raw binary")
+    blocks = per_batch(long, cut, "row long, doc_id long, no long, piece long, raw binary, sizes array<int>")
     coded = per_batch(blocks.repartition("row", "no"), encode_blocks, "row long, doc_id long, no long, piece long, ids binary")
     gathered = coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("no", "piece", "ids"))).alias("blocks"))
     return short.unionByName(per_batch(gathered.select("doc_id", "blocks"), joined, "doc_id long, ids binary"))
