@@ -99,7 +99,8 @@ def may_reach(a, b, least: float, errors: float = 5.5):
     """Whether two sets (structs of odd, filled, n) may be at a similarity of ``least``, by sizes and by the odd bits of their sketches' XOR.
 
     d odd bits of B stand for -B / 2 * log(1 - 2 d / B) samples that only one side has; what is left of both is equal.
-    At a similarity of ``least`` so many bins would have a sample of either set, and ``least`` of them equal ones. The
+    At a similarity of ``least`` so many bins would have a sample of either set, and ``least`` of them equal ones; what the
+    sets' samples are beyond these differs, which is two samples of a bin where both sets fill it. The
     sketches of the finer bins speak for pairs of small sets. A pair may fall short by one sample and ``errors``
     standard errors: of the odd bits, of the choice of samples, and of the number of bins that have any.
     """
@@ -112,7 +113,7 @@ def may_reach(a, b, least: float, errors: float = 5.5):
         equal = (F.element_at(a["filled"], level + 1) + F.element_at(b["filled"], level + 1) - differ) / 2
         empty = F.exp(-union / bins)
         either = (1 - empty) * bins
-        only = either * (1 - least)
+        only = F.greatest(F.element_at(a["filled"], level + 1) + F.element_at(b["filled"], level + 1) - either * (2 * least), F.lit(0.0))
         by_bits = (F.exp(4 * only / bits) - 1) * (bits / 4) - only
         by_choice = either * (least * (1 - least)) * (1 - either / union)
         by_bins = empty * (1 - (1 + union / bins) * empty) * bins
