@@ -22,12 +22,10 @@ def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def per_batch(df: DataFrame, work: Callable[[list[dict]], dict] | Callable, schema: str) -> DataFrame:
     """Applies ``work`` to the columns (dict of Python lists) of each Arrow batch; it returns a dict of lists or Arrow arrays.
 
-    Batches are cut to a few MB, so a task never holds more than that and one row, however long the texts.
+    Spark fills a batch up to the bytes of ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB); here it is worked
+    through in parts of a few MB, so a task holds no more than that and one row, however long the texts.
     """
     spark = df.sparkSession
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows, "10000")) <= 1024:
-        spark.conf.set(rows, "1024")  # texts make large rows
     target = [(f.name, f.dataType) for f in _parsed(spark, schema).fields]
     from pyspark.sql.pandas.types import to_arrow_type
 
