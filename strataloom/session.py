@@ -27,11 +27,12 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only where it is unset, as in local tests, a temporary folder takes its place."""
+    """``spark.checkpoint.dir`` of the session. Only in local mode, where one machine is all there is, a temporary folder takes its place if it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"strataloom-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
