@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ SAMPLES = BANDS * ROWS
 #: MinHash samples of one permutation, the least of each bin: many bins for sets of up to ``SMALL`` shingles, of which
 #: then hardly any is lost, and fewer for pairs with a larger set. An odd sketch folds each into this many 64-bit words.
 BINS, WORDS, SMALL = (1 << 16, 1 << 12), 32, 2000
+#: Pairs of one text that are verified in one place at most, on average.
+SHARE = 32
 
 
 class _WordHashes(dict):
@@ -130,7 +133,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     pair at 0.8 shares no band with probability 3e-6); nodes that share a band are compared as ``link_buckets`` says.
     A pair goes on if the odd sketches say that it may reach ``percent`` (``may_reach``), and is linked if its full
     sets say so. Texts without words have no shingles and stay alone. Rows of one id count as one
-    document in links; rows without an id are linked with nothing (component null) and kept.
+    document in links: if their texts differ, any of them links it, and each row's component is that of its own text's
+    class; rows without an id are linked with nothing (component null) and kept.
     """
     table = staged(features(docs, words, id_col, text_col), "features")
     nodes = table.filter("n > 0 and doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("filled").alias("filled"))
@@ -138,29 +142,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     buckets = nodes.select(F.explode("keys").alias("key"), "node")
 
     def verify(near: DataFrame) -> DataFrame:
-        need = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = whole_texts(docs, id_col, text_col).join(need, "doc_id", "left_semi")
-        both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-
-        def work(cols: dict) -> dict:
-            known, sets, out = kept_in_worker(("word hashes",), _WordHashes), {}, {"a": [], "b": []}
-
-            def of(text: str) -> np.ndarray:
-                if text not in sets:
-                    if len(sets) > 64:
-                        sets.clear()
-                    sets[text] = shingles(text, known, words)
-                return sets[text]
-
-            for a, b, ta, tb in zip(cols["a"], cols["b"], cols["ta"], cols["tb"]):
-                x, y = of(ta), of(tb)
+        """Pairs are dealt to bins of about 256, by that end which is in most pairs (``SHARE`` of its pairs stay together); a bin gets each text once."""
+        near = staged(near, "pairs")
+        bins = 1 + near.count() // 256
+        degree = near.select(F.col("a").alias("n")).union(near.select("b")).groupBy("n").agg(F.count("*").alias("d"))
+        both = near.join(degree.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
+        first = F.col("da") >= F.col("db")
+        hub, other, d = (F.when(first, F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a"), ("da", "db")))
+        dealt = staged(both.select(F.pmod(F.xxhash64(hub, F.pmod(F.xxhash64(other), F.ceil(d / SHARE))), F.lit(bins)).alias("bin"), "a", "b"), "pairs")
+        wanted = dealt.select(F.col("bin").alias("at"), F.col("a").alias("doc_id")).union(dealt.select("bin", "b")).distinct()
+        texts = whole_texts(docs, id_col, text_col).join(wanted, "doc_id").select("at", "doc_id", "text")
+
+        def check(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+            known, sets = kept_in_worker(("word hashes",), _WordHashes), {}
+            for node, text in zip(texts["doc_id"].to_pylist(), texts["text"]):
+                sets.setdefault(node, []).append(shingles(text.as_py(), known, words))
+
+            def linked(x: np.ndarray, y: np.ndarray) -> bool:
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    out["a"].append(a)
-                    out["b"].append(b)
-            return out
+                return same > 0 and 100 * same >= percent * (len(x) + len(y) - same)
 
-        return per_batch(both, work, "a long, b long").distinct()
+            found = [(a, b) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()) if any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ()))]
+            return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+        return dealt.groupBy("bin").cogroup(texts.groupBy("at")).applyInArrow(check, "a long, b long")
 
     traits = nodes.groupBy("node").agg(F.first(F.struct("odd", "filled", "n")).alias("s"))
     comps = link_buckets(buckets, traits, lambda x, y: may_reach(x, y, percent / 100), verify)
