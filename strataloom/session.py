@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,3 +56,9 @@ def unstaged(df: DataFrame | None) -> None:
     for file in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
