@@ -8,31 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import staged, unstaged
+from ..session import released, staged, unstaged
 
 
-def link_buckets(buckets: DataFrame, traits: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], turns: int = 2, finer: Callable[[Column], Column] | None = None) -> DataFrame:
+def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column, Column], Column], near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], turns: int = 2, finer: Callable[[Column], Column] | None = None) -> DataFrame:
     """(node, component) under the links that ``verify`` leaves of the pairs of nodes that share a bucket.
 
-    ``buckets``: (key, node); a repeated row costs time, no more. ``traits``: (node, s). ``near``: a condition on two ``s`` that every linked pair
-    meets; it is part of the joins, so that no other pair becomes a row. ``verify``: from (a, b), which are near, to
-    those of them that are linked. ``finer``: from ``s`` to an array of marks of which two near nodes share one at least;
+    ``buckets``: (key, node, m), m a small number of the node; a repeated row costs time, no more. ``traits``: (node, s).
+    ``close`` (on two m) and ``near`` (on two s): conditions that every linked pair
+    meets; they are part of the joins, so that no other pair becomes a row. ``verify``: from (a, b), which are near, to
+    those of them that are linked. ``finer``: from m to an array of marks of which two near nodes share one at least;
     buckets of several nodes are split by it.
 
     The components are those of comparing every pair in every bucket, yet most pairs never arise:
 
     - in each bucket the nodes meet its heaviest one (weight: the sizes of all buckets that a node is in; what
-      copies were made from shares more keys with them than they do among themselves), and each node is verified against
-      that one of the nodes it met which is near and shares most buckets with it;
+      copies were made from shares more keys with them than they do among themselves), and each node is compared with
+      that one of the nodes it met which shares most buckets with it;
     - in ``turns`` rounds the nodes outside the largest component of a bucket meet a member of that one, another in every
-      bucket and round, and each is verified against one near member of each component it met. What is linked to a share p of a
-      component is missed by k such members with probability (1 - p) ** k, and with few buckets to go on with;
+      bucket and round, and each is compared with the one that it met most often;
     - a bucket whose nodes are all in one component by then is done, however large it is;
     - in the others, the nodes outside the largest component are compared with all nodes of other components, and all
-      that are near and were not verified yet are.
+      that are near and were not compared yet are verified.
 
-    So the rows of pairs grow with the rows of buckets, and in the last step with the near pairs that the rounds left.
+    So the rows of pairs grow with the number of nodes, and in the last step with the near pairs that the rounds left.
     """
+    spark = buckets.sparkSession
     left, right = traits.select(F.col("node").alias("a"), F.col("s").alias("_sa")), traits.select(F.col("node").alias("b"), F.col("s").alias("_sb"))
 
     def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,41 +41,42 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, near: Callable[[Column,
         return sizes, staged(rows.join(sizes.select("key"), "key"), "buckets")
 
     def best(met: DataFrame) -> DataFrame:
-        """Of (a, b, c, weight), c being b's component, the near pair of most shared buckets for each a and c."""
-        pairs = met.groupBy("a", "b", "c").agg(F.count("*").alias("times"), F.max("weight").alias("weight"))
-        sifted = pairs.join(left, "a").join(right, "b").filter(near(F.col("_sa"), F.col("_sb")))
-        picked = sifted.groupBy("a", "c").agg(F.max(F.struct("times", "weight", "b")).alias("top"))
-        return staged(picked.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct(), "near")
+        """Of (a, b, weight) for each a the b of most rows, then of most weight; (a, b) in order, without the pairs that aren't near."""
+        counted = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max("weight").alias("weight"))
+        picked = counted.groupBy("a").agg(F.max(F.struct("times", "weight", "b")).alias("top")).select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct()
+        return staged(picked.join(left, "a").join(right, "b").filter(near(F.col("_sa"), F.col("_sb"))).select("a", "b"), "near")
 
     sizes, shared = repeated(buckets)
+    released(spark)
     if finer is not None:
-        split = shared.join(traits.select("node", finer(F.col("s")).alias("marks")), "node").select("key", "node", F.explode("marks").alias("mark"))
         coarse = sizes, shared
-        sizes, shared = repeated(split.select(F.xxhash64("key", "mark").alias("key"), "node"))
+        sizes, shared = repeated(shared.select("node", "m", "key", F.explode(finer(F.col("m"))).alias("mark")).select(F.xxhash64("key", "mark").alias("key"), "node", "m"))
         for x in coarse:
             unstaged(x)
     weights = shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"))
-    met = shared.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.lit(0).alias("c"), F.col("hub.weight").alias("weight")).filter("a != b")
-    done = best(met)
+    hubs = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "m")).alias("hub"))
+    met = shared.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & close(F.col("m"), F.col("hub.m")))
+    done = best(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.weight").alias("weight")))
     links = staged(verify(done), "links")
+    released(spark)
     comps = connected_components(links)
     rows = shared
     for turn in range(turns + 1):
         last = turn == turns
-        placed = staged(rows.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "placed")
-        by = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("mid"))
+        placed = staged(rows.select("key", "node", "m").join(comps, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("comp")), "placed")
+        by = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max_by(F.struct("node", "m"), F.xxhash64("node", "key", F.lit(turn))).alias("mid"))
         open_ = by.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp", "mid")).alias("top")).filter("parts > 1").select("key", F.col("top.comp").alias("main"), F.col("top.mid").alias("mid"))
         members = placed.join(open_, "key")
         if not last:
             members = staged(members, "open")
-            found = best(members.filter("comp != main").select(F.col("node").alias("a"), F.col("mid").alias("b"), F.col("main").alias("c"), F.lit(0).alias("weight")))
+            met = members.filter((F.col("comp") != F.col("main")) & close(F.col("m"), F.col("mid.m")))
+            found = best(met.select(F.col("node").alias("a"), F.col("mid.node").alias("b"), F.lit(0).alias("weight")))
             found = staged(found.join(done, ["a", "b"], "left_anti"), "near")
         else:
             held = members.join(traits, "node")
-            x = held.filter("comp != main").select("key", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("s").alias("xs"))
-            y = held.select("key", F.col("node").alias("y"), F.col("comp").alias("yc"), F.col("s").alias("ys"), "main")
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & near(F.col("xs"), F.col("ys")))
+            x = held.filter("comp != main").select("key", F.col("node").alias("x"), F.col("m").alias("xm"), F.col("comp").alias("xc"), F.col("s").alias("xs"))
+            y = held.select("key", F.col("node").alias("y"), F.col("m").alias("ym"), F.col("comp").alias("yc"), F.col("s").alias("ys"), "main")
+            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & close(F.col("xm"), F.col("ym")) & near(F.col("xs"), F.col("ys")))
             found = staged(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "near")
         more = staged(verify(found), "links")
         if not last:
@@ -82,6 +84,7 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, near: Callable[[Column,
                 unstaged(rows)
             rows = members
         unstaged(placed)
+        released(spark)
         done = done.union(found)
         if not more.isEmpty():
             links = links.union(more)
@@ -90,4 +93,5 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, near: Callable[[Column,
         unstaged(rows)
     for x in (sizes, shared):
         unstaged(x)
+    released(spark)
     return comps

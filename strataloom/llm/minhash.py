@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     table = staged(features(docs, words, id_col, text_col), "features")
     nodes = table.filter("n > 0 and doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("filled").alias("filled"))
     nodes = staged(nodes, "nodes")
-    buckets = nodes.select(F.explode("keys").alias("key"), "node")
+    buckets = nodes.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("m"))
 
     def verify(near: DataFrame) -> DataFrame:
         """Pairs are dealt to bins of about 256, by that end which is in most pairs (``SHARE`` of its pairs stay together); a bin gets each text once."""
@@ -168,7 +168,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         return dealt.groupBy("bin").cogroup(texts.groupBy("at")).applyInArrow(check, "a long, b long")
 
     traits = nodes.groupBy("node").agg(F.first(F.struct("odd", "filled", "n")).alias("s"))
-    comps = link_buckets(buckets, traits, lambda x, y: may_reach(x, y, percent / 100), verify)
+    
+    def close(x, y):
+        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+    comps = link_buckets(buckets, traits, close, lambda x, y: may_reach(x, y, percent / 100), verify)
     classes = nodes.join(comps, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("own"))
     out = table.select("doc_id", "n", "f0", "f1").join(classes, ["f0", "f1"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("own"))
