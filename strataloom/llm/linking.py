@@ -11,7 +11,7 @@ from ..operators.graph import connected_components
 from ..session import released, staged, unstaged
 
 
-def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column, Column], Column], near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], turns: int = 2, finer: Callable[[Column], Column] | None = None) -> DataFrame:
+def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column, Column], Column], near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], turns: int = 2, finer: Callable[[Column], Column] | None = None, sift: bool = False) -> DataFrame:
     """(node, component) under the links that ``verify`` leaves of the pairs of nodes that share a bucket.
 
     ``buckets``: (key, node, m), m a small number of the node; a repeated row costs time, no more. ``traits``: (node, s).
@@ -26,7 +26,7 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column,
       copies were made from shares more keys with them than they do among themselves), and each node is compared with
       that one of the nodes it met which shares most buckets with it;
     - in ``turns`` rounds the nodes outside the largest component of a bucket meet a member of that one, another in every
-      bucket and round, and each is compared with the one that it met most often;
+      bucket and round, and each is compared with the one that it met most often (with ``sift``: most often of those that are near);
     - a bucket whose nodes are all in one component by then is done, however large it is;
     - in the others, the nodes outside the largest component are compared with all nodes of other components, and all
       that are near and were not compared yet are verified.
@@ -40,11 +40,13 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column,
         sizes = staged(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
         return sizes, staged(rows.join(sizes.select("key"), "key"), "buckets")
 
-    def best(met: DataFrame) -> DataFrame:
+    def best(met: DataFrame, sift: bool) -> DataFrame:
         """Of (a, b, weight) for each a the b of most rows, then of most weight; (a, b) in order, without the pairs that aren't near."""
         counted = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max("weight").alias("weight"))
+        if sift:
+            counted = counted.join(left, "a").join(right, "b").filter(near(F.col("_sa"), F.col("_sb"))).select("a", "b", "times", "weight")
         picked = counted.groupBy("a").agg(F.max(F.struct("times", "weight", "b")).alias("top")).select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct()
-        return staged(picked.join(left, "a").join(right, "b").filter(near(F.col("_sa"), F.col("_sb"))).select("a", "b"), "near")
+        return staged(picked if sift else picked.join(left, "a").join(right, "b").filter(near(F.col("_sa"), F.col("_sb"))).select("a", "b"), "near")
 
     sizes, shared = repeated(buckets)
     released(spark)
@@ -56,7 +58,7 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column,
     weights = shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
     hubs = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "m")).alias("hub"))
     met = shared.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & close(F.col("m"), F.col("hub.m")))
-    done = best(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.weight").alias("weight")))
+    done = best(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.weight").alias("weight")), False)
     links = staged(verify(done), "links")
     released(spark)
     comps = connected_components(links)
@@ -70,7 +72,7 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column,
         if not last:
             members = staged(members, "open")
             met = members.filter((F.col("comp") != F.col("main")) & close(F.col("m"), F.col("mid.m")))
-            found = best(met.select(F.col("node").alias("a"), F.col("mid.node").alias("b"), F.lit(0).alias("weight")))
+            found = best(met.select(F.col("node").alias("a"), F.col("mid.node").alias("b"), F.lit(0).alias("weight")), sift)
             found = staged(found.join(done, ["a", "b"], "left_anti"), "near")
         else:
             held = members.join(traits, "node")

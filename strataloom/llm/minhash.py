@@ -20,6 +20,8 @@ SAMPLES = BANDS * ROWS
 BINS, WORDS, SMALL = (1 << 16, 1 << 12), 32, 2000
 #: Pairs of one text that are verified in one place at most, on average.
 SHARE = 32
+#: Sets of so many shingles at most travel whole with their sketches.
+WHOLE = 256
 
 
 class _WordHashes(dict):
@@ -82,20 +84,20 @@ def signature(own: np.ndarray, functions: tuple) -> tuple[np.ndarray, np.ndarray
 
 
 def features(docs: DataFrame, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, f0, f1, keys array<long>, odd array<long>, filled array<int>): size, 128-bit identity, band keys and odd sketches of each text's set."""
+    """(doc_id, n, f0, f1, keys array<long>, odd array<long>, filled array<int>, whole array<long>): size, 128-bit identity, band keys and odd sketches of each text's set, and the set itself if it is small, else null."""
 
     def work(cols: dict) -> dict:
         known, functions = kept_in_worker(("word hashes",), _WordHashes), kept_in_worker(("minhash functions",), _functions)
-        out = {k: [] for k in ("n", "f0", "f1", "keys", "odd", "filled")}
+        out = {k: [] for k in ("n", "f0", "f1", "keys", "odd", "filled", "whole")}
         for text in cols["text"]:
             own = shingles(text, known, words)
             keys, odd, filled = signature(own, functions) if len(own) else (np.zeros(0, np.int64), np.zeros(2 * WORDS, np.int64), [0, 0])
             f = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-            for k, v in zip(out, (len(own), int(f[0]), int(f[1]), keys, odd, filled)):
+            for k, v in zip(out, (len(own), int(f[0]), int(f[1]), keys, odd, filled, own.view(np.int64) if len(own) <= WHOLE else None)):
                 out[k].append(v)
         return {"doc_id": cols["doc_id"]} | out
 
-    return per_batch(whole_texts(docs, id_col, text_col), work, "doc_id long, n long, f0 long, f1 long, keys array<long>, odd array<long>, filled array<int>")
+    return per_batch(whole_texts(docs, id_col, text_col), work, "doc_id long, n long, f0 long, f1 long, keys array<long>, odd array<long>, filled array<int>, whole array<long>")
 
 
 def may_reach(a, b, least: float, errors: float = 5.5):
@@ -126,18 +128,24 @@ def may_reach(a, b, least: float, errors: float = 5.5):
     return sizes & F.when(F.greatest(a["n"], b["n"]) <= SMALL, enough(0)).otherwise(enough(1))
 
 
+def may_link(a, b, least: float):
+    """``may_reach``, and for two small sets, which travel whole, whether they do."""
+    reach = F.size(F.array_intersect(a["whole"], b["whole"])) * F.lit(1 + least) >= (a["n"] + b["n"]) * F.lit(least) - 1e-6
+    return F.when(~may_reach(a, b, least), False).when(a["whole"].isNull() | b["whole"].isNull(), True).otherwise(reach)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: documents are linked where 100 * intersection >= percent * union.
 
     Texts of equal sets are one node, the smallest id of them. The 160 MinHash samples of a node make 32 bands of 5 (a
     pair at 0.8 shares no band with probability 3e-6); nodes that share a band are compared as ``link_buckets`` says.
-    A pair goes on if the odd sketches say that it may reach ``percent`` (``may_reach``), and is linked if its full
+    A pair goes on if the odd sketches say that it may reach ``percent`` (``may_reach``) and, where both sets are small enough to travel whole, if these do; it is linked if its full
     sets say so. Texts without words have no shingles and stay alone. Rows of one id count as one
     document in links: if their texts differ, any of them links it, and each row's component is that of its own text's
     class; rows without an id are linked with nothing (component null) and kept.
     """
     table = staged(features(docs, words, id_col, text_col), "features")
-    nodes = table.filter("n > 0 and doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("filled").alias("filled"))
+    nodes = table.filter("n > 0 and doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("filled").alias("filled"), F.first("whole").alias("whole"))
     nodes = staged(nodes, "nodes")
     buckets = nodes.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("m"))
 
@@ -167,12 +175,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
         return dealt.groupBy("bin").cogroup(texts.groupBy("at")).applyInArrow(check, "a long, b long")
 
-    traits = nodes.groupBy("node").agg(F.first(F.struct("odd", "filled", "n")).alias("s"))
+    traits = nodes.groupBy("node").agg(F.first(F.struct("odd", "filled", "n", "whole")).alias("s"))
     
     def close(x, y):
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    comps = link_buckets(buckets, traits, close, lambda x, y: may_reach(x, y, percent / 100), verify)
+    comps = link_buckets(buckets, traits, close, lambda x, y: may_link(x, y, percent / 100), verify, sift=True)
     classes = nodes.join(comps, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("own"))
     out = table.select("doc_id", "n", "f0", "f1").join(classes, ["f0", "f1"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("own"))

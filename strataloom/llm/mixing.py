@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import gcd
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +55,34 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, shards: int = 64, blocks: int = 4096, buckets: int = 1024, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def closed(texts: pa.Table) -> pa.Table:
+    """The documents next to the cut of each source that change sides to bring its words near its target, largest first, as long as that helps.
+
+    Columns: key, own (which document), h (its hash, which settles ties), step (the words that changing sides adds, or takes if negative), rest (the words the source lacks).
+    """
+    keys, own, h, step, rest = (texts[k].to_pylist() for k in ("key", "own", "h", "step", "rest"))
+    by: dict[str, list[int]] = {}
+    for i, k in enumerate(keys):
+        by.setdefault(k, []).append(i)
+    moved = []
+    for rows in by.values():
+        left, open_ = rest[rows[0]], sorted(rows, key=lambda i: (-abs(step[i]), h[i], own[i]))
+        for i in open_ * 2:
+            sign = -1 if i in moved else 1  # a second look may take a change back
+            if abs(left - sign * step[i]) < abs(left):
+                left -= sign * step[i]
+                moved.remove(i) if sign < 0 else moved.append(i)
+    return pa.table({"key": pa.array([keys[i] for i in moved], pa.string()), "own": pa.array([own[i] for i in moved], pa.int64()), "turned": pa.array([True] * len(moved), pa.bool_())})
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, shards: int = 64, blocks: int = 4096, buckets: int = 1024, nearby: int = 64, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, draws array<struct<epoch, shard, place>>) for every row of ``docs``.
 
     Each source's documents are laid in the order of a seeded hash along a line of words, which is cut into ``blocks``
     blocks of equal length; a document belongs to the block of its middle. The target asks for so many whole passes
-    over the line and a part of one more, so a source's words differ from the target by half a document and half a
-    block at most. The quotas of all sources go down the splitting tree to the ``shards``; a shard's quota of a source
+    over the line and a part of one more. Of the ``nearby`` documents next to where that part ends some change sides, largest
+    first, as long as that brings the source's words nearer to the target; so it is missed by half of the least of these documents that could still change, about.
+    With very many sources there are fewer blocks, so that all quotas stay within what numpy draws from (10**9). The quotas of all sources go down the splitting tree to the ``shards``; a shard's quota of a source
     is a run of the permuted blocks that no other shard has, and ``place`` is the order inside the shard. Positions on
     the line come from sums by (source, hash bucket), so no task holds a source. Only sums by source reach the driver.
 
@@ -69,8 +91,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, s
     """
     spark = docs.sparkSession
     rows = staged(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
-        .withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))).alias("h"))
         .withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
         .withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))),
         "mix",
@@ -80,6 +101,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, s
     by_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["n"]) for r in by_source]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], cap)
+    blocks = max(64, min(blocks, 900_000_000 // (cap * max(1, len(sizes)))))
     full = [int(g // n) if n else 0 for g, n in zip(goal, sizes)]
     part = [round((g / n - f) * blocks) if n else 0 for g, n, f in zip(goal, sizes, full)]
     quotas = np.array([f * blocks + k for f, k in zip(full, part)], np.int64)
@@ -100,8 +122,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, s
     line = rows.withColumn("at", F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
     placed = line.join(before, ["key", "bucket"]).join(plan_df, "key")
     block = F.when(F.col("source_size") > 0, F.least(F.lit(blocks - 1), F.floor((F.col("start") + F.col("at")) * blocks / F.col("source_size")))).otherwise(0).cast("long")
-    placed = placed.withColumn("block", block)
-    passes = F.when(F.col("block") < F.col("part"), F.col("full") + 1).otherwise(F.col("full"))
+    placed = staged(placed.withColumn("block", block).withColumn("taken_last", F.col("block") < F.col("part")).withColumn("own", F.monotonically_increasing_id()), "placed")
+    words = placed.groupBy("key").agg(F.sum(F.col("size") * (F.col("full") + F.col("taken_last").cast("int"))).alias("words"))
+    rest = placed.select("key", "target", "source_size", "full", "part").distinct().join(words, "key").select("key", (F.col("target") - F.col("words")).alias("rest"), ((F.col("part") / blocks) * F.col("source_size")).alias("cut"))
+    may = placed.filter((F.col("size") > 0) & (F.col("taken_last") | (F.col("full") < cap)) & (F.col("target") != F.col("full") * F.col("source_size")))
+    away = F.row_number().over(Window.partitionBy("key").orderBy(F.abs(F.col("start") + F.col("at") - F.col("cut")), "h", "own"))
+    # A row number with a limit: each task keeps ``nearby`` rows a source before anything moves.
+    close = may.join(F.broadcast(rest) if len(sizes) <= 10_000 else rest, "key").withColumn("rank", away).filter(F.col("rank") <= nearby)
+    close = close.select("key", "own", "h", F.when(F.col("taken_last"), -F.col("size")).otherwise(F.col("size")).alias("step"), "rest")
+    turned = close.groupBy("key").applyInArrow(closed, "key string, own long, turned boolean")
+    placed = placed.join(turned, ["key", "own"], "left").withColumn("last", F.coalesce("turned", F.lit(False)) != F.col("taken_last"))
+    passes = F.col("full") + F.col("last").cast("int")
     epochs = F.when(passes > 0, F.sequence(F.lit(0), passes - 1)).otherwise(F.array().cast("array<int>"))
 
     def draw(e):
