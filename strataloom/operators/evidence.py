@@ -16,8 +16,8 @@ def covered_by_all(df: DataFrame, group: str, item: str) -> DataFrame:
 
 def missing_from(df: DataFrame, group: str, item: str) -> DataFrame:
     """(group, missing): how many of all items each group lacks."""
-    total = df.agg(F.count_distinct(item)).first()[0]
-    return df.groupBy(group).agg((F.lit(total) - F.count_distinct(item)).alias("missing"))
+    total = df.agg(F.count_distinct(item).alias("_all"))
+    return df.groupBy(group).agg(F.count_distinct(item).alias("_n")).join(F.broadcast(total)).select(group, (F.col("_all") - F.col("_n")).alias("missing"))  # one row
 
 
 def unresolved(references: DataFrame, definitions: DataFrame, key: str) -> DataFrame:

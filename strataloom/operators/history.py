@@ -24,7 +24,8 @@ def coupling(touches: DataFrame, commit: str, path: str, most_files: int = 30, s
     of a commit; ``confidence`` is over the smaller number of commits that touch one of the two.
     """
     own = touches.select(F.col(commit).alias("commit"), F.col(path).alias("path")).distinct()
-    small = own.groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("paths")).filter(F.size("paths") <= most_files)
+    few = own.groupBy("commit").agg(F.count("*").alias("n")).filter(F.col("n") <= most_files).select("commit")
+    small = own.join(few, "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("paths"))  # ``most_files`` paths at most
     pairs = small.select(F.explode(F.flatten(F.transform("paths", lambda x: F.transform(F.filter("paths", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
     both = pairs.groupBy("a", "b").agg(F.count("*").alias("co_changes")).filter(F.col("co_changes") >= support)
     touched = small.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count("*").alias("n"))

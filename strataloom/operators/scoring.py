@@ -60,9 +60,10 @@ def letter(score: Column, readings: list[tuple[Column, float, float]] = ()) -> C
 
 def counterfactual(aspects: DataFrame, by: list[str], cleared: float = 5.0) -> DataFrame:
     """(by, aspect, delta): what the overall score gains if one aspect were clean. Scenario rows go through the same roll-up at once."""
-    names = aspects.select("aspect").distinct().withColumnRenamed("aspect", "scenario")
+    known = sorted({a for own in CATEGORIES.values() for a in own})
+    names = aspects.sparkSession.createDataFrame([(x,) for x in known], "scenario string").join(aspects.select(F.col("aspect").alias("scenario")), "scenario", "left_semi")
     base = overall(rollup(aspects, by), by).select(*by, F.col("score").alias("_base"))
-    scenarios = aspects.crossJoin(F.broadcast(names))  # scenarios are aspect names, of which the weights know a fixed few
+    scenarios = aspects.crossJoin(F.broadcast(names))  # the fixed few aspects that have weights
     own = F.col("aspect") == F.col("scenario")
     changed = scenarios.withColumn("score", F.when(own, cleared).otherwise(F.col("score"))).withColumn("state", F.when(own & (F.col("state") != "not_applicable"), "measured").otherwise(F.col("state")))
     scored = overall(rollup(changed, [*by, "scenario"]), [*by, "scenario"])

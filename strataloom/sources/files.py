@@ -11,14 +11,18 @@ from ..functions.paths import is_excluded
 
 
 def source_files(spark: SparkSession, root: str, suffixes: list[str], exclude: list[str] = (), only: DataFrame | None = None) -> DataFrame:
-    """(path, content, modified) of the files under ``root`` with one of the suffixes; ``only`` (path) keeps those named there."""
+    """(path, content, modified, valid) of the files under ``root`` with one of the suffixes; ``only`` (path) keeps those named there.
+
+    What is not valid UTF-8 is replaced by U+FFFD and ``valid`` is false; no file is left out for it. Only regular files are
+    listed, and paths are those below ``root``.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(root)
     base = re.sub(r"^[\w+.-]+:(//(?=.))?", "", root).rstrip("/") + "/"
     path = F.element_at(F.split(F.col("path"), F.lit(f"\\Q{base}\\E"), 2), -1)
     own = read.select(path.alias("path"), "content", F.col("modificationTime").alias("modified"))
     own = own.filter(~F.col("path").rlike(r"(^|/)\.git/") & ~is_excluded(F.col("path"), list(exclude)))
     own = own if only is None else own.join(only.select("path").distinct(), "path", "left_semi")
-    return own.withColumn("content", F.expr("try_validate_utf8(content)")).filter("content is not null")
+    return own.withColumn("valid", F.is_valid_utf8(F.col("content").cast("string"))).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def _renamed(path):

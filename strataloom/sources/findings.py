@@ -23,9 +23,20 @@ def sarif(spark: SparkSession, path: str, tool: str = "sarif") -> DataFrame:
     return rows.select(F.coalesce("r.ruleId", F.lit("unknown")).alias("rule"), F.coalesce("r.level", F.lit("warning")).alias("level"), F.coalesce("r.message.text", F.lit("")).alias("message"), F.coalesce(place["artifactLocation"]["uri"], F.lit("")).alias("path"), F.coalesce(place["region"]["startLine"], F.lit(1)).alias("line"), "tool")
 
 
+def refusal(text: Column) -> Column:
+    """Why an XML report is not read: it declares a document type or entities, or holds over 64 MiB; null if it is."""
+    return F.when(F.octet_length(text) > 64 << 20, "larger than 64 MiB").when(text.rlike("(?i)<!(DOCTYPE|ENTITY)"), "declares a document type or entities")
+
+
+def refused_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of the XML reports that are not read."""
+    rows = _whole(spark, path).select(F.input_file_name().alias("file"), refusal(F.col("value")).alias("reason"))
+    return rows.filter("reason is not null")
+
+
 def checkstyle(spark: SparkSession, path: str, tool: str, concept: str) -> DataFrame:
-    """Errors of Checkstyle XML. Files that declare a document type or entities, or hold over 64 MiB, give no rows."""
-    safe = _whole(spark, path).filter(~F.col("value").rlike("(?i)<!(DOCTYPE|ENTITY)") & (F.octet_length("value") <= 64 << 20))
+    """Errors of Checkstyle XML. Files that ``refusal`` names a reason for give no rows here and one in ``refused_reports``."""
+    safe = _whole(spark, path).filter(refusal(F.col("value")).isNull())
     rows = safe.select(F.explode(F.from_xml("value", CHECKSTYLE)["file"]).alias("f")).select("f._name", F.explode("f.error").alias("e"))
     return rows.select(F.lit(concept).alias("concept"), F.coalesce("_name", F.lit("")).alias("path"), F.nullif("e._line", F.lit(0)).alias("line"), F.coalesce("e._message", F.lit("")).alias("message"), F.lit(tool).alias("tool"), F.coalesce("e._source", "e._rule").alias("rule"))
 
