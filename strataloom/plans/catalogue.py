@@ -601,4 +601,4 @@ def asset_directories(spark, d):
     return evidence.asset_directories(_t(spark, d, "documents"), "source", "lang", ["en"], ["fr"])
 
 
-from . import code_catalogue, score_catalogue  # noqa: E402, F401  register their queries here
+from . import code_catalogue, report_catalogue, score_catalogue  # noqa: E402, F401  register their queries here

@@ -27,3 +27,31 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def rule_descriptors(findings: DataFrame) -> DataFrame:
     """(id, findings): the distinct rules that a SARIF run lists."""
     return findings.groupBy(F.col("rule").alias("id")).agg(F.count("*").alias("findings"))
+
+
+def sarif_document(findings: DataFrame, path: str, tool: str, version: str = "2.1.0") -> None:
+    """One SARIF document: rules once each, results in the order of path, line and rule. Written as one file, whole or not at all.
+
+    Meant for reports that a person or a review tool reads; results of any size go out as rows by ``sarif_results``.
+    """
+    rules = rule_descriptors(findings).agg(F.array_sort(F.collect_list(F.struct("id"))).alias("rules"))
+    region = F.struct(F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).alias("startLine"))
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    level = F.when(F.col("status") == "fail", "error").otherwise("warning")
+    result = F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
+    order = F.struct(F.coalesce("path", F.lit("")).alias("p"), F.coalesce("line", F.lit(0)).alias("l"), F.coalesce("rule", F.lit("")).alias("r"), F.coalesce("message", F.lit("")).alias("m"), result.alias("result"))
+    results = findings.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["result"]).alias("results"))
+    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
+    document = results.join(F.broadcast(rules)).select(F.to_json(F.struct(F.lit(version).alias("version"), F.array(run).alias("runs"))).alias("value"))
+    document.coalesce(1).write.mode("overwrite").text(path)
+
+
+def attestation(cards: DataFrame, commit: str, tool: str) -> DataFrame:
+    """(commit, tool, overall, low, high, grade, digest): a record for each card, its digest over the rest."""
+    rows = cards.select(F.lit(commit).alias("commit"), F.lit(tool).alias("tool"), "overall", "low", "high", "grade")
+    return rows.withColumn("digest", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+
+
+def coverage_document(coverage: DataFrame) -> DataFrame:
+    """(outcome, tools): the tools of each outcome in the order of their names."""
+    return coverage.groupBy("outcome").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
