@@ -73,11 +73,11 @@ def exposed_items(spark, d):
 _POLICY = [("returned-to-none", "^R$", "^N$"), ("any-to-accepted", ".", "^A$")]
 
 
-@query("select case when k = 1 then 'returned-to-none' else 'any-to-accepted' end as rule, l_orderkey path, l_linenumber line, l_returnflag actual, nxt required from (select *, unnest([1, 2]) k from (select l_orderkey, l_linenumber, l_returnflag, lead(l_returnflag) over (partition by l_orderkey order by l_linenumber) nxt from lineitem)) where l_returnflag <> nxt and ((k = 1 and l_returnflag = 'R' and nxt = 'N') or (k = 2 and nxt = 'A'))")
+@query("select case when k = 1 then 'returned-to-none' else 'any-to-accepted' end as rule, l_orderkey path, l_linenumber line, l_returnflag actual, nxt required from (select *, unnest([1, 2]) k from (select l_orderkey, l_linenumber, l_returnflag, lead(l_returnflag) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) nxt from lineitem)) where l_returnflag <> nxt and ((k = 1 and l_returnflag = 'R' and nxt = 'N') or (k = 2 and nxt = 'A'))")
 def policy_breaks(spark, d):
     from pyspark.sql import Window
 
-    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("actual"), F.lead("l_returnflag").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("required"))
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("actual"), F.lead("l_returnflag").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("required"))
     return reports.policy_breaks(rows, _POLICY)
 
 
