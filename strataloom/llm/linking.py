@@ -59,6 +59,7 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column,
     hubs = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "m")).alias("hub"))
     met = shared.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & close(F.col("m"), F.col("hub.m")))
     done = best(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.weight").alias("weight")), False)
+    released(spark)
     links = staged(verify(done), "links")
     released(spark)
     comps = connected_components(links)
@@ -74,6 +75,7 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column,
             met = members.filter((F.col("comp") != F.col("main")) & close(F.col("m"), F.col("mid.m")))
             found = best(met.select(F.col("node").alias("a"), F.col("mid.node").alias("b"), F.lit(0).alias("weight")), sift)
             found = staged(found.join(done, ["a", "b"], "left_anti"), "near")
+            released(spark)
         else:
             held = members.join(traits, "node")
             x = held.filter("comp != main").select("key", F.col("node").alias("x"), F.col("m").alias("xm"), F.col("comp").alias("xc"), F.col("s").alias("xs"))

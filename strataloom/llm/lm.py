@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import released, staged
 from .common import whole_texts
 
 # The letters that have a symbol of their own, besides digits, full stop, comma, other ASCII, other characters, start and end.
@@ -21,6 +23,12 @@ ALPHABET = 5 + len(OWN)
 ORDER = 2
 DISCOUNT, STRENGTH = (0.3, 0.5, 0.6), (1.0, 1.0, 1.0)
 WORD_STRENGTH = 100.0
+#: Of the restaurants of words behind a word.
+PAIR_DISCOUNT, PAIR_STRENGTH = 0.75, 1.0
+#: Customers of a dish up to which seatings are counted exactly.
+EXACT = 512
+#: What stands before the first word of a text; no word holds a line break.
+BEGIN = b"\n"
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -55,25 +63,61 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return s, context, first, inside[s]
 
 
-def seat(counts: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables at which ``counts`` customers of each dish sit, seated anew one after the other given the rest of the restaurant.
+@lru_cache(maxsize=8)
+def _log_stirling(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers of up to ``EXACT`` customers at their tables, which count seatings."""
+    table = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    table[0, 0] = 0.0
+    tables = np.arange(EXACT + 1)
+    for n in range(EXACT):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            joined = table[n] + np.log(np.maximum(n - discount * tables, 0.0))
+        opened = np.concatenate([[-np.inf], table[n, :-1]])
+        table[n + 1] = np.logaddexp(np.where(np.isnan(joined), -np.inf, joined), opened)
+    return table
 
-    A customer opens a table with weight ``strength * base`` (strength: the restaurant's own plus discount times its
-    tables) and joins one of n customers at t tables with weight n - discount * t. The first always opens one. Up to 16
-    customers are seated singly, later ones in blocks of a quarter of those seated, by one binomial draw each.
+
+def seat(counts: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: float, draw: np.ndarray) -> np.ndarray:
+    """Tables at which ``counts`` customers of each dish sit, all of them removed and seated anew given the rest of the restaurant.
+
+    With a = the restaurant's strength plus discount times the tables of its other dishes, t tables have the weight
+    S(c, t) * a (a + d) ... (a + (t - 1) d) * base**t, S the generalised Stirling number; ``draw``, uniform in 0 to 1, picks
+    one, so the same draws seat alike wherever this runs. Beyond ``EXACT`` customers the tables of the first ``EXACT`` grow by
+    the power of the discount, as tables of a Pitman-Yor restaurant do.
     """
     counts = counts.astype(np.int64)
-    tables, seated = np.minimum(counts, 1), np.minimum(counts, 1)
-    while True:
-        open_ = np.flatnonzero(seated < counts)
-        if not len(open_):
-            return tables
-        n, t = seated[open_], tables[open_]
-        block = np.minimum(counts[open_] - n, np.maximum(1, np.where(n < 16, 1, n // 4)))
-        new = strength[open_] * base[open_]
-        p = np.clip(new / (new + np.maximum(n - discount * t, 1e-9)), 0, 1)
-        tables[open_] += rng.binomial(block, p)
-        seated[open_] += block
+    tables = np.minimum(counts, 1)
+    table = _log_stirling(discount)
+    few = np.minimum(counts, EXACT)
+    order = np.argsort(few, kind="stable")
+    ends = np.flatnonzero(np.diff(np.concatenate([few[order], [-1]])) != 0) + 1
+    start = 0
+    for end in ends.tolist():
+        own = order[start:end]
+        c, start = int(few[own[0]]), end
+        if c < 2:
+            continue
+        steps = np.arange(c)
+        for at in range(0, len(own), max(1, 2_000_000 // c)):
+            part = own[at : at + max(1, 2_000_000 // c)]
+            weight = table[c, 1 : c + 1] + np.cumsum(np.log(strength[part][:, None] + discount * steps), 1) + np.log(np.maximum(base[part], 1e-300))[:, None] * (steps + 1)
+            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+            tables[part] = 1 + (weight < draw[part][:, None] * weight[:, -1:]).sum(1)
+    many = counts > EXACT
+    tables[many] = np.maximum(tables[many], np.rint(tables[many] * (counts[many] / EXACT) ** discount)).astype(np.int64)
+    return np.minimum(tables, counts)
+
+
+def draws(keys: np.ndarray, turn: int) -> np.ndarray:
+    """Uniform numbers that depend on keys and turn alone."""
+    x = keys.astype(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    return (_mix(x) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 @dataclass
@@ -100,7 +144,6 @@ def gibbs(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, sweeps: in
     sends a customer to the parent, and so on down to the empty context, whose parent is uniform. Then the predictive
     probabilities are formed from the top. The arrays are at most ALPHABET ** ORDER contexts long, whatever the corpus.
     """
-    rng = np.random.default_rng(seed)
     base0 = np.full(ALPHABET, 1 / (ALPHABET - 1))
     base0[START] = 1e-30
     predictive = [np.tile(base0, (ALPHABET**k, 1)) for k in range(ORDER + 1)]
@@ -111,7 +154,7 @@ def gibbs(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, sweeps: in
         found: list[tuple] = []
         for k in range(ORDER, -1, -1):
             parent = base0[s] if k == 0 else predictive[k - 1][c % ALPHABET ** (k - 1), s]
-            t = seat(n, parent, STRENGTH[k] + DISCOUNT[k] * tables_of[k][c], DISCOUNT[k], rng)
+            t = seat(n, parent, STRENGTH[k] + DISCOUNT[k] * tables_of[k][c], DISCOUNT[k], draws((c * ALPHABET + s).astype(np.int64), seed * 1000 + sweep * 10 + k))
             tables_of[k] = np.bincount(c, t, minlength=ALPHABET**k)
             found.append((k, c, s, n, t))
             if k:
@@ -129,73 +172,207 @@ def gibbs(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, sweeps: in
     return kept
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 24 << 20, seed: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: What a block sends to a part: words or pairs, counts, the texts of the block that hold them, and which texts are held out.
+PACKED = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in ("u", "w", "n", "docs", "flags"))])
+PACKED_DDL = "kind string, part long, block long, u binary, w binary, n binary, docs binary, flags binary"
+
+
+def _blocks(batches, block_bytes: int):
+    """(words of texts, flags, names) of a partition in blocks of about so many bytes, of under 60,000 texts; names are pairs of hashes."""
+    texts, flags, names, size = [], [], [], 0
+    for batch in batches:
+        for text, flag, *name in zip(batch["text"], *(batch[k].to_pylist() for k in ("held_out", "h0", "h1"))):
+            raw = text.as_py().encode()
+            texts.append(raw.lower().split())  # bytes know no other case than A-Z and no other space than \\x20 and \\x09-\\x0D
+            flags.append(flag)
+            names.append(name)
+            size += len(raw)
+            if size >= block_bytes or len(texts) >= 60_000:
+                yield texts, flags, np.array(names, "<i8")
+                texts, flags, names, size = [], [], [], 0
+    if texts:
+        yield texts, flags, np.array(names, "<i8")
+
+
+def _hash(words: list[bytes]) -> np.ndarray:
+    """40 bits of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(24)
+
+
+def _pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
+def _numbered(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words; of each token, the closing end of each text included, its word, the word before it and its text."""
+    place: dict[bytes, int] = {BEGIN: 0, b"": 1}
+    ids, lengths = [], np.empty(len(texts), np.int64)
+    for i, words in enumerate(texts):
+        ids += [place.setdefault(x, len(place)) for x in words]
+        ids.append(1)
+        lengths[i] = len(words) + 1
+    w = np.array(ids, np.int64)
+    before = np.concatenate([[0], w[:-1]]) if len(w) else w
+    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])[: len(texts)].astype(np.int64)] = 0
+    return list(place), w, before, np.repeat(np.arange(len(texts)), lengths)
+
+
+def _bytes40(x: np.ndarray) -> bytes:
+    return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def _from40(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def _parts(key: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places) of keys, each part in the order of its places."""
+    part = (key % np.uint64(n)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(np.concatenate([[-1], part[order]]))) if len(order) else []
+    return [(int(part[x[0]]), x) for x in np.split(order, cuts[1:])] if len(order) else []
+
+
+class Pairs:
+    """The pairs of neighbouring words of one part of the key space, their counts in training, and how they sit.
+
+    A part is a random share of all pairs, as a hash deals them. So what it holds of a context or a dish is, times the
+    number of parts, an unbiased guess of the whole, which is all that seating needs of it.
+    """
+
+    def __init__(self, u: np.ndarray, w: np.ndarray, count: np.ndarray, parts: int, sweeps: int, keep: int) -> None:
+        key = _pair_keys(u, w)
+        self.key, first, back = np.unique(key, return_index=True, return_inverse=True)
+        self.u, self.w, self.count = u[first], w[first], np.bincount(back, count, minlength=len(first)).astype(np.int64)
+        seen = np.flatnonzero(self.count)
+        self.tables = np.zeros(len(self.key))
+        if not len(seen):
+            return
+        contexts, at_u = np.unique(self.u[seen], return_inverse=True)
+        dishes, at_w = np.unique(self.w[seen], return_inverse=True)
+        t, c = np.minimum(self.count[seen], 1), self.count[seen]
+        again = np.flatnonzero(c > 1)  # a single customer has a table of its own
+        for sweep in range(sweeps):
+            in_context = np.bincount(at_u, t)[at_u] - t
+            share = np.bincount(at_w, t)[at_w] / t.sum()
+            t = t.copy()
+            t[again] = seat(c[again], share[again], PAIR_STRENGTH + PAIR_DISCOUNT * in_context[again] * parts, PAIR_DISCOUNT, draws(self.key[seen][again], 100 + sweep))
+            if sweep >= sweeps - keep:
+                self.tables[seen] += t / keep
+
+
+def _packed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int], list[tuple]]:
+    """The pairs of all blocks of a part one behind the other, in the order of blocks."""
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("block", "u", "w", "n", "docs", "flags"))), key=lambda r: (r[0], r[1]))
+    u = np.concatenate([_from40(r[1]) for r in rows]) if rows else np.zeros(0, np.uint64)
+    w = np.concatenate([_from40(r[2]) for r in rows]) if rows else np.zeros(0, np.uint64)
+    return u, w, [len(r[1]) // 5 for r in rows], rows
+
+
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 24 << 20, part_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every whole text.
 
-    The model: words sit in a Pitman-Yor restaurant whose base spells them; the spelling is a hierarchy of restaurants
-    of characters, each context of up to ``ORDER`` characters sharing its parent with all contexts of the same ending.
-    The customers of the spelling are the tables of words. Word counts come from all training texts: every block of
-    texts gives its distinct words, these are summed by word, in as many tasks as there are partitions, and the counts
-    and log probabilities that a block asks for go back to it. So nothing is held whole but the character tables, whose
-    size the alphabet bounds. As in the base score, all words that training never saw are one type: it has what the
-    spelling leaves to them. The discount of the words comes from how many were seen once and twice. Predictive probabilities are averaged over the last ``keep`` sweeps.
+    Three levels of Pitman-Yor restaurants. Each word has one for what follows it (and the beginning of texts has one); all of these share
+    the restaurant of single words as parent, whose customers are their tables; its base spells words, by a hierarchy of restaurants of
+    characters whose customers are the tables of words. Counts come from all training texts and grow with the corpus:
+
+    - every block of texts gives its distinct words with counts, to tasks by word, and its distinct pairs, to tasks by a hash of the
+      pair, so that neither a frequent word nor a frequent context lands in one task;
+    - a part of the pairs seats them by Gibbs sweeps: all customers of a dish in a restaurant get up and sit down again given the others (``seat``).
+      What a sweep needs of other parts it takes from its own random share. Sums of customers and tables go to the words;
+    - the words, and then their spelling, are seated given these tables. Nothing is held whole but the character tables, whose size the alphabet bounds;
+    - each part asks for the sums and probabilities of its words, prices every pair, and gives each text of a block the sum over its tokens.
+
+    Tables are averaged over the last ``keep`` sweeps, and so are the probabilities of words. As in the base score, all words that
+    training never saw are one type: it has what the spelling leaves to them.
 
     Training leaves out ids whose crc32 as text modulo ``folds`` is ``fold``; null ids train. Null and empty texts are
     one end. Equal texts score equally; every row gives a row; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
-    rows = whole_texts(docs, id_col, text_col).withColumn("held_out", held)
+    rows = whole_texts(docs, id_col, text_col).withColumn("held_out", held).withColumns({"h0": F.xxhash64("text"), "h1": F.xxhash64(F.lit(1), "text")})
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-
-    def distinct_words(table: pa.Table) -> pa.Table:
-        from collections import Counter
-
-        seen, trained = Counter(), Counter()
-        for text, out in zip(table["text"], table["held_out"].to_pylist()):
-            words = text.as_py().encode().lower().split()
-            words.append(b"")
-            (seen if out else trained).update(words)
-        own = sorted(seen.keys() | trained.keys())
-        return pa.table({"block": pa.array([table["block"][0].as_py()] * len(own), pa.int64()), "word": pa.array(own, pa.binary()), "n": pa.array([trained[w] for w in own], pa.int64())})
-
-    asked = rows.groupBy("block").applyInArrow(distinct_words, "block long, word binary, n long")
-    w = Window.partitionBy("word")
-    asked = staged(asked.select("block", "word", F.sum("n").over(w).alias("c"), (F.col("block") == F.min("block").over(w)).alias("first")), "words")
-    once = asked.filter("first and c > 0").select("word", "c")
-    n_train, n_distinct, singles, doubles = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    discount = min(0.95, max(0.05, singles / max(1, singles + 2 * doubles)))
+    parts, word_parts = max(1, -(-size // part_bytes)), max(1, -(-size // (4 * part_bytes)))
+
+    def counted(batches):
+        """Of kind w: words and their counts in training. Of kind b: pairs and theirs."""
+        for number, (texts, flags, _) in enumerate(_blocks(batches, block_bytes)):
+            words, w, u, text = _numbered(texts)
+            train = ~np.array(flags, bool)[text]
+            out = {k: [] for k in PACKED.names}
+            x = _hash(words)
+            counts = np.bincount(w[train], minlength=len(words))
+            for part, own in _parts(x[1:], word_parts):
+                own = own + 1
+                for k, v in zip(out, ("w", part, number, b"", b"\n".join(words[i] for i in own.tolist()), counts[own].astype("<u4").tobytes(), b"", b"")):
+                    out[k].append(v)
+            pair, back = np.unique(u * len(words) + w, return_inverse=True)
+            n = np.bincount(back, train, minlength=len(pair))
+            pu, pw = x[pair // len(words)], x[pair % len(words)]
+            for part, own in _parts(_pair_keys(pu, pw), parts):
+                for k, v in zip(out, ("b", part, number, _bytes40(pu[own]), _bytes40(pw[own]), n[own].astype("<u4").tobytes(), b"", b"")):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=PACKED)
+
+    packed = rows.select("text", "held_out", "h0", "h1").mapInArrow(counted, PACKED_DDL)
+
+    def seated(key, table):
+        """Of words: each with its count. Of pairs: sums by context and by dish, and which words a part asks for."""
+        kind, part = key[0].as_py(), key[1].as_py()
+        if kind == "w":
+            words: dict[bytes, int] = {}
+            for blob, n in zip(table["w"].to_pylist(), table["n"].to_pylist()):
+                for word, c in zip(blob.split(b"\n"), np.frombuffer(n, "<u4").tolist()):
+                    words[word] = words.get(word, 0) + c
+            own = sorted(words)
+            return pa.table([pa.array(["w"] * len(own)), pa.array([part] * len(own), pa.int64()), pa.array(own, pa.binary()), pa.array(_hash(own).astype(np.int64)), pa.array([words[x] for x in own], pa.float64()), *[pa.array([0.0] * len(own))] * 2], names=["kind", "part", "word", "x", "a", "b", "c"])
+        u, w, _, packed_rows = _packed(table)
+        count = np.concatenate([np.frombuffer(r[3], "<u4") for r in packed_rows]).astype(np.int64)
+        pairs = Pairs(u, w, count, parts, sweeps, keep)
+        x, back = np.unique(np.concatenate([pairs.u, pairs.w]), return_inverse=True)
+        of_u, of_w = back[: len(pairs.u)], back[len(pairs.u) :]
+        sums = [np.bincount(of_u, pairs.count, minlength=len(x)), np.bincount(of_u, pairs.tables, minlength=len(x)), np.bincount(of_w, pairs.tables, minlength=len(x))]
+        return pa.table([pa.array(["b"] * len(x)), pa.array([part] * len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.array(x.astype(np.int64)), *map(pa.array, sums)], names=["kind", "part", "word", "x", "a", "b", "c"])
+
+    shape = "kind string, part long, word binary, x long, a double, b double, c double"
+    seats = staged(packed.groupBy("kind", "part").applyInArrow(seated, shape), "seats")
+    released(spark)
+    sums = seats.filter("kind = 'b'").groupBy("x").agg(F.sum("a").alias("of"), F.sum("b").alias("opened"), F.sum("c").alias("dish"))
+    begin = int(_hash([BEGIN])[0])
+    vocabulary = seats.filter("kind = 'w'").select("word", "x", F.col("a").cast("long").alias("c")).join(sums, "x", "left")
+    vocabulary = staged(vocabulary.select("word", "x", "c", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("of", "opened", "dish")]), "words")
+    once = vocabulary.filter("c > 0").select("word", "x", F.greatest(F.lit(1), F.round("dish")).cast("long").alias("n"))
+    n_train, n_distinct, singles, doubles = vocabulary.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.round("dish") <= 1), F.count_if(F.round("dish") == 2)).first()
+    n_tables = once.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # customers of the restaurant of single words
+    discount = round(min(0.95, max(0.05, singles / max(1, singles + 2 * doubles))), 3)
 
     def hyper(total: float) -> float:
-        """Strength of the word restaurant given its number of tables."""
+        """Strength of the restaurant of single words given its number of tables."""
         return WORD_STRENGTH + discount * total
 
-    def seeds(words: list[bytes]) -> np.random.Generator:
-        return np.random.default_rng([seed, len(words), *(words[0][:16] if words else b"")])
-
-    def tables_of(words: list[bytes], counts: np.ndarray, state: Spelling, total: float) -> np.ndarray:
-        base = 10.0 ** np.maximum(state.log10(words), -300)
-        return seat(counts, base, np.full(len(words), hyper(total)), discount, seeds(words))
+    def tables_of(x: np.ndarray, counts: np.ndarray, base: np.ndarray, total: float, turn: int) -> np.ndarray:
+        return seat(counts, base, np.full(len(x), hyper(total)), discount, draws(x, turn))
 
     states, total = [(uniform_spelling(), 0.5 * n_distinct)], 0.0
-    for turn in range(2):  # the seating of words given the spelling, then of the spelling given the words' tables
+    for turn in range(3):  # the seating of words given the spelling, then of the spelling given the words' tables
         given = spark.sparkContext.broadcast((states[-1][0].levels, states[-1][1]))
 
-        def grams(batches):
+        def grams(batches, turn=turn, given=given):
             sums: dict[int, int] = {}
             t_sum = 0
             for batch in batches:
-                words, counts = batch["word"].to_pylist(), batch["c"].to_numpy(zero_copy_only=False)
+                words, counts = batch["word"].to_pylist(), batch["n"].to_numpy(zero_copy_only=False)
                 if not words:
                     continue
-                t = tables_of(words, counts, Spelling(given.value[0]), given.value[1])
+                base = 10.0 ** np.maximum(Spelling(given.value[0]).log10(words), -300)
+                t = tables_of(batch["x"].to_numpy(zero_copy_only=False), counts, base, given.value[1], turn)
                 t_sum += int(t.sum())
                 s, context, first, _ = spelled(words)
                 key = context * ALPHABET + s
-                u, back = np.unique(key, return_inverse=True)
-                for k, n in zip(u.tolist(), np.bincount(back, np.repeat(t, np.diff(np.concatenate([first, [len(s)]])))).astype(np.int64).tolist()):
+                own, back = np.unique(key, return_inverse=True)
+                for k, n in zip(own.tolist(), np.bincount(back, np.repeat(t, np.diff(np.concatenate([first, [len(s)]])))).astype(np.int64).tolist()):
                     sums[k] = sums.get(k, 0) + n
             yield pa.RecordBatch.from_pydict({"key": pa.array([-1, *sums], pa.int64()), "n": pa.array([t_sum, *sums.values()], pa.int64())})
 
@@ -203,8 +380,8 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
         got = once.mapInArrow(grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()
         total = float(next((r["n"] for r in got if r["key"] == -1), 0))
         keys, counts = (np.array([r[k] for r in got if r["key"] >= 0], np.int64) for k in ("key", "n"))
-        last = turn == 1
-        states = [(x, total) for x in gibbs(keys // ALPHABET, keys % ALPHABET, counts, sweeps if last else 2, keep if last else 1, seed + turn)]
+        last = turn == 2
+        states = [(x, total) for x in gibbs(keys // ALPHABET, keys % ALPHABET, counts, sweeps if last else 2, keep if last else 1, 8 + turn)]
     final = spark.sparkContext.broadcast([(x.levels, t) for x, t in states])
 
     def spelled_mass(batches):
@@ -216,49 +393,96 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
         yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(sums)), pa.int64()), "m": pa.array(sums)})
 
     mass = {r["i"]: r["m"] for r in once.select("word").mapInArrow(spelled_mass, "i long, m double").groupBy("i").agg(F.sum("m").alias("m")).collect()}
-    unseen = float(np.log10(np.mean([hyper(t) * max(1e-12, 1 - mass.get(i, 0.0)) / (n_train + WORD_STRENGTH) for i, (_, t) in enumerate(states)])))
+    unseen = [hyper(t) * max(1e-12, 1 - mass.get(i, 0.0)) / (n_tables + WORD_STRENGTH) for i, (_, t) in enumerate(states)]
 
-    def judge(batches):
+    def judged(batches):
+        """(x, c, of, opened, p): what pairs are priced with, p the probability of the word by itself."""
         for batch in batches:
-            words, counts = batch["word"].to_pylist(), batch["c"].to_numpy(zero_copy_only=False)
+            words, c, dish = batch["word"].to_pylist(), batch["c"].to_numpy(zero_copy_only=False), batch["dish"].to_numpy(zero_copy_only=False)
             if not words:
                 continue
+            x, n = batch["x"].to_numpy(zero_copy_only=False), np.maximum(1, np.rint(dish)).astype(np.int64)
             p = np.zeros(len(words))
-            for levels, t_all in final.value:
-                state = Spelling(levels)
-                base = 10.0 ** np.maximum(state.log10(words), -300)
-                t = _expected_tables(counts, base, hyper(t_all), discount)
-                p += (np.maximum(counts - discount * t, 0) + hyper(t_all) * base) / (n_train + WORD_STRENGTH)
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["word"], batch["c"], pa.array(np.where(counts > 0, np.log10(np.maximum(p / len(final.value), 1e-300)), unseen))], ["block", "word", "c", "p"])
-
-    priced = asked.select("block", "word", "c").mapInArrow(judge, "block long, word binary, c long, p double")
-
-    def score(texts: pa.Table, words: pa.Table) -> pa.Table:
-        place = {x: i for i, x in enumerate(words["word"].to_pylist())}
-        c, p = words["c"].to_numpy().astype(np.float64), words["p"].to_numpy()
-        base = np.log10((c + 1) / (n_train + n_distinct + 1))
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for text in texts["text"]:
-            tokens = text.as_py().encode().lower().split()
-            tokens.append(b"")
-            at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-            for k, v in zip(out, (len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(p[at].sum()))):
+            for i, (levels, t_all) in enumerate(final.value):
+                base = 10.0 ** np.maximum(Spelling(levels).log10(words), -300)
+                t = tables_of(x, n, base, t_all, 10 + i)
+                p += np.where(c > 0, (np.maximum(n - discount * t, 0) + hyper(t_all) * base) / (n_tables + WORD_STRENGTH), unseen[i])
+            yield pa.RecordBatch.from_arrays([batch["x"], batch["c"], batch["of"], batch["opened"], pa.array(np.maximum(p / len(final.value), 1e-300))], ["x", "c", "of", "opened", "p"])
+
+    priced = vocabulary.mapInArrow(judged, "x long, c long, of double, opened double, p double").groupBy("x").agg(*[F.max(k).alias(k) for k in ("c", "of", "opened", "p")])
+    start = sums.filter(F.col("x") == begin).select("x", F.lit(0).cast("long").alias("c"), "of", "opened", F.lit(1e-300).alias("p"))
+    prices = staged(priced.union(start), "prices")
+    released(spark)
+
+    def posted(batches):
+        """Of kind b: pairs with the texts of the block that hold them. Of kind t: the names and lengths of these texts."""
+        for number, (texts, flags, names) in enumerate(_blocks(batches, block_bytes)):
+            words, w, u, text = _numbered(texts)
+            x = _hash(words)
+            block = xxhash.xxh64_intdigest(names.tobytes(), seed=number) >> 1
+            out = {k: [] for k in PACKED.names}
+            flat = np.array(flags, np.uint8).tobytes()
+            for k, v in zip(out, ("t", block % parts, block, names.tobytes(), b"", np.bincount(text, minlength=len(texts)).astype("<u4").tobytes(), b"", b"")):
+                out[k].append(v)
+            key = u * len(words) + w
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(np.concatenate([[-1], key])))
+            n = np.diff(np.concatenate([first, [len(key)]]))
+            pu, pw, texts_of = x[key[first] // len(words)], x[key[first] % len(words)], text[order].astype("<u2")
+            for part, own in _parts(_pair_keys(pu, pw), parts):
+                m = n[own]
+                at = np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                for k, v in zip(out, ("b", part, block, _bytes40(pu[own]), _bytes40(pw[own]), m.astype("<u4").tobytes(), texts_of[at].tobytes(), flat)):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=PACKED)
+
+    def sold(table, answers):
+        """Of each block the sums of its texts over the pairs of this part; names and lengths pass through."""
+        out = {"block": [], "kind": [], "a": [], "b": [], "c": []}
+        kinds = table["kind"].to_pylist()
+        for i in [i for i, k in enumerate(kinds) if k == "t"]:
+            for k, v in zip(out, (table["block"][i].as_py(), "t", table["u"][i].as_py(), table["n"][i].as_py(), b"")):
                 out[k].append(v)
-        return pa.table({"doc_id": texts["doc_id"].cast(pa.int64()), "held_out": texts["held_out"], "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([n_train] * len(texts), pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
-
-    scored = rows.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
-
-
-def _expected_tables(counts: np.ndarray, base: np.ndarray, strength: float, discount: float) -> np.ndarray:
-    """Tables of each word for its predictive probability: the mean of the seating that ``seat`` draws, so that every block prices a word alike."""
-    t = np.minimum(counts, 1).astype(np.float64)
-    n = t.copy()
-    new = strength * base
-    while True:
-        open_ = np.flatnonzero(n < counts)
-        if not len(open_):
-            return t
-        block = np.minimum(counts[open_] - n[open_], np.maximum(1, np.where(n[open_] < 16, 1, n[open_] // 4)))
-        t[open_] += block * np.clip(new[open_] / (new[open_] + np.maximum(n[open_] - discount * t[open_], 1e-9)), 0, 1)
-        n[open_] += block
+        mine = table.filter(pa.array([k == "b" for k in kinds], pa.bool_()))
+        u, w, sizes, blocks = _packed(mine)
+        if len(u):
+            known = answers["x"].to_numpy().astype(np.uint64)
+            by = np.argsort(known)
+            c, of, opened, p = (answers[k].to_numpy().astype(np.float64)[by] for k in ("c", "of", "opened", "p"))
+            known = known[by]
+            posts = [(np.frombuffer(r[3], "<u4").astype(np.int64), np.frombuffer(r[4], "<u2").astype(np.int64), np.frombuffer(r[5], np.uint8)) for r in blocks]
+            count = np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), 1 - flags[docs].astype(np.int64), minlength=len(n)) for n, docs, flags in posts])
+            pairs = Pairs(u, w, count, parts, sweeps, keep)
+            at_u, at_w = np.searchsorted(known, pairs.u), np.searchsorted(known, pairs.w)
+            open_ = PAIR_STRENGTH + of[at_u]
+            price = np.log10((np.maximum(pairs.count - PAIR_DISCOUNT * pairs.tables, 0) + (PAIR_STRENGTH + PAIR_DISCOUNT * opened[at_u]) * p[at_w]) / open_)
+            base = np.log10((c[at_w] + 1) / (n_train + n_distinct + 1))
+            place = np.searchsorted(pairs.key, _pair_keys(u, w))
+            end = 0
+            for (n, docs, flags), size, r in zip(posts, sizes, blocks):
+                own = np.repeat(place[end : end + size], n)
+                end += size
+                sums = [np.bincount(docs, v[own], minlength=len(flags)) for v in (price, base, (c[at_w] > 0).astype(np.float64))]
+                for k, v in zip(out, (r[0], "s", *(x.astype("<f8").tobytes() for x in sums))):
+                    out[k].append(v)
+        return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["kind"], pa.string()), *(pa.array(out[k], pa.binary()) for k in "abc")], names=list(out))
+
+    def summed(table):
+        rows = table.to_pylist()
+        sums = None
+        # In the order of what they hold, so that sums of the same parts come out alike.
+        for r in sorted((r for r in rows if r["kind"] == "s"), key=lambda r: (r["a"], r["b"])):
+            own = np.array([np.frombuffer(r[k], "<f8") for k in "abc"])
+            sums = own if sums is None else sums + own
+        t = next(r for r in rows if r["kind"] == "t")
+        names, n = np.frombuffer(t["a"], "<i8").reshape(-1, 2), np.frombuffer(t["b"], "<u4").astype(np.int64)
+        return pa.table({"h0": names[:, 0].copy(), "h1": names[:, 1].copy(), "n_tokens": n, "n_known": sums[2].astype(np.int64), "base_score": sums[1], "score": sums[0]})
+
+    asked = seats.filter("kind = 'b'").select("part", "x").join(prices, "x").select(F.col("part").alias("to"), "x", F.col("c").cast("int").alias("c"), *[F.col(k).cast("float").alias(k) for k in ("of", "opened", "p")])
+    packed = rows.select("text", "held_out", "h0", "h1").mapInArrow(posted, PACKED_DDL)
+    sold_ = packed.groupBy("part").cogroup(asked.groupBy("to")).applyInArrow(sold, "block long, kind string, a binary, b binary, c binary")
+    scored = sold_.groupBy("block").applyInArrow(summed, "h0 long, h1 long, n_tokens long, n_known long, base_score double, score double")
+    each = scored.groupBy("h0", "h1").agg(*[F.max(k).alias(k) for k in ("n_tokens", "n_known", "base_score", "score")])
+    out = rows.select("doc_id", "held_out", "h0", "h1").join(each, ["h0", "h1"])
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -33,7 +33,7 @@ class Model:
     def score(self, text: str) -> tuple[float, int, int, float]:
         """Score of the text; begin, end and score of its worst sentence (-1, -1, 0 if there is none)."""
         known, lower = self.known, text.lower()
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         own = lower if len(lower) == len(text) else "".join(c.lower()[0] for c in text)
         total, top, where = -np.log1p(-self.leak), -np.inf, (-1, -1)

@@ -158,7 +158,7 @@ def test_language_model(docs, empty):
 
 def test_seating_keeps_between_one_and_all_tables():
     counts = np.array([0, 1, 2, 50, 100000])
-    t = lm.seat(counts, np.full(5, 0.1), np.full(5, 3.0), 0.5, np.random.default_rng(0))
+    t = lm.seat(counts, np.full(5, 0.1), np.full(5, 3.0), 0.5, np.random.default_rng(0).random(5))
     assert (t <= counts).all() and (t >= np.minimum(counts, 1)).all() and t[4] < 20000
 
 
