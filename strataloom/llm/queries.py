@@ -53,5 +53,22 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
+#: Exact joins over all pairs that share a shingle or a label, for the small tables that results are compared on.
+SQL = {
+    "op3_vectors": """with recursive e as (select vec_id, label, embedding::double[] v from embeddings where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ links as (select x.vec_id a, y.vec_id b from e x join e y on x.label = y.label and x.vec_id < y.vec_id and len(x.v) = len(y.v) where list_cosine_similarity(x.v, y.v) >= 0.98),
+ sides as (select a node, b other from links union all select b, a from links), n as (select node, count(*) k from sides group by 1),
+ reach(node, r) as (select node, node from (select distinct node from sides) union select s.other, reach.r from reach join sides s on s.node = reach.node), comp as (select node, min(r) c from reach group by 1)
+ select vec_id, coalesce(k, 0) n_links, coalesce(c, vec_id) component_id, vec_id = coalesce(c, vec_id) kept from embeddings left join n on n.node = vec_id left join comp on comp.node = vec_id""",
+    "op9_minhash": """with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') w from documents),
+ sets as (select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end s from words), n as (select doc_id, len(s) n from sets), sh as (select doc_id, unnest(s) s from sets),
+ com as (select x.doc_id a, y.doc_id b, count(*) c from sh x join sh y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+ links as (select a, b from com join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+ sides as (select a node, b other from links union all select b, a from links),
+ reach(node, r) as (select node, node from (select distinct node from sides) union select s.other, reach.r from reach join sides s on s.node = reach.node), comp as (select node, min(r) c from reach group by 1)
+ select doc_id, n n_shingles, coalesce(c, doc_id) component_id, doc_id = coalesce(c, doc_id) kept from n left join comp on comp.node = doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
