@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -177,21 +178,46 @@ PACKED = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("block", pa.in
 PACKED_DDL = "kind string, part long, block long, u binary, w binary, n binary, docs binary, flags binary"
 
 
+class _Numbers(dict):
+    """Words by the order of their first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _blocks(batches, block_bytes: int):
-    """(words of texts, flags, names) of a partition in blocks of about so many bytes, of under 60,000 texts; names are pairs of hashes."""
-    texts, flags, names, size = [], [], [], 0
+    """(words, word of each token, length of each text, flags, names) of a partition in blocks of about so many bytes, of under 60,000 texts.
+
+    A text's tokens are its words and a closing end; names are pairs of hashes. Only numbers of words are held, not the texts.
+    """
+
+    def begun():
+        return _Numbers({BEGIN: 0, b"": 1}), array("I"), [], [], []
+
+    (place, ids, lengths, flags, names), size = begun(), 0
     for batch in batches:
         for text, flag, *name in zip(batch["text"], *(batch[k].to_pylist() for k in ("held_out", "h0", "h1"))):
             raw = text.as_py().encode()
-            texts.append(raw.lower().split())  # bytes know no other case than A-Z and no other space than \\x20 and \\x09-\\x0D
+            words = raw.lower().split()  # bytes know no other case than A-Z and no other space than \x20 and \x09-\x0D
+            ids.extend(map(place.__getitem__, words))
+            ids.append(1)
+            lengths.append(len(words) + 1)
             flags.append(flag)
             names.append(name)
             size += len(raw)
-            if size >= block_bytes or len(texts) >= 60_000:
-                yield texts, flags, np.array(names, "<i8")
-                texts, flags, names, size = [], [], [], 0
-    if texts:
-        yield texts, flags, np.array(names, "<i8")
+            if size >= block_bytes or len(flags) >= 60_000:
+                yield list(place), np.array(ids, np.int64), np.array(lengths), np.array(flags, np.uint8), np.array(names, "<i8")
+                (place, ids, lengths, flags, names), size = begun(), 0
+    if flags:
+        yield list(place), np.array(ids, np.int64), np.array(lengths), np.array(flags, np.uint8), np.array(names, "<i8")
+
+
+def _before(w: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The word before each token; the beginning (0) before the first of a text."""
+    u = np.concatenate([[0], w[:-1]])
+    u[np.cumsum(lengths)[:-1]] = 0
+    return u
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -203,20 +229,6 @@ def _pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-def _numbered(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words; of each token, the closing end of each text included, its word, the word before it and its text."""
-    place: dict[bytes, int] = {BEGIN: 0, b"": 1}
-    ids, lengths = [], np.empty(len(texts), np.int64)
-    for i, words in enumerate(texts):
-        ids += [place.setdefault(x, len(place)) for x in words]
-        ids.append(1)
-        lengths[i] = len(words) + 1
-    w = np.array(ids, np.int64)
-    before = np.concatenate([[0], w[:-1]]) if len(w) else w
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])[: len(texts)].astype(np.int64)] = 0
-    return list(place), w, before, np.repeat(np.arange(len(texts)), lengths)
-
-
 def _bytes40(x: np.ndarray) -> bytes:
     return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()
 
@@ -243,8 +255,15 @@ class Pairs:
 
     def __init__(self, u: np.ndarray, w: np.ndarray, count: np.ndarray, parts: int, sweeps: int, keep: int) -> None:
         key = _pair_keys(u, w)
-        self.key, first, back = np.unique(key, return_index=True, return_inverse=True)
-        self.u, self.w, self.count = u[first], w[first], np.bincount(back, count, minlength=len(first)).astype(np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        starts = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        first = np.flatnonzero(starts)
+        self.key, self.u, self.w = key[first], u[order[first]], w[order[first]]
+        #: For each of the given pairs its place among the distinct ones.
+        self.place = np.empty(len(key), np.int64)
+        self.place[order] = np.cumsum(starts) - 1
+        self.count = np.bincount(self.place, count, minlength=len(first)).astype(np.int64)
         seen = np.flatnonzero(self.count)
         self.tables = np.zeros(len(self.key))
         if not len(seen):
@@ -270,7 +289,7 @@ def _packed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int], list[tu
     return u, w, [len(r[1]) // 5 for r in rows], rows
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 24 << 20, part_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 16 << 20, part_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every whole text.
 
     Three levels of Pitman-Yor restaurants. Each word has one for what follows it (and the beginning of texts has one); all of these share
@@ -298,18 +317,19 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
 
     def counted(batches):
         """Of kind w: words and their counts in training. Of kind b: pairs and theirs."""
-        for number, (texts, flags, _) in enumerate(_blocks(batches, block_bytes)):
-            words, w, u, text = _numbered(texts)
-            train = ~np.array(flags, bool)[text]
+        for number, (words, w, lengths, flags, _) in enumerate(_blocks(batches, block_bytes)):
+            out_of_training = np.repeat(flags, lengths).astype(np.int64)
             out = {k: [] for k in PACKED.names}
             x = _hash(words)
-            counts = np.bincount(w[train], minlength=len(words))
+            counts = np.bincount(w[out_of_training == 0], minlength=len(words))
             for part, own in _parts(x[1:], word_parts):
                 own = own + 1
                 for k, v in zip(out, ("w", part, number, b"", b"\n".join(words[i] for i in own.tolist()), counts[own].astype("<u4").tobytes(), b"", b"")):
                     out[k].append(v)
-            pair, back = np.unique(u * len(words) + w, return_inverse=True)
-            n = np.bincount(back, train, minlength=len(pair))
+            key = np.sort((_before(w, lengths) * len(words) + w) * 2 + out_of_training)
+            first = np.flatnonzero(np.diff(np.concatenate([[-1], key >> 1])))
+            n = np.add.reduceat(1 - (key & 1), first)
+            pair = key[first] >> 1
             pu, pw = x[pair // len(words)], x[pair % len(words)]
             for part, own in _parts(_pair_keys(pu, pw), parts):
                 for k, v in zip(out, ("b", part, number, _bytes40(pu[own]), _bytes40(pw[own]), n[own].astype("<u4").tobytes(), b"", b"")):
@@ -416,20 +436,19 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
 
     def posted(batches):
         """Of kind b: pairs with the texts of the block that hold them. Of kind t: the names and lengths of these texts."""
-        for number, (texts, flags, names) in enumerate(_blocks(batches, block_bytes)):
-            words, w, u, text = _numbered(texts)
+        for number, (words, w, lengths, flags, names) in enumerate(_blocks(batches, block_bytes)):
             x = _hash(words)
             block = xxhash.xxh64_intdigest(names.tobytes(), seed=number) >> 1
             out = {k: [] for k in PACKED.names}
-            flat = np.array(flags, np.uint8).tobytes()
-            for k, v in zip(out, ("t", block % parts, block, names.tobytes(), b"", np.bincount(text, minlength=len(texts)).astype("<u4").tobytes(), b"", b"")):
+            flat = flags.tobytes()
+            for k, v in zip(out, ("t", block % parts, block, names.tobytes(), b"", lengths.astype("<u4").tobytes(), b"", b"")):
                 out[k].append(v)
-            key = u * len(words) + w
-            order = np.argsort(key, kind="stable")
-            key = key[order]
+            # Pair and text in one number: at most 23 bits a word, as a block has fewer tokens, and 16 for its texts.
+            key = np.sort((_before(w, lengths) * len(words) + w) << 16 | np.repeat(np.arange(len(lengths)), lengths))
+            texts_of, key = (key & 0xFFFF).astype("<u2"), key >> 16
             first = np.flatnonzero(np.diff(np.concatenate([[-1], key])))
             n = np.diff(np.concatenate([first, [len(key)]]))
-            pu, pw, texts_of = x[key[first] // len(words)], x[key[first] % len(words)], text[order].astype("<u2")
+            pu, pw = x[key[first] // len(words)], x[key[first] % len(words)]
             for part, own in _parts(_pair_keys(pu, pw), parts):
                 m = n[own]
                 at = np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(m.sum())
@@ -458,10 +477,9 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
             open_ = PAIR_STRENGTH + of[at_u]
             price = np.log10((np.maximum(pairs.count - PAIR_DISCOUNT * pairs.tables, 0) + (PAIR_STRENGTH + PAIR_DISCOUNT * opened[at_u]) * p[at_w]) / open_)
             base = np.log10((c[at_w] + 1) / (n_train + n_distinct + 1))
-            place = np.searchsorted(pairs.key, _pair_keys(u, w))
             end = 0
             for (n, docs, flags), size, r in zip(posts, sizes, blocks):
-                own = np.repeat(place[end : end + size], n)
+                own = np.repeat(pairs.place[end : end + size], n)
                 end += size
                 sums = [np.bincount(docs, v[own], minlength=len(flags)) for v in (price, base, (c[at_w] > 0).astype(np.float64))]
                 for k, v in zip(out, (r[0], "s", *(x.astype("<f8").tobytes() for x in sums))):
