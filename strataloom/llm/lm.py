@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import released, staged
+from ..session import released, staged, unstaged
 from .common import whole_texts
 
 # The letters that have a symbol of their own, besides digits, full stop, comma, other ASCII, other characters, start and end.
@@ -173,9 +173,9 @@ def gibbs(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, sweeps: in
     return kept
 
 
-#: What a block sends to a part: words or pairs, counts, the texts of the block that hold them, and which texts are held out.
-PACKED = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in ("u", "w", "n", "docs", "flags"))])
-PACKED_DDL = "kind string, part long, block long, u binary, w binary, n binary, docs binary, flags binary"
+#: What a block sends to a part: words, how many pairs end in each, the first words of these, their counts, the texts of the block that hold them, and which texts are held out.
+PACKED = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in ("words", "pairs", "u", "n", "docs", "flags"))])
+PACKED_DDL = "kind string, part long, block long, words binary, pairs binary, u binary, n binary, docs binary, flags binary"
 
 
 class _Numbers(dict):
@@ -238,18 +238,10 @@ def _from40(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def _parts(key: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
-    """(part, places) of keys, each part in the order of its places."""
-    part = (key % np.uint64(n)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(np.concatenate([[-1], part[order]]))) if len(order) else []
-    return [(int(part[x[0]]), x) for x in np.split(order, cuts[1:])] if len(order) else []
-
-
 class Pairs:
     """The pairs of neighbouring words of one part of the key space, their counts in training, and how they sit.
 
-    A part is a random share of all pairs, as a hash deals them. So what it holds of a context or a dish is, times the
+    A part is a random share of all dishes, as a hash deals them. So what it holds of a context is, times the
     number of parts, an unbiased guess of the whole, which is all that seating needs of it.
     """
 
@@ -281,23 +273,51 @@ class Pairs:
                 self.tables[seen] += t / keep
 
 
-def _packed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int], list[tuple]]:
-    """The pairs of all blocks of a part one behind the other, in the order of blocks."""
-    rows = sorted(zip(*(table[c].to_pylist() for c in ("block", "u", "w", "n", "docs", "flags"))), key=lambda r: (r[0], r[1]))
-    u = np.concatenate([_from40(r[1]) for r in rows]) if rows else np.zeros(0, np.uint64)
-    w = np.concatenate([_from40(r[2]) for r in rows]) if rows else np.zeros(0, np.uint64)
-    return u, w, [len(r[1]) // 5 for r in rows], rows
+#: Words of so many bytes at most, which hold the most frequent ones, are spread over ``SPREAD`` places by the word before them.
+SHORT, SPREAD = 4, 16
+
 
+def _dealt(words: list[bytes], x: np.ndarray, u: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each pair of places ``u`` and ``w`` among ``words``: by its second word, and for short ones by the first one, too."""
+    short = np.fromiter((len(v) <= SHORT for v in words), bool, len(words))
+    return (_mix(x[w] + np.where(short[w], x[u] % np.uint64(SPREAD), np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 16 << 20, part_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _sent(words: list[bytes], x: np.ndarray, u: np.ndarray, w: np.ndarray, parts: int):
+    """(part, places of its pairs, payload) for each part: its words once, how many pairs end in each, and the first words of these.
+
+    The pairs come in the order of their second words, and so do the places.
+    """
+    part = _dealt(words, x, u, w, parts)
+    order = np.lexsort((w, part))
+    cuts = np.flatnonzero(np.diff(np.concatenate([[-1], part[order]]))) if len(order) else np.zeros(0, np.int64)
+    for own in np.split(order, cuts[1:]) if len(order) else []:
+        ends = w[own]
+        first = np.flatnonzero(np.diff(np.concatenate([[-1], ends])))
+        yield int(part[own[0]]), own, b"\n".join(words[i] for i in ends[first].tolist()), np.diff(np.concatenate([first, [len(own)]])).astype("<u4").tobytes(), _bytes40(x[u[own]])
+
+
+def _received(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, list[dict]]:
+    """Distinct words of a part's rows, their hashes, and of all pairs, one block behind the other, the hash of the first word and the place of the second."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["block"], r["u"]))
+    place, u, w = _Numbers(), [], []
+    for r in rows:
+        own = np.fromiter(map(place.__getitem__, r["words"].split(b"\n")), np.int64)
+        w.append(np.repeat(own, np.frombuffer(r["pairs"], "<u4")))
+        u.append(_from40(r["u"]))
+    words = list(place)
+    return words, _hash(words), np.concatenate(u) if u else np.zeros(0, np.uint64), np.concatenate(w) if w else np.zeros(0, np.int64), rows
+
+
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 12 << 20, part_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every whole text.
 
     Three levels of Pitman-Yor restaurants. Each word has one for what follows it (and the beginning of texts has one); all of these share
     the restaurant of single words as parent, whose customers are their tables; its base spells words, by a hierarchy of restaurants of
     characters whose customers are the tables of words. Counts come from all training texts and grow with the corpus:
 
-    - every block of texts gives its distinct words with counts, to tasks by word, and its distinct pairs, to tasks by a hash of the
-      pair, so that neither a frequent word nor a frequent context lands in one task;
+    - every block of texts gives its distinct pairs with counts, to tasks by a hash of the second word, and of both where that is
+      short, as the frequent ones are; so neither a frequent word nor a frequent context lands in one task;
     - a part of the pairs seats them by Gibbs sweeps: all customers of a dish in a restaurant get up and sit down again given the others (``seat``).
       What a sweep needs of other parts it takes from its own random share. Sums of customers and tables go to the words;
     - the words, and then their spelling, are seated given these tables. Nothing is held whole but the character tables, whose size the alphabet bounds;
@@ -313,56 +333,52 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = whole_texts(docs, id_col, text_col).withColumn("held_out", held).withColumns({"h0": F.xxhash64("text"), "h1": F.xxhash64(F.lit(1), "text")})
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, word_parts = max(1, -(-size // part_bytes)), max(1, -(-size // (4 * part_bytes)))
+    parts, end_hash = max(1, -(-size // part_bytes)), _hash([b""])[0]
 
     def counted(batches):
-        """Of kind w: words and their counts in training. Of kind b: pairs and theirs."""
+        """Pairs and their counts in training."""
         for number, (words, w, lengths, flags, _) in enumerate(_blocks(batches, block_bytes)):
-            out_of_training = np.repeat(flags, lengths).astype(np.int64)
-            out = {k: [] for k in PACKED.names}
-            x = _hash(words)
-            counts = np.bincount(w[out_of_training == 0], minlength=len(words))
-            for part, own in _parts(x[1:], word_parts):
-                own = own + 1
-                for k, v in zip(out, ("w", part, number, b"", b"\n".join(words[i] for i in own.tolist()), counts[own].astype("<u4").tobytes(), b"", b"")):
-                    out[k].append(v)
-            key = np.sort((_before(w, lengths) * len(words) + w) * 2 + out_of_training)
+            key = _before(w, lengths) * len(words)
+            key += w
+            key = key * 2 + np.repeat(flags, lengths)
+            key.sort()
             first = np.flatnonzero(np.diff(np.concatenate([[-1], key >> 1])))
-            n = np.add.reduceat(1 - (key & 1), first)
+            n = np.add.reduceat(1 - (key & 1), first).astype("<u4")
             pair = key[first] >> 1
-            pu, pw = x[pair // len(words)], x[pair % len(words)]
-            for part, own in _parts(_pair_keys(pu, pw), parts):
-                for k, v in zip(out, ("b", part, number, _bytes40(pu[own]), _bytes40(pw[own]), n[own].astype("<u4").tobytes(), b"", b"")):
+            del key
+            out = {k: [] for k in PACKED.names}
+            for part, own, own_words, pairs, before in _sent(words, _hash(words), pair // len(words), pair % len(words), parts):
+                for k, v in zip(out, ("b", part, number, own_words, pairs, before, n[own].tobytes(), b"", b"")):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=PACKED)
 
     packed = rows.select("text", "held_out", "h0", "h1").mapInArrow(counted, PACKED_DDL)
 
-    def seated(key, table):
-        """Of words: each with its count. Of pairs: sums by context and by dish, and which words a part asks for."""
-        kind, part = key[0].as_py(), key[1].as_py()
-        if kind == "w":
-            words: dict[bytes, int] = {}
-            for blob, n in zip(table["w"].to_pylist(), table["n"].to_pylist()):
-                for word, c in zip(blob.split(b"\n"), np.frombuffer(n, "<u4").tolist()):
-                    words[word] = words.get(word, 0) + c
-            own = sorted(words)
-            return pa.table([pa.array(["w"] * len(own)), pa.array([part] * len(own), pa.int64()), pa.array(own, pa.binary()), pa.array(_hash(own).astype(np.int64)), pa.array([words[x] for x in own], pa.float64()), *[pa.array([0.0] * len(own))] * 2], names=["kind", "part", "word", "x", "a", "b", "c"])
-        u, w, _, packed_rows = _packed(table)
-        count = np.concatenate([np.frombuffer(r[3], "<u4") for r in packed_rows]).astype(np.int64)
-        pairs = Pairs(u, w, count, parts, sweeps, keep)
-        x, back = np.unique(np.concatenate([pairs.u, pairs.w]), return_inverse=True)
-        of_u, of_w = back[: len(pairs.u)], back[len(pairs.u) :]
-        sums = [np.bincount(of_u, pairs.count, minlength=len(x)), np.bincount(of_u, pairs.tables, minlength=len(x)), np.bincount(of_w, pairs.tables, minlength=len(x))]
-        return pa.table([pa.array(["b"] * len(x)), pa.array([part] * len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.array(x.astype(np.int64)), *map(pa.array, sums)], names=["kind", "part", "word", "x", "a", "b", "c"])
-
-    shape = "kind string, part long, word binary, x long, a double, b double, c double"
-    seats = staged(packed.groupBy("kind", "part").applyInArrow(seated, shape), "seats")
+    def seated(table):
+        """Of kind w: words with their counts and their tables as dishes. Of kind b: the tables of contexts."""
+        words, x, u, w, packed_rows = _received(table)
+        part = table["part"][0].as_py()
+        count = np.concatenate([np.frombuffer(r["n"], "<u4") for r in packed_rows]).astype(np.int64)
+        pairs = Pairs(u, x[w], count, parts, sweeps, keep)
+        contexts, at = np.unique(pairs.u, return_inverse=True)
+        opened = np.bincount(at, pairs.tables, minlength=len(contexts))
+        by = np.argsort(x)
+        dish = np.bincount(by[np.searchsorted(x[by], pairs.w)], pairs.tables, minlength=len(words))
+        n = len(words), len(contexts)
+        columns = [["w"] * n[0] + ["b"] * n[1], [part] * sum(n), words + [None] * n[1], np.concatenate([x, contexts]).astype(np.int64), np.concatenate([np.bincount(w, count, minlength=n[0]), np.zeros(n[1])]), np.concatenate([dish, opened])]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64()))], names=["kind", "part", "word", "x", "c", "t"])
+
+    shape = "kind string, part long, word binary, x long, c double, t double"
+    seats = staged(packed.groupBy("part").applyInArrow(seated, shape), "seats")
     released(spark)
-    sums = seats.filter("kind = 'b'").groupBy("x").agg(F.sum("a").alias("of"), F.sum("b").alias("opened"), F.sum("c").alias("dish"))
+    opened = seats.filter("kind = 'b'").groupBy("x").agg(F.sum("t").alias("opened"))
     begin = int(_hash([BEGIN])[0])
-    vocabulary = seats.filter("kind = 'w'").select("word", "x", F.col("a").cast("long").alias("c")).join(sums, "x", "left")
-    vocabulary = staged(vocabulary.select("word", "x", "c", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("of", "opened", "dish")]), "words")
+    words_ = seats.filter("kind = 'w'").groupBy("word", "x").agg(F.sum("c").cast("long").alias("c"), F.sum("t").alias("dish"))
+    vocabulary = staged(words_.join(opened, "x", "left").select("word", "x", "c", "dish", F.coalesce("opened", F.lit(0.0)).alias("opened")), "words")
+    start = opened.filter(F.col("x") == begin).agg(F.coalesce(F.sum("opened"), F.lit(0.0))).first()[0]
+    asks = staged(seats.select(F.col("part").alias("to"), "x").distinct(), "asks")
+    unstaged(seats)
+    released(spark)
     once = vocabulary.filter("c > 0").select("word", "x", F.greatest(F.lit(1), F.round("dish")).cast("long").alias("n"))
     n_train, n_distinct, singles, doubles = vocabulary.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.round("dish") <= 1), F.count_if(F.round("dish") == 2)).first()
     n_tables = once.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # customers of the restaurant of single words
@@ -416,7 +432,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
     unseen = [hyper(t) * max(1e-12, 1 - mass.get(i, 0.0)) / (n_tables + WORD_STRENGTH) for i, (_, t) in enumerate(states)]
 
     def judged(batches):
-        """(x, c, of, opened, p): what pairs are priced with, p the probability of the word by itself."""
+        """(x, c, opened, p): what pairs are priced with, p the probability of the word by itself."""
         for batch in batches:
             words, c, dish = batch["word"].to_pylist(), batch["c"].to_numpy(zero_copy_only=False), batch["dish"].to_numpy(zero_copy_only=False)
             if not words:
@@ -427,12 +443,11 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
                 base = 10.0 ** np.maximum(Spelling(levels).log10(words), -300)
                 t = tables_of(x, n, base, t_all, 10 + i)
                 p += np.where(c > 0, (np.maximum(n - discount * t, 0) + hyper(t_all) * base) / (n_tables + WORD_STRENGTH), unseen[i])
-            yield pa.RecordBatch.from_arrays([batch["x"], batch["c"], batch["of"], batch["opened"], pa.array(np.maximum(p / len(final.value), 1e-300))], ["x", "c", "of", "opened", "p"])
+            yield pa.RecordBatch.from_arrays([batch["x"], batch["c"].cast(pa.int32()), batch["opened"].cast(pa.float32()), pa.array(np.maximum(p / len(final.value), 1e-30), pa.float32())], ["x", "c", "opened", "p"])
 
-    priced = vocabulary.mapInArrow(judged, "x long, c long, of double, opened double, p double").groupBy("x").agg(*[F.max(k).alias(k) for k in ("c", "of", "opened", "p")])
-    start = sums.filter(F.col("x") == begin).select("x", F.lit(0).cast("long").alias("c"), "of", "opened", F.lit(1e-300).alias("p"))
-    prices = staged(priced.union(start), "prices")
-    released(spark)
+    prices = vocabulary.select("word", "x", "c", "dish", "opened").mapInArrow(judged, "x long, c int, opened float, p float").groupBy("x").agg(*[F.max(k).alias(k) for k in ("c", "opened", "p")])
+    asked = asks.join(prices, "x", "left").select("to", "x", "c", "opened", "p")
+    n_texts = rows.filter(~F.col("held_out")).count()
 
     def posted(batches):
         """Of kind b: pairs with the texts of the block that hold them. Of kind t: the names and lengths of these texts."""
@@ -441,18 +456,24 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
             block = xxhash.xxh64_intdigest(names.tobytes(), seed=number) >> 1
             out = {k: [] for k in PACKED.names}
             flat = flags.tobytes()
-            for k, v in zip(out, ("t", block % parts, block, names.tobytes(), b"", lengths.astype("<u4").tobytes(), b"", b"")):
+            for k, v in zip(out, ("t", block % parts, block, names.tobytes(), b"", b"", lengths.astype("<u4").tobytes(), b"", b"")):
                 out[k].append(v)
             # Pair and text in one number: at most 23 bits a word, as a block has fewer tokens, and 16 for its texts.
-            key = np.sort((_before(w, lengths) * len(words) + w) << 16 | np.repeat(np.arange(len(lengths)), lengths))
-            texts_of, key = (key & 0xFFFF).astype("<u2"), key >> 16
+            key = _before(w, lengths) * len(words)
+            key += w
+            key <<= 16
+            key |= np.repeat(np.arange(len(lengths)), lengths)
+            key.sort()
+            texts_of = (key & 0xFFFF).astype("<u2")
+            key >>= 16
             first = np.flatnonzero(np.diff(np.concatenate([[-1], key])))
             n = np.diff(np.concatenate([first, [len(key)]]))
-            pu, pw = x[key[first] // len(words)], x[key[first] % len(words)]
-            for part, own in _parts(_pair_keys(pu, pw), parts):
+            pair = key[first]
+            del key
+            for part, own, own_words, pairs, before in _sent(words, x, pair // len(words), pair % len(words), parts):
                 m = n[own]
                 at = np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                for k, v in zip(out, ("b", part, block, _bytes40(pu[own]), _bytes40(pw[own]), m.astype("<u4").tobytes(), texts_of[at].tobytes(), flat)):
+                for k, v in zip(out, ("b", part, block, own_words, pairs, before, m.astype("<u4").tobytes(), texts_of[at].tobytes(), flat)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=PACKED)
 
@@ -461,28 +482,30 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
         out = {"block": [], "kind": [], "a": [], "b": [], "c": []}
         kinds = table["kind"].to_pylist()
         for i in [i for i, k in enumerate(kinds) if k == "t"]:
-            for k, v in zip(out, (table["block"][i].as_py(), "t", table["u"][i].as_py(), table["n"][i].as_py(), b"")):
+            for k, v in zip(out, (table["block"][i].as_py(), "t", table["words"][i].as_py(), table["n"][i].as_py(), b"")):
                 out[k].append(v)
-        mine = table.filter(pa.array([k == "b" for k in kinds], pa.bool_()))
-        u, w, sizes, blocks = _packed(mine)
+        words, x, u, w, blocks = _received(table.filter(pa.array([k == "b" for k in kinds], pa.bool_())))
         if len(u):
             known = answers["x"].to_numpy().astype(np.uint64)
             by = np.argsort(known)
-            c, of, opened, p = (answers[k].to_numpy().astype(np.float64)[by] for k in ("c", "of", "opened", "p"))
             known = known[by]
-            posts = [(np.frombuffer(r[3], "<u4").astype(np.int64), np.frombuffer(r[4], "<u2").astype(np.int64), np.frombuffer(r[5], np.uint8)) for r in blocks]
+            c, opened, p = (np.nan_to_num(answers[k].to_numpy(zero_copy_only=False).astype(np.float64))[by] for k in ("c", "opened", "p"))
+            # Every training word but the end is followed by one token; the beginning is by each text's first.
+            of = np.where(known == end_hash, 0.0, np.where(known == np.uint64(begin), n_texts, c))
+            opened = np.where(known == np.uint64(begin), start, opened)
+            posts = [(np.frombuffer(r["n"], "<u4").astype(np.int64), np.frombuffer(r["docs"], "<u2").astype(np.int64), np.frombuffer(r["flags"], np.uint8)) for r in blocks]
+            sizes = [len(n) for n, _, _ in posts]
             count = np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), 1 - flags[docs].astype(np.int64), minlength=len(n)) for n, docs, flags in posts])
-            pairs = Pairs(u, w, count, parts, sweeps, keep)
+            pairs = Pairs(u, x[w], count, parts, sweeps, keep)
             at_u, at_w = np.searchsorted(known, pairs.u), np.searchsorted(known, pairs.w)
-            open_ = PAIR_STRENGTH + of[at_u]
-            price = np.log10((np.maximum(pairs.count - PAIR_DISCOUNT * pairs.tables, 0) + (PAIR_STRENGTH + PAIR_DISCOUNT * opened[at_u]) * p[at_w]) / open_)
+            price = np.log10((np.maximum(pairs.count - PAIR_DISCOUNT * pairs.tables, 0) + (PAIR_STRENGTH + PAIR_DISCOUNT * opened[at_u]) * p[at_w]) / (PAIR_STRENGTH + of[at_u]))
             base = np.log10((c[at_w] + 1) / (n_train + n_distinct + 1))
             end = 0
             for (n, docs, flags), size, r in zip(posts, sizes, blocks):
                 own = np.repeat(pairs.place[end : end + size], n)
                 end += size
                 sums = [np.bincount(docs, v[own], minlength=len(flags)) for v in (price, base, (c[at_w] > 0).astype(np.float64))]
-                for k, v in zip(out, (r[0], "s", *(x.astype("<f8").tobytes() for x in sums))):
+                for k, v in zip(out, (r["block"], "s", *(v.astype("<f8").tobytes() for v in sums))):
                     out[k].append(v)
         return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["kind"], pa.string()), *(pa.array(out[k], pa.binary()) for k in "abc")], names=list(out))
 
@@ -497,7 +520,6 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
         names, n = np.frombuffer(t["a"], "<i8").reshape(-1, 2), np.frombuffer(t["b"], "<u4").astype(np.int64)
         return pa.table({"h0": names[:, 0].copy(), "h1": names[:, 1].copy(), "n_tokens": n, "n_known": sums[2].astype(np.int64), "base_score": sums[1], "score": sums[0]})
 
-    asked = seats.filter("kind = 'b'").select("part", "x").join(prices, "x").select(F.col("part").alias("to"), "x", F.col("c").cast("int").alias("c"), *[F.col(k).cast("float").alias(k) for k in ("of", "opened", "p")])
     packed = rows.select("text", "held_out", "h0", "h1").mapInArrow(posted, PACKED_DDL)
     sold_ = packed.groupBy("part").cogroup(asked.groupBy("to")).applyInArrow(sold, "block long, kind string, a binary, b binary, c binary")
     scored = sold_.groupBy("block").applyInArrow(summed, "h0 long, h1 long, n_tokens long, n_known long, base_score double, score double")
