@@ -31,7 +31,7 @@ class Rule:
     least: int = 1
 
 
-# The three base rules, then further well-known forms of credentials.
+# The three base rules, then further well-known forms of credentials. The trace has a byte for each combination of marks that occurs, which these fill well; many more rules would need another scanner.
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]", fold=True, keep=6),
     Rule("access", "AKIA", "[A-Z0-9]", least=20),
@@ -40,11 +40,14 @@ BASE = (
 MORE = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]", keep=30),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY----", "-"),
+    Rule("gitlab", "glpat-", "[A-Za-z0-9_-]", keep=20),
+    Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", keep=10),
+    Rule("stripe", "[rs]k_(live|test)_", "[A-Za-z0-9]", keep=16),
 )
 
 
 class _Nfa:
-    """Thompson's construction for literals, classes, groups, ``|``, ``?``, ``*``, ``+`` and ``{m}``."""
+    """Thompson's construction for literals, classes, groups, ``|``, ``?``, ``*`` and ``+``."""
 
     def __init__(self) -> None:
         self.step: list[list[tuple[frozenset[int], int]]] = []
