@@ -77,10 +77,12 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column,
             found = staged(found.join(done, ["a", "b"], "left_anti"), "near")
             released(spark)
         else:
-            held = members.join(traits, "node")
-            x = held.filter("comp != main").select("key", F.col("node").alias("x"), F.col("m").alias("xm"), F.col("comp").alias("xc"), F.col("s").alias("xs"))
-            y = held.select("key", F.col("node").alias("y"), F.col("m").alias("ym"), F.col("comp").alias("yc"), F.col("s").alias("ys"), "main")
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & close(F.col("xm"), F.col("ym")) & near(F.col("xs"), F.col("ys")))
+            # Both sides have the same columns and no filter of their own, so that one exchange serves both.
+            held = members.join(traits, "node").select("key", "node", "m", "comp", "main", "s").repartition("key")
+            x = held.select(F.col("key").alias("xk"), F.col("node").alias("x"), F.col("m").alias("xm"), F.col("comp").alias("xc"), F.col("main").alias("xmain"), F.col("s").alias("xs"))
+            y = held.select(F.col("key").alias("yk"), F.col("node").alias("y"), F.col("m").alias("ym"), F.col("comp").alias("yc"), F.col("main").alias("ymain"), F.col("s").alias("ys"))
+            outside = F.when(F.col("yc") == F.col("xc"), False).otherwise(F.col("xc") != F.col("xmain"))
+            pairs = x.join(y, (F.col("xk") == F.col("yk")) & outside & ((F.col("yc") == F.col("ymain")) | (F.col("x") < F.col("y"))) & close(F.col("xm"), F.col("ym")) & near(F.col("xs"), F.col("ys")))
             found = staged(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "near")
         more = staged(verify(found), "links")
         if not last:
