@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -57,3 +58,11 @@ def kept_in_worker(key: tuple, make: Callable):
             store.clear()
         store[key] = make()
     return store[key]
+
+
+def trimmed() -> None:
+    """Gives what a worker has freed back to the system, where the C library can do that; workers share an executor's memory with its JVM."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

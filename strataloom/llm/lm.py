@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import released, staged, unstaged
-from .common import whole_texts
+from .common import trimmed, whole_texts
 
 # The letters that have a symbol of their own, besides digits, full stop, comma, other ASCII, other characters, start and end.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñíóáúàâîôûëï"
@@ -99,8 +99,8 @@ def seat(counts: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: f
         if c < 2:
             continue
         steps = np.arange(c)
-        for at in range(0, len(own), max(1, 2_000_000 // c)):
-            part = own[at : at + max(1, 2_000_000 // c)]
+        for at in range(0, len(own), max(1, 400_000 // c)):
+            part = own[at : at + max(1, 400_000 // c)]
             weight = table[c, 1 : c + 1] + np.cumsum(np.log(strength[part][:, None] + discount * steps), 1) + np.log(np.maximum(base[part], 1e-300))[:, None] * (steps + 1)
             weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
             tables[part] = 1 + (weight < draw[part][:, None] * weight[:, -1:]).sum(1)
@@ -309,7 +309,7 @@ def _received(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.
     return words, _hash(words), np.concatenate(u) if u else np.zeros(0, np.uint64), np.concatenate(w) if w else np.zeros(0, np.int64), rows
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 12 << 20, part_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 8 << 20, part_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every whole text.
 
     Three levels of Pitman-Yor restaurants. Each word has one for what follows it (and the beginning of texts has one); all of these share
@@ -351,11 +351,14 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
                 for k, v in zip(out, ("b", part, number, own_words, pairs, before, n[own].tobytes(), b"", b"")):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=PACKED)
+            del out, first, n, pair, w, words
+            trimmed()
 
     packed = rows.select("text", "held_out", "h0", "h1").mapInArrow(counted, PACKED_DDL)
 
     def seated(table):
         """Of kind w: words with their counts and their tables as dishes. Of kind b: the tables of contexts."""
+        trimmed()
         words, x, u, w, packed_rows = _received(table)
         part = table["part"][0].as_py()
         count = np.concatenate([np.frombuffer(r["n"], "<u4") for r in packed_rows]).astype(np.int64)
@@ -365,8 +368,8 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
         by = np.argsort(x)
         dish = np.bincount(by[np.searchsorted(x[by], pairs.w)], pairs.tables, minlength=len(words))
         n = len(words), len(contexts)
-        columns = [["w"] * n[0] + ["b"] * n[1], [part] * sum(n), words + [None] * n[1], np.concatenate([x, contexts]).astype(np.int64), np.concatenate([np.bincount(w, count, minlength=n[0]), np.zeros(n[1])]), np.concatenate([dish, opened])]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64()))], names=["kind", "part", "word", "x", "c", "t"])
+        columns = [np.repeat(["w", "b"], n), np.full(sum(n), part), pa.concat_arrays([pa.array(words, pa.binary()), pa.nulls(n[1], pa.binary())]), np.concatenate([x, contexts]).astype(np.int64), np.concatenate([np.bincount(w, count, minlength=n[0]), np.zeros(n[1])]), np.concatenate([dish, opened])]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64()))], names=["kind", "part", "word", "x", "c", "t"])
 
     shape = "kind string, part long, word binary, x long, c double, t double"
     seats = staged(packed.groupBy("part").applyInArrow(seated, shape), "seats")
@@ -476,9 +479,12 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
                 for k, v in zip(out, ("b", part, block, own_words, pairs, before, m.astype("<u4").tobytes(), texts_of[at].tobytes(), flat)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=PACKED)
+            del out, first, n, pair, w, words, texts_of
+            trimmed()
 
     def sold(table, answers):
         """Of each block the sums of its texts over the pairs of this part; names and lengths pass through."""
+        trimmed()
         out = {"block": [], "kind": [], "a": [], "b": [], "c": []}
         kinds = table["kind"].to_pylist()
         for i in [i for i, k in enumerate(kinds) if k == "t"]:
