@@ -239,9 +239,10 @@ def debt_velocity(spark, d):
     return series.velocity(_daily(spark, d), ["user_id"], ["day"], "found")
 
 
-@query(f"with {DAILY}, n as (select user_id, count(*) n from d group by 1), e as (select user_id, unnest(found) fingerprint from d) select user_id, fingerprint from e group by 1, 2 having count(*) = (select n from n where n.user_id = e.user_id)")
+@query("with w as (select user_id, date_trunc('week', ts) as wk, event_type from events group by 1, 2, 3), n as (select user_id, count(distinct wk) n from w group by 1) select user_id, event_type fingerprint from w join n using (user_id) group by 1, 2, n having count(*) = n")
 def stability(spark, d):
-    return series.stable(_daily(spark, d), ["user_id"], "day", "found")
+    weekly = _t(spark, d, "events").groupBy("user_id", F.date_trunc("week", "ts").alias("week")).agg(F.collect_set("event_type").alias("found"))
+    return series.stable(weekly, ["user_id"], "week", "found")
 
 
 @query("""with x as (select user_id, count(*) n, arg_min(value, event_id) f, arg_max(value, event_id) l from events group by 1) select user_id, f as first, l as last,

@@ -54,7 +54,7 @@ _SMALL = {"function": {"lines": (8, 13), "cyclomatic": (5, 8), "cognitive": (6,
 
 
 @query(
-    f"""with {_DECLARED} select kind, status, count(*) n, sum(cyclomatic) points from (select *, e - s + 1 n_lines, case when kind = 'class' then case when e - s + 1 > 15 then 'fail' when e - s + 1 > 9 then 'warn' else 'pass' end
+    f"""with {_DECLARED} select kind, status, count(*) n, sum(cyclomatic)::bigint points from (select *, e - s + 1 n_lines, case when kind = 'class' then case when e - s + 1 > 15 then 'fail' when e - s + 1 > 9 then 'warn' else 'pass' end
  when e - s + 1 > 13 or cyclomatic > 8 or cognitive > 10 then 'fail' when e - s + 1 > 8 or cyclomatic > 5 or cognitive > 6 then 'warn' else 'pass' end status from declared) group by 1, 2"""
 )
 def declaration_status(spark, d):
@@ -70,7 +70,7 @@ def masked_code(spark, d):
 _GO = complexity.BRANCHES["go"]
 
 
-@query(f"select doc_id, sum(len(regexp_extract_all(t, '{_GO}'))) points from (select doc_id, unnest(string_split(text, chr(10))) t from documents where text is not null) group by 1")
+@query(f"select doc_id, sum(len(regexp_extract_all(t, '{_GO}')))::bigint points from (select doc_id, unnest(string_split(text, chr(10))) t from documents where text is not null) group by 1")
 def branch_counts(spark, d):
     lines = _t(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
     return lines.groupBy("doc_id").agg(F.sum(F.regexp_count("t", F.lit(_GO))).alias("points"))

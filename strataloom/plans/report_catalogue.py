@@ -81,12 +81,12 @@ def policy_breaks(spark, d):
     return reports.policy_breaks(rows, _POLICY)
 
 
-@query("select distinct p_partkey path from part where p_partkey not in (select l_partkey from lineitem)")
+@query("select distinct p_partkey path from part where p_partkey not in (select l_partkey from lineitem where l_linenumber < 3)")
 def unknown_paths(spark, d):
-    return reports.unknown_paths(_t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path")), _t(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("path"))).select(F.col("path").cast("long").alias("path"))
+    return reports.unknown_paths(_t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path")), _t(spark, d, "lineitem").filter("l_linenumber < 3").select(F.col("l_partkey").cast("string").alias("path"))).select(F.col("path").cast("long").alias("path"))
 
 
-_SCANS = "d as (select user_id, ts::date as day, list_sort(list(distinct event_type)) found, sum(value) total, count(*) % 2 kind from events group by 1, 2), s as (select *, case when kind = lag(kind) over w or lag(kind) over w is null then 0 else 1 end nw from d window w as (partition by user_id order by day)), g as (select *, sum(nw) over (partition by user_id order by day rows unbounded preceding) segment from s)"
+_SCANS = "d as (select user_id, ts::date as day, list_sort(list(distinct event_type)) found, sum(value) total, count(*) % 2 kind from events group by 1, 2), s as (select *, case when kind = lag(kind) over w or lag(kind) over w is null then 0 else 1 end nw from d window w as (partition by user_id order by day)), g as (select *, (sum(nw) over (partition by user_id order by day rows unbounded preceding))::bigint segment from s)"
 
 
 def _scans(spark, d):
