@@ -110,28 +110,29 @@ def may_reach(a, b, least: float, errors: float = 5.5):
     standard errors: of the odd bits, of the choice of samples, and of the number of bins that have any.
     """
     bits, union = float(64 * WORDS), (a["n"] + b["n"]) / F.lit(1 + least)
-
-    def enough(level: int):
-        bins = float(BINS[level])
-        odd = sum((F.bit_count(F.element_at(a["odd"], i).bitwiseXOR(F.element_at(b["odd"], i))) for i in range(level * WORDS + 1, (level + 1) * WORDS + 1)), F.lit(0))
-        differ = F.when(odd * 2 < bits, -F.log(1 - 2 * odd / F.lit(bits)) * (bits / 2)).otherwise(F.lit(1e18))
-        equal = (F.element_at(a["filled"], level + 1) + F.element_at(b["filled"], level + 1) - differ) / 2
-        empty = F.exp(-union / bins)
-        either = (1 - empty) * bins
-        only = F.greatest(F.element_at(a["filled"], level + 1) + F.element_at(b["filled"], level + 1) - either * (2 * least), F.lit(0.0))
-        by_bits = (F.exp(4 * only / bits) - 1) * (bits / 4) - only
-        by_choice = either * (least * (1 - least)) * (1 - either / union)
-        by_bins = empty * (1 - (1 + union / bins) * empty) * bins
-        return equal >= either * least - 1 - F.sqrt(by_bits / 4 + by_choice + by_bins * least**2) * errors
-
+    fine = F.greatest(a["n"], b["n"]) <= SMALL
+    first, at = F.when(fine, 1).otherwise(WORDS + 1), F.when(fine, 1).otherwise(2)
+    bins = F.when(fine, float(BINS[0])).otherwise(float(BINS[1]))
+    # One short expression for either level: unrolled it would be more code than a method may have.
+    odd = F.aggregate(F.zip_with(F.slice(a["odd"], first, F.lit(WORDS)), F.slice(b["odd"], first, F.lit(WORDS)), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    held = F.element_at(a["filled"], at) + F.element_at(b["filled"], at)
+    empty = F.exp(-union / bins)
+    either = (1 - empty) * bins
+    only = F.greatest(held - either * (2 * least), F.lit(0.0))
+    by_bits = (F.exp(4 * only / bits) - 1) * (bits / 4) - only
+    by_choice = either * (least * (1 - least)) * (1 - either / union)
+    by_bins = empty * (1 - (1 + union / bins) * empty) * bins
     sizes = F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * F.lit(least) - 1e-6
-    return sizes & F.when(F.greatest(a["n"], b["n"]) <= SMALL, enough(0)).otherwise(enough(1))
+    # So many samples may differ, and so many bits then are odd at most.
+    differ = held - 2 * (either * least - 1 - F.sqrt(by_bits / 4 + by_choice + by_bins * least**2) * errors)
+    return F.when(~sizes, False).otherwise(odd <= (1 - F.exp(differ * (-2 / bits))) * (bits / 2) + 1e-9)
 
 
 def may_link(a, b, least: float):
-    """``may_reach``, and for two small sets, which travel whole, whether they do."""
+    """Whether two small sets, which travel whole, reach ``least``; for others what ``may_reach`` says."""
     reach = F.size(F.array_intersect(a["whole"], b["whole"])) * F.lit(1 + least) >= (a["n"] + b["n"]) * F.lit(least) - 1e-6
-    return F.when(~may_reach(a, b, least), False).when(a["whole"].isNull() | b["whole"].isNull(), True).otherwise(reach)
+    sizes = F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * F.lit(least) - 1e-6
+    return F.when(~sizes, False).when(a["whole"].isNull() | b["whole"].isNull(), may_reach(a, b, least)).otherwise(reach)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +140,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Texts of equal sets are one node, the smallest id of them. The 160 MinHash samples of a node make 32 bands of 5 (a
     pair at 0.8 shares no band with probability 3e-6); nodes that share a band are compared as ``link_buckets`` says.
-    A pair goes on if the odd sketches say that it may reach ``percent`` (``may_reach``) and, where both sets are small enough to travel whole, if these do; it is linked if its full
+    A pair goes on if its sets, where both are small enough to travel whole, reach ``percent``, else if the odd sketches say that it may (``may_reach``); it is linked if its full
     sets say so. Texts without words have no shingles and stay alone. Rows of one id count as one
     document in links: if their texts differ, any of them links it, and each row's component is that of its own text's
     class; rows without an id are linked with nothing (component null) and kept.
