@@ -245,32 +245,38 @@ class Pairs:
     number of parts, an unbiased guess of the whole, which is all that seating needs of it.
     """
 
-    def __init__(self, u: np.ndarray, w: np.ndarray, count: np.ndarray, parts: int, sweeps: int, keep: int) -> None:
-        key = _pair_keys(u, w)
+    def __init__(self, u: np.ndarray, w: np.ndarray, x: np.ndarray, count: np.ndarray, parts: int, sweeps: int, keep: int) -> None:
+        """``u``: hashes of first words, ``w``: places of second ones among the words whose hashes are ``x``; pairs may repeat."""
+        key = w.astype(np.uint64) << np.uint64(40) | u
         order = np.argsort(key)
         key = key[order]
         starts = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        first = np.flatnonzero(starts)
-        self.key, self.u, self.w = key[first], u[order[first]], w[order[first]]
         #: For each of the given pairs its place among the distinct ones.
         self.place = np.empty(len(key), np.int64)
         self.place[order] = np.cumsum(starts) - 1
-        self.count = np.bincount(self.place, count, minlength=len(first)).astype(np.int64)
-        seen = np.flatnonzero(self.count)
-        self.tables = np.zeros(len(self.key))
-        if not len(seen):
+        key = key[starts]
+        del order, starts
+        self.w = (key >> np.uint64(40)).astype(np.int64)
+        #: Distinct first words, and which of them each pair has.
+        self.contexts, self.u = np.unique(key & np.uint64((1 << 40) - 1), return_inverse=True)
+        self.count = np.bincount(self.place, count, minlength=len(key)).astype(np.int64)
+        self.tables = np.minimum(self.count, 1).astype(np.float64)  # a single customer has a table of its own
+        again = np.flatnonzero(self.count > 1)
+        if not len(again):
             return
-        contexts, at_u = np.unique(self.u[seen], return_inverse=True)
-        dishes, at_w = np.unique(self.w[seen], return_inverse=True)
-        t, c = np.minimum(self.count[seen], 1), self.count[seen]
-        again = np.flatnonzero(c > 1)  # a single customer has a table of its own
+        at_u, at_w, c = self.u[again], self.w[again], self.count[again]
+        of_context = np.bincount(self.u, self.tables, minlength=len(self.contexts))
+        of_dish, every = np.bincount(self.w, self.tables, minlength=len(x)), self.tables.sum()
+        keys, t, mean = _pair_keys(self.contexts[at_u], x[at_w]), np.ones(len(again), np.int64), np.zeros(len(again))
         for sweep in range(sweeps):
-            in_context = np.bincount(at_u, t)[at_u] - t
-            share = np.bincount(at_w, t)[at_w] / t.sum()
-            t = t.copy()
-            t[again] = seat(c[again], share[again], PAIR_STRENGTH + PAIR_DISCOUNT * in_context[again] * parts, PAIR_DISCOUNT, draws(self.key[seen][again], 100 + sweep))
+            # What changes from sweep to sweep are the tables beyond the first ones of these pairs.
+            more = t - 1
+            in_context = of_context[at_u] + np.bincount(at_u, more, minlength=len(of_context))[at_u] - t
+            share = (of_dish[at_w] + np.bincount(at_w, more, minlength=len(of_dish))[at_w]) / (every + more.sum())
+            t = seat(c, share, PAIR_STRENGTH + PAIR_DISCOUNT * in_context * parts, PAIR_DISCOUNT, draws(keys, 100 + sweep))
             if sweep >= sweeps - keep:
-                self.tables[seen] += t / keep
+                mean += t / keep
+        self.tables[again] = mean
 
 
 #: Words of so many bytes at most, which hold the most frequent ones, are spread over ``SPREAD`` places by the word before them.
@@ -309,7 +315,7 @@ def _received(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.
     return words, _hash(words), np.concatenate(u) if u else np.zeros(0, np.uint64), np.concatenate(w) if w else np.zeros(0, np.int64), rows
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 8 << 20, part_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6, keep: int = 3, block_bytes: int = 10 << 20, part_bytes: int = 14 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every whole text.
 
     Three levels of Pitman-Yor restaurants. Each word has one for what follows it (and the beginning of texts has one); all of these share
@@ -362,11 +368,9 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
         words, x, u, w, packed_rows = _received(table)
         part = table["part"][0].as_py()
         count = np.concatenate([np.frombuffer(r["n"], "<u4") for r in packed_rows]).astype(np.int64)
-        pairs = Pairs(u, x[w], count, parts, sweeps, keep)
-        contexts, at = np.unique(pairs.u, return_inverse=True)
-        opened = np.bincount(at, pairs.tables, minlength=len(contexts))
-        by = np.argsort(x)
-        dish = np.bincount(by[np.searchsorted(x[by], pairs.w)], pairs.tables, minlength=len(words))
+        pairs = Pairs(u, w, x, count, parts, sweeps, keep)
+        contexts = pairs.contexts
+        opened, dish = np.bincount(pairs.u, pairs.tables, minlength=len(contexts)), np.bincount(pairs.w, pairs.tables, minlength=len(words))
         n = len(words), len(contexts)
         columns = [np.repeat(["w", "b"], n), np.full(sum(n), part), pa.concat_arrays([pa.array(words, pa.binary()), pa.nulls(n[1], pa.binary())]), np.concatenate([x, contexts]).astype(np.int64), np.concatenate([np.bincount(w, count, minlength=n[0]), np.zeros(n[1])]), np.concatenate([dish, opened])]
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64()))], names=["kind", "part", "word", "x", "c", "t"])
@@ -502,8 +506,8 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, sweeps: int = 6,
             posts = [(np.frombuffer(r["n"], "<u4").astype(np.int64), np.frombuffer(r["docs"], "<u2").astype(np.int64), np.frombuffer(r["flags"], np.uint8)) for r in blocks]
             sizes = [len(n) for n, _, _ in posts]
             count = np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), 1 - flags[docs].astype(np.int64), minlength=len(n)) for n, docs, flags in posts])
-            pairs = Pairs(u, x[w], count, parts, sweeps, keep)
-            at_u, at_w = np.searchsorted(known, pairs.u), np.searchsorted(known, pairs.w)
+            pairs = Pairs(u, w, x, count, parts, sweeps, keep)
+            at_u, at_w = np.searchsorted(known, pairs.contexts)[pairs.u], np.searchsorted(known, x)[pairs.w]
             price = np.log10((np.maximum(pairs.count - PAIR_DISCOUNT * pairs.tables, 0) + (PAIR_STRENGTH + PAIR_DISCOUNT * opened[at_u]) * p[at_w]) / (PAIR_STRENGTH + of[at_u]))
             base = np.log10((c[at_w] + 1) / (n_train + n_distinct + 1))
             end = 0

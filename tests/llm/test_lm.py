@@ -38,15 +38,18 @@ def test_draws_are_uniform_and_depend_on_keys_alone():
 
 def test_pairs_are_counted_and_tables_stay_in_bounds():
     rng = np.random.default_rng(1)
-    u, w, c = rng.integers(0, 20, 500).astype(np.uint64), rng.integers(0, 30, 500).astype(np.uint64), rng.integers(0, 9, 500)
-    pairs = lm.Pairs(u, w, c, 4, 6, 3)
+    u, w, c = rng.integers(0, 20, 500).astype(np.uint64), rng.integers(0, 30, 500), rng.integers(0, 9, 500)
+    x = np.arange(30).astype(np.uint64) * np.uint64(1000)
+    pairs = lm.Pairs(u, w, x, c, 4, 6, 3)
     want: dict = {}
-    for x, y, n in zip(u.tolist(), w.tolist(), c.tolist()):
-        want[x, y] = want.get((x, y), 0) + n
-    assert {(x, y): n for x, y, n in zip(pairs.u.tolist(), pairs.w.tolist(), pairs.count.tolist())} == want
+    for a, b, n in zip(u.tolist(), w.tolist(), c.tolist()):
+        want[a, b] = want.get((a, b), 0) + n
+    names = [(a, b) for a, b in zip(pairs.contexts[pairs.u].tolist(), pairs.w.tolist())]
+    assert dict(zip(names, pairs.count.tolist())) == want and [names[i] for i in pairs.place] == list(zip(u.tolist(), w.tolist()))
     assert (pairs.tables <= pairs.count).all() and (pairs.tables >= np.minimum(pairs.count, 1)).all()
-    turned = lm.Pairs(u[::-1], w[::-1], c[::-1], 4, 6, 3)
-    assert (turned.key == pairs.key).all() and (turned.tables == pairs.tables).all()
+    turned = lm.Pairs(u[::-1], 29 - w[::-1], x[::-1], c[::-1], 4, 6, 3)  # other places, the same words
+    tables = dict(zip(zip(turned.contexts[turned.u].tolist(), (29 - turned.w).tolist()), turned.tables.tolist()))
+    assert tables == dict(zip(names, pairs.tables.tolist()))
 
 
 def texts():
