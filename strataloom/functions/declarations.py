@@ -13,7 +13,7 @@ import re
 from bisect import bisect_right
 from typing import NamedTuple
 
-from . import complexity, lexing
+from . import lexing, streams
 
 NAME = r"[A-Za-z_$][\w$]*"
 HEADER = 12  # lines in which the body of a declaration has to open
@@ -174,7 +174,7 @@ def _accepted(source: Source, kind: str, name: str, at: int) -> bool:
         return bool(re.compile(r"\s*(?::[^=;{]*?)?=>").match(code, source.partner[start] + 1))
     if at not in source.partner:
         return True
-    tail = code[source.partner[at] + 1 :][:2000]
+    tail = code[source.partner[at] + 1 :]
     if kind == "signature":
         return bool(re.match(r"\s*(?:\{|throws\b|;)", tail))
     if source.language == "js":
@@ -249,7 +249,7 @@ def of_python(text: str) -> tuple[list[tuple[Declaration, int | None]], Source]:
         return found, source
     kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
     nodes = sorted((x for x in ast.walk(tree) if isinstance(x, kinds)), key=lambda x: (x.lineno, x.end_lineno))
-    return [(Declaration(x.lineno, x.end_lineno, x.name, "class" if isinstance(x, ast.ClassDef) else "function"), 0 if isinstance(x, ast.ClassDef) else complexity.of_python(x)) for x in nodes], source
+    return [(Declaration(x.lineno, x.end_lineno, x.name, "class" if isinstance(x, ast.ClassDef) else "function"), 0 if isinstance(x, ast.ClassDef) else streams.of_python(x)) for x in nodes], source
 
 
 def of_ruby(text: str) -> tuple[list[Declaration], Source]:
@@ -354,17 +354,17 @@ def of_fortran(text: str, language: str) -> tuple[list[Declaration], Source]:
 
 
 def measured(path: str, text: str) -> list[dict]:
-    """A row for each declaration of a file: start, end, name, kind, lines, cyclomatic and cognitive complexity, digest and tokens of its masked body.
+    """A row for each declaration of a file: start, end, name, kind, lines, digest and tokens of its masked body, and the body itself.
 
-    Files of unknown languages have none.
+    ``weight`` is the nesting-weighted complexity where a syntax tree gives it. Files of unknown languages have no rows.
     """
     language = lexing.language_of(path)
     if language is None:
         return []
-    scores: dict[Declaration, int | None] = {}
+    weights: dict[Declaration, int | None] = {}
     if language == "python":
         pairs, source = of_python(text)
-        declared, scores = [d for d, _ in pairs], dict(pairs)
+        declared, weights = [d for d, _ in pairs], dict(pairs)
     elif language in HEADS:
         declared, source = of_braces(text, language)
     else:
@@ -372,12 +372,9 @@ def measured(path: str, text: str) -> list[dict]:
     lines, rows = text.split("\n"), []
     for d in sorted(declared, key=lambda x: (x.start, x.end)):
         body = source.lines[d.start - 1 : d.end]
-        score = scores.get(d)
         rows.append({
-            "start": d.start, "end": d.end, "name": d.name, "kind": d.kind, "lines": d.end - d.start + 1,
-            "cyclomatic": 1 + sum(complexity.branch_points(x, language) for x in body),
-            "cognitive": score if score is not None else complexity.cognitive(body, language),
+            "start": d.start, "end": d.end, "name": d.name, "kind": d.kind, "lines": d.end - d.start + 1, "language": "fortran" if language == "fortran_fixed" else language, "weight": weights.get(d),
             "digest": hashlib.sha256("\n".join(" ".join(x.split()) for x in body if x.strip()).encode()).hexdigest(),
-            "tokens": complexity.tokens("\n".join(lines[d.start - 1 : d.end]), language, body),
+            "tokens": streams.tokens("\n".join(lines[d.start - 1 : d.end]), language, body), "body": body,
         })
     return rows

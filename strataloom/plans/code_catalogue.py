@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import complexity
-from ..operators import code
+from ..operators import code, complexity
 from .catalogue import _t, query
 
 # Of part: id, k (0 to 4 branches) and language. Each text is written line by line; the SQL beside it counts lines and branches.

@@ -4,9 +4,11 @@ import textwrap
 
 import pytest
 
-from strataloom.functions import complexity, lexing
+from pyspark.sql import functions as F
+
+from strataloom.functions import lexing, streams
 from strataloom.functions.declarations import measured
-from strataloom.operators import code
+from strataloom.operators import code, complexity
 
 SAMPLES = {
     "a.py": ('class Box:\n    def get(self, k):\n        def inner():\n            return f"{k if k else 0} if"\n        if k and k > 1:\n            for i in k:\n                pass\n        elif k:\n            return 2\n        return """\nif while\n"""\n', [("Box", 1, 12, 6), ("get", 2, 12, 6), ("inner", 3, 4, 2)]),
@@ -29,11 +31,16 @@ SAMPLES = {
 }
 
 
+@pytest.fixture(scope="module")
+def sampled(spark):
+    files = spark.createDataFrame([(p, t) for p, (t, _) in SAMPLES.items()], "path string, text string")
+    return code.declarations(files).collect()
+
+
 @pytest.mark.parametrize("path", sorted(SAMPLES))
-def test_declarations(path):
-    text, want = SAMPLES[path]
-    got = [(r["name"], r["start"], r["end"], r["cyclomatic"]) for r in measured(path, text)]
-    assert sorted(got) == sorted(want)
+def test_declarations(sampled, path):
+    got = [(r["name"], r["start"], r["end"], r["cyclomatic"]) for r in sampled if r["path"] == path]
+    assert sorted(got) == sorted(SAMPLES[path][1])
 
 
 @pytest.mark.parametrize("path", sorted(x for x in SAMPLES if x not in ("a.f", "a.cob")))
@@ -51,20 +58,41 @@ def test_unfinished_sources_do_no_harm():
     assert measured("a.txt", "if") == [] and measured("a.py", "") == [] and measured("b.py", "def broken(:\n    if x:\n        pass\ny = 1\n")[0]["end"] == 3
 
 
-def test_cognitive_nests():
+def scored(spark, bodies):
+    """Cognitive complexity of (language, masked lines)."""
+    rows = spark.createDataFrame([(i, language, None, lines) for i, (language, lines) in enumerate(bodies)], "i int, language string, weight int, body array<string>")
+    return [r["cognitive"] for r in complexity.measured(rows).orderBy("i").collect()]
+
+
+def test_cognitive_nests(spark):
     flat = "def f(a):\n" + "    if a:\n        pass\n" * 3
     deep = "def f(a):\n    if a:\n        if a:\n            if a:\n                pass\n"
-    assert (measured("x.py", flat)[0]["cognitive"], measured("x.py", deep)[0]["cognitive"]) == (3, 6)
-    assert complexity.of_fortran(["if (a) then", "  do i = 1, 2", "    if (b) x = 1", "  end do", "end if"]) == 1 + 2 + 3
-    assert complexity.of_shell(["if a; then", "  for x in y; do b && c; done", "else d; fi"]) == 1 + 2 + 1 + 1
-    assert complexity.of_cobol(["IF A", "  PERFORM UNTIL B", "    X", "  END-PERFORM", "ELSE Y.", "IF C Z."]) == 1 + 2 + 1 + 1
+    files = spark.createDataFrame([("a.py", flat), ("b.py", deep)], "path string, text string")
+    assert [r["cognitive"] for r in code.declarations(files).orderBy("path").collect()] == [3, 6]
+    cases = [
+        ("fortran", ["if (a) then", "  do i = 1, 2", "    if (b) x = 1", "  end do", "end if"], 1 + 2 + 3),
+        ("fortran", ["end if", "if (a .and. b) then", "else", "end if", "if (c) x = 1"], 2 + 1 + 1),  # what closes too much is no debt
+        ("shell", ["if a; then", "  for x in y; do b && c; done", "else d; fi"], 1 + 2 + 1 + 1),
+        ("shell", ["echo if; then time while x; do", "if a; then if b; then c; fi; fi", "done"], 1 + 2 + 3),
+        ("cobol", ["IF A", "  PERFORM UNTIL B", "    X", "  END-PERFORM", "ELSE Y.", "IF C Z."], 1 + 2 + 1 + 1),
+        ("js", ["function f(a)", "{", "  if (a && b) {", "    for (;;) { while (x) y(); }", "  } else if (c) {", "  }", "}"], 3 + 6 + 3),
+        ("java", ["}", "void f() {", "if (a) {", "if (b) {}", "}", "}"], 2 + 3),
+        ("go", [], 0),
+    ]
+    assert scored(spark, [c[:2] for c in cases]) == [c[2] for c in cases]
+
+
+def test_words_of_the_shell_count_where_commands_begin(spark):
+    cases = [("if a; then", ["if"]), ("echo if while", []), ("a && if b || c; fi", ["&&", "if", "||", "fi"]), ("else time if x", ["else", "if"]), ("iffy; done", ["done"]), ("", []), ("then then for x", ["for"]), ("$(while x", ["while"]), ("do do", [])]
+    got = spark.createDataFrame([(t,) for t, _ in cases], "t string").select(complexity.shell_words(F.col("t"))).collect()
+    assert [list(r[0]) for r in got] == [w for _, w in cases]
 
 
 def test_tokens_are_renamed():
-    a = complexity.tokens("    def f(x, y):\n        return x + 'a' * 3\n", "python")
-    assert a == complexity.tokens("def g(u, v):\n    return u + 'b' * 7\n", "python") and "V0" in a and "S" in a and "L" in a
-    assert complexity.tokens("", "js", ["if (a) return b + 12;"]) == ["if", "(", "V0", ")", "return", "V1", "+", "L", ";"]
-    assert complexity.tokens("x = (", "python") == []
+    a = streams.tokens("    def f(x, y):\n        return x + 'a' * 3\n", "python")
+    assert a == streams.tokens("def g(u, v):\n    return u + 'b' * 7\n", "python") and "V0" in a and "S" in a and "L" in a
+    assert streams.tokens("", "js", ["if (a) return b + 12;"]) == ["if", "(", "V0", ")", "return", "V1", "+", "L", ";"]
+    assert streams.tokens("x = (", "python") == []
 
 
 def body(name: str, parameter: str, extra: str = "") -> str:
