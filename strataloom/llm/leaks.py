@@ -10,6 +10,8 @@ from .words import BETWEEN_WORDS, word_array
 
 #: Up to so many windows, and bytes of their texts, go to every task as one hash table.
 MOST_WINDOWS, MOST_BYTES = 1_000_000, 100_000_000
+#: Classes in all the different sets of classes that documents hold, up to which the digests of these sets go to every task (some 50 bytes a class).
+MOST_CLASSES = 1_000_000
 
 
 def _hashed(words: Column, at: Column, length: int) -> Column:
@@ -92,12 +94,20 @@ def leak_digest(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: s
     lists = found.filter(F.size("classes") > 0).select("classes").distinct()
     items = lists.select("classes", F.explode("classes").alias("class")).join(of, "class").groupBy("classes").agg(F.array_sort(F.collect_set("item")).alias("items"))
     named = items.select("classes", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    named = staged(named, "lists")
+    # Clean documents have no list to look up. Those of one common passage share a list, a hot key: lists go to every task while they are few.
+    few = named.agg(F.coalesce(F.sum(F.size("classes") + 4), F.lit(0))).first()[0] <= MOST_CLASSES
+    leaked = found.filter(F.size("classes") > 0).join(F.broadcast(named) if few else named, "classes", "left")
+    clean = found.filter(F.size("classes") == 0).withColumns({"n_items": F.lit(None).cast("long"), "items_sha256": F.lit(None).cast("string")})
     n_hit = F.size("hit").cast("long")
-    rows = found.join(named, "classes", "left").select(
+    rows = leaked.unionByName(clean).select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"),
     )
-    return rows.drop("_copy")
+    out = staged(rows.drop("_copy"), "leaked")
+    for x in (windows, of, found, named):
+        unstaged(x)
+    return out
 
 
 def _runs(hit: Column) -> Column:

@@ -64,8 +64,10 @@ def brute_leaks(docs, items, size=10):
 
 
 @pytest.mark.parametrize("bounds", [{}, {"most_windows": 0}])
-def test_leaks_equal_brute_force(spark, corpus, bounds):
+def test_leaks_equal_brute_force(spark, corpus, bounds, monkeypatch):
     docs, items = corpus
+    if bounds:
+        monkeypatch.setattr(leaks, "MOST_CLASSES", 0)
     got = leaks.leak_digest(frame(spark, docs), frame(spark, items, "item_id long, text string"), **bounds)
     assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute_leaks(docs, items)))
