@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import lexing, paths
-from .operators import bands, code, reports, scorecard, text
+from .functions import lexing, markers, paths
+from .operators import bands, code, incremental, reports, scorecard, text
 from .session import staged
 from .sources.files import source_files
 
@@ -35,30 +35,35 @@ def risk_findings(lines: DataFrame, rules: list[tuple[str, str, tuple[str, ...]
     return lines.select(F.explode(found).alias("rule"), "path", F.col("line_no").alias("line"), F.substring(F.trim("text"), 1, 180).alias("text"))
 
 
-def audit(spark: SparkSession, root: str, exclude: list[str] = (), clone_lines: int = 8, history: DataFrame | None = None) -> dict[str, DataFrame]:
-    """files, declarations, clones, similar, unused, risks, hotspots, work, summary and card of the sources under ``root``.
+def audit(spark: SparkSession, root: str, exclude: list[str] = (), clone_lines: int = 8, history: DataFrame | None = None, gates: DataFrame | None = None, unpaired: bool | None = None, store: str | None = None) -> dict[str, DataFrame]:
+    """files, declarations, clones, similar, unused, risks, idioms, hotspots, work, summary and card of the sources under ``root``.
 
-    Files are read and parsed once; the declarations are staged, as five tables come from them. ``history``: a row with
-    files_changed, hotspots, coupled_pairs, settled_files and single_author_files, if there is any; without it these are unknown, not zero.
+    Files are read and parsed once; sources and declarations are staged. ``history``: a row with
+    files_changed, hotspots, coupled_pairs, settled_files and single_author_files; ``gates``: (gate, passed), a row a gate that was run, null where it could
+    not be judged; ``unpaired``: whether a hotspot has no test. What is not given was not looked at: it is unknown and priced, never a clean reading.
+    With a ``store``, only files that it does not hold are parsed (``incremental``).
     """
     read = source_files(spark, root, list(SUFFIXES), list(exclude))
-    sources = read.select("path", F.col("content").alias("text"), "valid")
+    # Texts are read from the tree once; all tables come from the staged copy.
+    sources = staged(read.select("path", F.col("content").alias("text"), "valid"), "sources")
     lines = sources.select("path", F.posexplode(text.split_lines(F.col("text"))).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line_no"), "text")
     test = paths.is_test_path(F.col("path"))
     files = sources.select("path", "valid", F.size(text.split_lines(F.col("text"))).alias("lines"), test.alias("is_test")).withColumn("status", bands.status(F.col("lines"), *FILE_LIMITS))
-    declared = staged(code.declarations(sources), "declarations")
+    declared = incremental.declarations(sources, store) if store else staged(code.declarations(sources), "declarations")
     graded = declared.withColumn("status", code.status()).withColumn("is_test", test)
     windows = text.clone_windows(lines, clone_lines)
     clones = text.clone_groups(windows, clone_lines)
     similar, unused, risks = code.similar_bodies(declared), code.unused_declarations(declared, sources), risk_findings(lines)
-    summary = _summary(spark, root, files, graded, clones, similar, unused, risks, history)
+    uses = lines.filter(~test).select("path", F.explode(markers.imported(F.col("text"), F.lower("path").endswith(".py"))).alias("package"))
+    idioms = text.divergent(markers.competing(uses), "concern", "package", "path")
+    summary = _summary(spark, root, files, graded, clones, similar, unused, risks, idioms, history, gates, unpaired)
     card = scorecard.scorecard(summary)
     hotspots = code.function_hotspots(declared)
     work = reports.all_items(reports.items_of_declarations(graded.filter("status = 'fail'")), reports.items_of_files(files.filter("status = 'fail'")), reports.items_of_findings(risks.withColumnRenamed("text", "message"), "risk-pattern"))
-    return {"files": files, "declarations": graded.drop("tokens"), "clones": clones, "similar": similar, "unused": unused, "risks": risks, "hotspots": hotspots, "work": work, "summary": summary, "card": card}
+    return {"files": files, "declarations": graded.drop("tokens"), "clones": clones, "similar": similar, "unused": unused, "risks": risks, "idioms": idioms, "hotspots": hotspots, "work": work, "summary": summary, "card": card}
 
 
-def _summary(spark, root, files, graded, clones, similar, unused, risks, history) -> DataFrame:
+def _summary(spark, root, files, graded, clones, similar, unused, risks, idioms, history, gates, unpaired) -> DataFrame:
     """One row of counts; each table is summed by itself and the single rows are put side by side."""
     count = lambda frame, name: frame.agg(F.count("*").alias(name))
     of_files = files.agg(
@@ -79,7 +84,9 @@ def _summary(spark, root, files, graded, clones, similar, unused, risks, history
     names = spark.read.format("binaryFile").load(root).select(F.lower(F.element_at(F.split("path", "/"), -1)).alias("n")) if _holds_files(spark, root) else spark.createDataFrame([], "n string")
     papers = names.agg(F.coalesce(F.bool_or(F.col("n").startswith("readme")), F.lit(False)).alias("has_readme"), F.coalesce(F.bool_or(F.col("n").startswith("changelog")), F.lit(False)).alias("has_changelog"))
     row = row.join(F.broadcast(papers)).withColumn("has_docs", F.lit(_exists(spark, root.rstrip("/") + "/docs")))
-    return row.select("*", F.lit(0).alias("gate_failures"), F.lit(None).cast("long").alias("divergent_concerns"), F.lit(None).cast("double").alias("coverage_percent"), F.lit(False).alias("unpaired_hotspot"))
+    row = row.join(F.broadcast(idioms.agg(F.countDistinct("concern").alias("divergent_concerns"))))
+    failed = gates.agg(F.when(F.count("*") > 0, F.when(F.bool_or(F.col("passed").isNull()), None).otherwise(F.count_if(~F.col("passed")))).cast("long").alias("gate_failures")) if gates is not None else spark.createDataFrame([(None,)], "gate_failures long")
+    return row.join(F.broadcast(failed)).select("*", F.lit(None).cast("double").alias("coverage_percent"), F.lit(unpaired).cast("boolean").alias("unpaired_hotspot"))
 
 
 def _path(spark, root):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Suppression markers, the first that is declared names the line.
@@ -24,6 +24,22 @@ SUPPRESSIONS = [
     (r"@Ignore\b", "ignored test"),
 ]
 
+# Libraries that serve one concern, of which a code base needs one.
+CONCERNS = {
+    "http client": ["requests", "httpx", "aiohttp", "urllib3", "axios", "got", "superagent", "node-fetch", "ky"],
+    "date handling": ["moment", "dayjs", "date-fns", "luxon", "arrow", "pendulum"],
+    "client state": ["redux", "@reduxjs/toolkit", "zustand", "jotai", "recoil", "mobx", "valtio"],
+    "schema validation": ["zod", "yup", "joi", "ajv", "superstruct", "pydantic", "marshmallow", "cerberus", "voluptuous"],
+    "orm": ["sqlalchemy", "peewee", "tortoise", "prisma", "typeorm", "sequelize", "drizzle-orm", "knex"],
+    "web framework": ["flask", "fastapi", "bottle", "sanic", "express", "koa", "fastify", "hapi"],
+}
+
+
+def competing(uses: DataFrame, concerns: dict[str, list[str]] = CONCERNS) -> DataFrame:
+    """``uses`` (path, package) of the packages that serve a concern, with it."""
+    served = F.create_map(*[F.lit(x) for concern, own in concerns.items() for package in own for x in (package, concern)])
+    return uses.withColumn("concern", F.try_element_at(served, F.col("package"))).filter(F.col("concern").isNotNull())
+
 
 def suppression(text: Column) -> Column:
     """The marker that a line declares. One that follows a quote, or an odd number of backticks, is only mentioned."""

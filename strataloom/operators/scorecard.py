@@ -111,15 +111,27 @@ def blockers(level: int = 1) -> Column:
     return F.array_sort(F.filter(F.array(*[F.when(v > CEILINGS[k][level], k) for k, v in readings().items()]), lambda x: x.isNotNull()))
 
 
+def cap_reason() -> Column:
+    """Why a card cannot have more than a B: "no tests", else the unmeasured aspects that apply, else null. Over a_<aspect> and the summary's columns."""
+    absent = not_applicable()
+    missing = F.array_sort(F.filter(F.array(*[F.when(F.col(f"a_{a}").isNull() & ~absent.get(a, F.lit(False)), a) for a in aspects()]), lambda x: x.isNotNull()))
+    return F.when(_c("test_files") == 0, "no tests").when(F.size(missing) > 0, F.concat(F.lit("unmeasured: "), F.array_join(missing, ", ")))
+
+
+def _held_at_b(letter: Column) -> Column:
+    return F.when(cap_reason().isNotNull() & letter.startswith("A"), "B").otherwise(letter)
+
+
 def scorecard(summary: DataFrame) -> DataFrame:
     """``summary`` with a_<aspect>, c_<category>, overall, low, high, grade and blockers.
 
-    The bounds price what is unknown at 0 and 5 in the same roll-up; the letter is that of the lower bound.
+    The bounds price what is unknown at 0 and 5 in the same roll-up; the letter is that of the lower bound. No card
+    without tests, or with an aspect that applies but nobody measured, gets more than a B; ``capped`` names why (no tests first).
     """
     own = summary.select("*", *[v.alias(f"a_{k}") for k, v in aspects().items()])
     point = _categories(UNKNOWN)
     low, high = _overall(_categories(0.0)), _overall(_categories(5.0))
-    return own.select("*", *[v.alias(f"c_{k}") for k, v in point.items()], _overall(point).alias("overall"), low.alias("low"), high.alias("high"), grade(low).alias("grade"), blockers().alias("blockers"))
+    return own.select("*", *[v.alias(f"c_{k}") for k, v in point.items()], _overall(point).alias("overall"), low.alias("low"), high.alias("high"), _held_at_b(grade(low)).alias("grade"), cap_reason().alias("capped"), blockers().alias("blockers"))
 
 
 def widened(low: Column, high: Column, other: Column, spread: Column, single: Column) -> tuple[Column, Column]:

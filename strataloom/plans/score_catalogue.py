@@ -107,9 +107,14 @@ _CARDS = f"""s as ({_SUMMARY}), a as (select *, {', '.join(f'{v} a_{k}' for k, v
  o as (select *, {_overall(4.0)} overall, {_overall(0.0)} low, {_overall(5.0)} high from a)"""
 
 
-@query(f"with {_CARDS} select k, overall, low, high, case when low >= 4.8 and {_holds(0)} then 'A+' when low >= 4.5 and {_holds(1)} then 'A' when low >= 4.0 then 'B' when low >= 3.0 then 'C' when low >= 2.0 then 'D' else 'F' end grade, {_BLOCKERS} blockers from o")
+_MISSING = "list_sort(list_filter([" + ", ".join(f"case when a_{a} is null and not {_GONE.get(a, 'false')} then '{a}' end" for a in _ASPECTS) + "], lambda x: x is not null))"
+_CAPPED = f"case when test_files = 0 then 'no tests' when len({_MISSING}) > 0 then 'unmeasured: ' || array_to_string({_MISSING}, ', ') end"
+_LETTER = f"case when low >= 4.8 and {_holds(0)} then 'A+' when low >= 4.5 and {_holds(1)} then 'A' when low >= 4.0 then 'B' when low >= 3.0 then 'C' when low >= 2.0 then 'D' else 'F' end"
+
+
+@query(f"with {_CARDS}, g as (select *, {_LETTER} letter, {_CAPPED} capped from o) select k, overall, low, high, case when capped is not null and letter in ('A+', 'A') then 'B' else letter end grade, capped, {_BLOCKERS} blockers from g")
 def scorecard(spark, d):
-    return sc.scorecard(summary(spark, d)).select("k", "overall", "low", "high", "grade", F.array_join("blockers", ",").alias("blockers"))
+    return sc.scorecard(summary(spark, d)).select("k", "overall", "low", "high", "grade", "capped", F.array_join("blockers", ",").alias("blockers"))
 
 
 @query("with " + _CARDS + " select k, " + ", ".join(f"a_{a}" for a in _ASPECTS) + " from a")

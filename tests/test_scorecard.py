@@ -26,6 +26,15 @@ def test_a_clean_project_and_its_caps(spark):
     assert gated["grade"] != "A+" and gated["blockers"] == ["gates"] and failing["grade"] == "A"
 
 
+def test_no_card_without_tests_or_full_evidence_is_an_a(spark):
+    none, unknown, hidden, opted, young = cards(spark, {"test_files": 0}, {"test_files": None}, {"divergent_concerns": None, "has_docs": None}, {"coverage_percent": None}, {"settled_files": 0, "files_changed": 0})
+    assert none["capped"] == "no tests" and unknown["capped"] == "unmeasured: test_presence" and hidden["capped"] == "unmeasured: documentation, idiom_consistency"
+    assert not any(r["grade"].startswith("A") for r in (none, unknown, hidden))
+    assert opted["capped"] is None and young["capped"] is None and opted["grade"] == young["grade"] == "A+"  # looked, and there was nothing to measure
+    raised = cards(spark, {}, {"has_docs": None})
+    assert [r["grade"] for r in raised] == ["A+", "B"]  # the floor alone would be an A
+
+
 def test_hiding_an_input_never_raises_the_floor(spark):
     names = [k for k in CLEAN if k not in ("coverage_percent", "unpaired_hotspot")]
     worse = {"file_band_pressure": 0.2, "duplicate_blocks": 100, "dead_declarations": 9, "test_files": 3}
