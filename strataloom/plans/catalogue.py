@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import bands, evidence, history, matching, scoring, series, stats, text
-from ..streaming import events
+from ..session import shared_dir
+from ..streaming import events, findings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -277,6 +280,35 @@ def recurrence(spark, d):
     return series.recurrence(presence, presence.select("user_id", "day"), ["user_id"], "day", "event_type")
 
 
+def _in_turns(spark, rows, turn, turns, follow):
+    """``rows`` appended to a log in ``turns`` writes (``turn``: the number of a row's write), each followed by a call of ``follow`` with the log as a stream; the last call's result."""
+    folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    for n in range(turns):
+        rows.filter(turn == n).write.mode("append").parquet(f"{folder}/log")
+        out = follow(spark.readStream.schema(rows.schema).parquet(f"{folder}/log"), f"{folder}/stream")
+    return out
+
+
+@query(SQL["recurrence"])
+def recurrence_stream(spark, d):
+    own = _t(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_type").distinct()
+    days = own.groupBy("user_id", "day").agg(F.array_sort(F.collect_set("event_type")).alias("findings"))
+    log = days.select(F.col("user_id").cast("string").alias("series"), F.row_number().over(Window.partitionBy("user_id").orderBy("day")).cast("long").alias("scan"), "findings")
+    longest = log.agg(F.max("scan")).first()[0] or 1
+    found = _in_turns(spark, log, F.floor((F.col("scan") - 1) * 3 / longest), 3, findings.presence)
+    ends = log.groupBy("series").agg(F.max("scan").alias("last"))
+    return findings.live_recurrence(found, ends).select(F.col("series").cast("long").alias("user_id"), F.col("finding").alias("event_type"), "seen", "cleared", "returned")
+
+
+@query(SQL["ratchet"])
+def ratchet_stream(spark, d):
+    place = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("/"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
+    log = _t(spark, d, "events").select(F.col("user_id").alias("series"), F.col("event_type").alias("name"), place.alias("place"), "value", F.col("ts").cast("timestamp").cast("long").alias("at"))
+    first, last = log.agg(F.min("at"), F.max("at")).first()
+    states = _in_turns(spark, log, F.floor((F.col("at") - (first or 0)) * 2 / max(1, (last or 0) - (first or 0) + 1)), 2, findings.latest)
+    return findings.live_ratchet(states).select(F.col("series").cast("long").alias("user_id"), F.col("name").alias("event_type"), "before", "after")
+
+
 @query("select event_id, user_id from (select *, row_number() over w - 1 r, count(*) over (partition by user_id) n from events window w as (partition by user_id order by ts, event_id)) where r % greatest(1, ceil((n - 1) / 9)) = 0 or r = n - 1")
 def compact(spark, d):
     return series.compact(_t(spark, d, "events"), ["user_id"], ["ts", "event_id"], 10).select("event_id", "user_id")

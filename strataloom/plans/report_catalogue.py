@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import reports, text
-from ..sources import readers
+from ..session import shared_dir
+from ..sources import readers, sinks
+from ..sources import tool_reports as reports_source
 from .catalogue import _t, query
 
 
@@ -155,3 +159,25 @@ def commits_to_measure(spark, d):
     orders = _t(spark, d, "orders")
     log = orders.select(F.col("o_orderkey").cast("string").alias("commit"), F.row_number().over(Window.orderBy("o_orderkey")).alias("n"))
     return readers.commits_to_measure(log, orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("commit")), 10)
+
+
+@query("""select tool, rule, level, count(*) n, sum(line) lines, min(path) first_path, min(message) first_message from (
+ select 'orders' tool, o_orderpriority as rule, null as level, 'o/' || o_custkey path, o_orderkey line, 'status ' || o_orderstatus message from orders
+ union all select 'scan' || s_nationkey, 'r' || (s_suppkey % 3), case when s_acctbal < 0 then 'error' else 'warning' end, 's/' || s_suppkey, s_suppkey + 1, 'phone "' || s_name || '"' from supplier
+ union all select 'lint', null, null, 'c/' || c_custkey || '.py', nullif(c_custkey, 0), c_mktsegment from customer) group by 1, 2, 3""")
+def tool_reports(spark, d):
+    """Reports of three kinds are written from the tables and read back as one source: lines of JSON, SARIF documents of a tool each, and lines of text."""
+    folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    orders, supplier, customer = (_t(spark, d, n) for n in ("orders", "supplier", "customer"))
+    item = F.to_json(F.struct(F.concat(F.lit("o/"), "o_custkey").alias("file"), F.struct(F.col("o_orderkey").alias("row")).alias("at"), F.concat(F.lit("status "), "o_orderstatus").alias("text"), F.col("o_orderpriority").alias("code")))
+    orders.select(item.alias("value")).write.text(f"{folder}/orders")
+    findings = supplier.select(F.concat(F.lit("scan"), "s_nationkey").alias("tool"), F.concat(F.lit("r"), F.col("s_suppkey") % 3).alias("rule"), F.concat(F.lit('phone "'), "s_name", F.lit('"')).alias("message"), F.concat(F.lit("s/"), "s_suppkey").alias("path"), (F.col("s_suppkey") + 1).alias("line"), F.when(F.col("s_acctbal") < 0, "fail").otherwise("warn").alias("status"))
+    # A document holds the results of a tool among 5,000 keys.
+    driver = F.to_json(F.struct(F.struct(F.col("tool").alias("name")).alias("driver")))
+    results = sinks.sarif_results(findings.withColumn("document", F.floor(F.col("line") / 5000)), "tool", "document").groupBy("tool", "document").agg(F.concat_ws(",", F.collect_list("result")).alias("results"))
+    documents = results.select("tool", F.concat(F.lit('{"runs":[{"tool":'), driver, F.lit(',"results":['), "results", F.lit("]}]}")).alias("value"))
+    documents.write.partitionBy("tool").option("maxRecordsPerFile", 1).text(f"{folder}/sarif")
+    customer.select(F.concat(F.lit("c/"), "c_custkey", F.lit(".py:"), "c_custkey", F.lit(": "), "c_mktsegment").alias("value")).write.text(f"{folder}/lint")
+    read = lambda name, kind, **more: reports_source.tool_reports(spark, f"{folder}/{name}", kind, tool=name, **more)
+    rows = read("orders", "jsonl", keys="file,at.row,text", splitBytes=1 << 20).unionByName(read("sarif", "sarif")).unionByName(read("lint", "text", splitBytes=1 << 20))
+    return rows.groupBy("tool", "rule", "level").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), F.min("path").alias("first_path"), F.min("message").alias("first_message"))

@@ -16,12 +16,12 @@ def write_snapshot(findings: DataFrame, path: str, key: str = "fingerprint") ->
     findings.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").json(path)
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """(result): one SARIF result for each finding (rule, message, path, line, status); ``fail`` is an error, all else a warning."""
+def sarif_results(findings: DataFrame, *keep: str) -> DataFrame:
+    """(keep, result): one SARIF result for each finding (rule, message, path, line, status); ``fail`` is an error, all else a warning."""
     region = F.struct(F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).alias("startLine"))
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     level = F.when(F.col("status") == "fail", "error").otherwise("warning")
-    return findings.select(F.to_json(F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))
+    return findings.select(*keep, F.to_json(F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))
 
 
 def rule_descriptors(findings: DataFrame) -> DataFrame:

@@ -24,13 +24,14 @@ def windowed(stream: DataFrame, keys: list[str], time: str = "ts", window: str =
     return grouped.agg(F.count("*").alias("records"), F.sum(value).alias("total")).select(*keys, start.alias("start"), "records", "total")
 
 
-def drained(stream: DataFrame, window_key: list[str]) -> DataFrame:
-    """All that a stream has now, as a table: each batch writes the windows it changed, the last state of each counts.
+def drained(stream: DataFrame, window_key: list[str], base: str | None = None) -> DataFrame:
+    """All that a stream has now, as a table: each batch writes the rows it changed, the last state of each key counts.
 
-    Batches go to a folder each, so that one that is run again after a loss replaces its own files.
+    Batches go to a folder each, so that one that is run again after a loss replaces its own files. With a ``base`` from a
+    call before, the stream goes on where that one ended.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     rest = [c for c in stream.columns if c not in window_key]
