@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexing, markers, paths
-from .operators import bands, code, incremental, reports, scorecard, text
+from .operators import bands, code, incremental, scorecard, text, workorder
 from .session import staged
 from .sources.files import source_files
 
@@ -59,10 +59,24 @@ def audit(spark: SparkSession, root: str, exclude: list[str] = (), clone_lines:
     summary = _summary(spark, root, files, graded, clones, similar, unused, risks, idioms, history, gates, unpaired)
     card = scorecard.scorecard(summary)
     hotspots = code.function_hotspots(declared)
-    work = reports.all_items(reports.items_of_declarations(graded.filter("status = 'fail'")), reports.items_of_files(files.filter("status = 'fail'")), reports.items_of_findings(risks.withColumnRenamed("text", "message"), "risk-pattern"))
+    work = _work(windows, graded, files, similar, unused, risks, idioms, card, clone_lines)
     return {"files": files, "declarations": graded.drop("tokens"), "clones": clones, "similar": similar, "unused": unused, "risks": risks, "idioms": idioms, "hotspots": hotspots, "work": work, "summary": summary, "card": card}
 
 
+def _work(windows, graded, files, similar, unused, risks, idioms, card, clone_lines) -> DataFrame:
+    """The work order of the tree: items of all kinds that an audit finds, with what clearing them is worth."""
+    places = windows.join(windows.groupBy("block").agg(F.min(F.struct("path", "line_no")).alias("first")), "block")
+    # A block's places are an array of a report; the item's own is the first.
+    blocks = places.groupBy("block", "first").agg(F.array_sort(F.collect_list(F.concat_ws(":", "path", F.col("line_no").cast("string")))).alias("locations"))
+    blocks = blocks.select(F.col("first.path").alias("path"), F.col("first.line_no").alias("line"), F.lit(clone_lines).alias("lines"), "locations")
+    failing = F.col("status") == "fail"
+    items = workorder.together(
+        workorder.of_declarations(graded.filter(failing)), workorder.of_files(files.filter(failing)), workorder.of_clones(blocks), workorder.of_similar(similar),
+        workorder.of_unused(unused), workorder.of_risks(risks), workorder.of_idioms(idioms),
+    )
+    return workorder.work_order(items.withColumn("tree", F.lit(1)), card.withColumn("tree", F.lit(1)), ["tree"]).drop("tree")
+
+
 def _summary(spark, root, files, graded, clones, similar, unused, risks, idioms, history, gates, unpaired) -> DataFrame:
     """One row of counts; each table is summed by itself and the single rows are put side by side."""
     count = lambda frame, name: frame.agg(F.count("*").alias(name))

@@ -6,6 +6,8 @@ Null is "could not look": it is priced, and never counts as a clean reading.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def _c(name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def _share(count: str, of: str) -> Column:
-    return F.when(_c(of) > 0, _c(count) / _c(of))
+def _share(count: str, of: str, read: Callable[[str], Column] = _c) -> Column:
+    return F.when(read(of) > 0, read(count) / read(of))
 
 
 def displayed(value: Column) -> Column:
@@ -40,25 +42,25 @@ def displayed(value: Column) -> Column:
     return F.when(value.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(5.0), value)) + HALF, 1))
 
 
-def pressures() -> dict[str, Column]:
-    return {"file_size": _c("file_band_pressure"), "declaration_size": _c("declaration_band_pressure"), "duplication": _share("duplicate_blocks", "files"), "risk_patterns": _share("risk_findings", "files"), "policy_gates": _share("gate_failures", "files")}
+def pressures(read: Callable[[str], Column] = _c) -> dict[str, Column]:
+    return {"file_size": read("file_band_pressure"), "declaration_size": read("declaration_band_pressure"), "duplication": _share("duplicate_blocks", "files", read), "risk_patterns": _share("risk_findings", "files", read), "policy_gates": _share("gate_failures", "files", read)}
 
 
-def aspects() -> dict[str, Column]:
-    """The 14 aspects of a summary row, 0 to 5; null where an input is."""
-    out = {name: displayed(curve(p / REFERENCES[name])) for name, p in pressures().items()}
+def aspects(read: Callable[[str], Column] = _c) -> dict[str, Column]:
+    """The 14 aspects of a summary row, 0 to 5; null where an input is. ``read`` gives a counter by its name: the column, or what it would be."""
+    out = {name: displayed(curve(p / REFERENCES[name])) for name, p in pressures(read).items()}
     ladder = lambda rate, name: steps(rate, *LADDERS[name])
-    out["change_coupling"] = ladder(_share("coupled_pairs", "files_changed"), "history")
-    out["churn_hotspots"] = ladder(_share("hotspots", "files_changed"), "history")
-    out["knowledge_concentration"] = ladder(_share("single_author_files", "settled_files"), "knowledge_concentration")
-    share = F.when(_c("declarations") > 0, (_c("declarations") - _c("production_declarations")) / _c("declarations"))
-    out["test_presence"] = F.when(_c("test_files") == 0, 0.0).when(_c("test_files").isNotNull(), ladder(share, "test_presence"))
-    out["dead_code"] = ladder(_share("dead_declarations", "production_declarations"), "dead_code")
-    out["near_duplication"] = ladder(_share("near_duplicates", "production_declarations"), "near_duplication")
-    out["idiom_consistency"] = ladder(_c("divergent_concerns"), "idiom_consistency")
+    out["change_coupling"] = ladder(_share("coupled_pairs", "files_changed", read), "history")
+    out["churn_hotspots"] = ladder(_share("hotspots", "files_changed", read), "history")
+    out["knowledge_concentration"] = ladder(_share("single_author_files", "settled_files", read), "knowledge_concentration")
+    share = F.when(read("declarations") > 0, (read("declarations") - read("production_declarations")) / read("declarations"))
+    out["test_presence"] = F.when(read("test_files") == 0, 0.0).when(read("test_files").isNotNull(), ladder(share, "test_presence"))
+    out["dead_code"] = ladder(_share("dead_declarations", "production_declarations", read), "dead_code")
+    out["near_duplication"] = ladder(_share("near_duplicates", "production_declarations", read), "near_duplication")
+    out["idiom_consistency"] = ladder(read("divergent_concerns"), "idiom_consistency")
     extras = F.col("has_changelog").cast("int") + F.col("has_docs").cast("int")
     out["documentation"] = F.when(F.col("has_readme").isNull() | extras.isNull(), None).when(F.col("has_readme"), F.lit(3.0) + extras).otherwise(F.when(extras > 0, 1.5).otherwise(0.5))
-    out["test_effectiveness"] = displayed(_c("coverage_percent") / 20)
+    out["test_effectiveness"] = displayed(read("coverage_percent") / 20)
     return out
 
 
@@ -67,18 +69,28 @@ def not_applicable() -> dict[str, Column]:
     return {"test_effectiveness": F.col("coverage_percent").isNull(), "knowledge_concentration": F.coalesce(_c("settled_files") == 0, F.lit(False)), "change_coupling": F.coalesce(_c("files_changed") == 0, F.lit(False)), "churn_hotspots": F.coalesce(_c("files_changed") == 0, F.lit(False))}
 
 
-def _categories(price: float) -> dict[str, Column]:
+def weights(category: str) -> dict[str, Column]:
+    """Weights of a category's aspects: 0 for those without a population."""
     absent = not_applicable()
-    out = {}
-    for name, own in CATEGORIES.items():
-        weight = {a: F.when(absent[a], 0.0).otherwise(w) if a in absent else F.lit(w) for a, w in own.items()}
-        total = sum((w for w in weight.values()), F.lit(0.0))
-        value = sum((F.coalesce(F.col(f"a_{a}"), F.lit(price)) * w for a, w in weight.items()), F.lit(0.0)) / total
-        if name == "testability":
-            untested = F.when(_c("test_files").isNull(), price <= 0.0).otherwise(_c("test_files") == 0)
-            value = F.when(untested, F.least(value, F.lit(UNTESTED_CAP))).when(F.coalesce(F.col("unpaired_hotspot"), F.lit(False)), F.least(value, F.lit(UNPAIRED_CAP))).otherwise(value)
-        out[name] = displayed(value)
-    return out
+    return {a: F.when(absent[a], 0.0).otherwise(w) if a in absent else F.lit(w) for a, w in CATEGORIES[category].items()}
+
+
+def partial_sums(price: float) -> dict[str, tuple[Column, Column]]:
+    """(sum of weighted aspects, sum of weights) of each category, over a_<aspect>."""
+    zero = F.lit(0.0)
+    return {c: (sum((F.coalesce(F.col(f"a_{a}"), F.lit(price)) * w for a, w in weights(c).items()), zero), sum(weights(c).values(), zero)) for c in CATEGORIES}
+
+
+def category(name: str, value: Column, price: float) -> Column:
+    """The displayed score of a category from its weighted mean, under the caps of testability."""
+    if name == "testability":
+        untested = F.when(_c("test_files").isNull(), price <= 0.0).otherwise(_c("test_files") == 0)
+        value = F.when(untested, F.least(value, F.lit(UNTESTED_CAP))).when(F.coalesce(F.col("unpaired_hotspot"), F.lit(False)), F.least(value, F.lit(UNPAIRED_CAP))).otherwise(value)
+    return displayed(value)
+
+
+def _categories(price: float) -> dict[str, Column]:
+    return {c: category(c, of / total, price) for c, (of, total) in partial_sums(price).items()}
 
 
 def _overall(categories: dict[str, Column]) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scorecard as sc
-from ..operators import scoring
+from ..operators import scoring, workorder
+from ..operators.reports import BANDS
 from .catalogue import _t, query
 
 _FIELDS = {
@@ -154,3 +155,30 @@ def thin_populations(spark, d):
 def economic_impact(spark, d):
     rows = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
     return rows.select("k", *[v.alias(name) for name, v in sc.economics(F.col("n"), 40 + F.col("k") % 30).items()])
+
+
+_WORK = [c for c in workorder.CLASSES if c[3] or c[0] == "unpaired-hotspot"]
+_LESS = ", ".join(f"case when cls = '{c[0]}' then greatest(0, {c[3]} - m) else {c[3]} end as {c[3]}" for c in _WORK if c[4])
+_ITEMS = "select o_custkey k, [" + ", ".join(f"'{c[0]}'" for c in _WORK) + f"][(o_orderkey + l_linenumber * l_partkey) % {len(_WORK)} + 1] cls, 'p' || l_partkey path, l_linenumber line, l_quantity severity from orders join lineitem on l_orderkey = o_orderkey"
+_SCENARIOS = f"""s as ({_SUMMARY}), it as ({_ITEMS}), n as (select k, cls, count(*) n from it group by 1, 2), sc as (select s.* replace ({_LESS}), cls, n, kind from s join (select k, cls, n, unnest([0, 1, n]) m, unnest([0, 1, 2]) kind from n) x using (k)),
+ a as (select *, {', '.join(f'{v} a_{k}' for k, v in _ASPECTS.items())} from sc), o as (select k, cls, n, kind, {_overall(4.0)} overall from a),
+ w as (select k, cls, any_value(n) class_count, round(greatest(0, max(overall) filter (kind = 1) - max(overall) filter (kind = 0)), 3) delta, round(greatest(0, max(overall) filter (kind = 2) - max(overall) filter (kind = 0)), 3) class_delta from o group by 1, 2)"""
+
+
+def _items(spark, d):
+    touched = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k")).join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    cls = F.element_at(F.array(*[F.lit(c[0]) for c in _WORK]), ((F.col("o_orderkey") + F.col("l_linenumber") * F.col("l_partkey")) % len(_WORK) + 1).cast("int"))
+    return touched.select("k", cls.alias("class"), F.concat(F.lit("p"), "l_partkey").alias("path"), F.col("l_linenumber").cast("long").alias("line"), F.concat(F.lit("p"), "l_partkey").alias("label"), F.col("l_quantity").cast("double").alias("severity"), F.lit(None).cast("array<string>").alias("sites"))
+
+
+@query(f"with {_SCENARIOS} select k, cls as class, class_count, delta, class_delta from w")
+def class_worths(spark, d):
+    return workorder.worths(_items(spark, d), sc.scorecard(summary(spark, d)), ["k"]).select("k", "class", "class_count", "delta", "class_delta")
+
+
+@query(f"""with {_SCENARIOS}, b(cls, band, rank) as (values {', '.join(f"('{c[0]}', '{_b}', {_r})" for c in _WORK for _r, _b in enumerate(BANDS) if _b == ('quick-win' if c[1] >= 3 > c[2] else 'major-project' if c[1] >= 3 else 'fill-in' if c[2] < 3 else 'reconsider'))}),
+ p as (select it.k, it.cls, path, line, severity, class_delta, row_number() over (partition by it.k order by rank, class_delta desc, severity desc, path, it.cls, line) place from it join w on w.k = it.k and w.cls = it.cls join b on b.cls = it.cls where band <> 'reconsider')
+ select k, cls as class, count(*) n, min(place) first_place, sum(place)::bigint places, max(class_delta) worth from p group by 1, 2""")
+def work_places(spark, d):
+    rows = workorder.work_order(_items(spark, d), sc.scorecard(summary(spark, d)), ["k"])
+    return rows.groupBy("k", "class").agg(F.count("*").alias("n"), F.min("place").alias("first_place"), F.sum("place").alias("places"), F.max(F.col("class_delta")).alias("worth"))
