@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bounded
+
 
 def append_log(scans: DataFrame, path: str) -> None:
     """Appends records as JSON lines; each write commits whole or not at all."""
@@ -29,21 +33,22 @@ def rule_descriptors(findings: DataFrame) -> DataFrame:
     return findings.groupBy(F.col("rule").alias("id")).agg(F.count("*").alias("findings"))
 
 
-def sarif_document(findings: DataFrame, path: str, tool: str, version: str = "2.1.0") -> None:
-    """One SARIF document: rules once each, results in the order of path, line and rule. Written as one file, whole or not at all.
+def sarif_document(findings: DataFrame, path: str, tool: str, version: str = "2.1.0") -> str:
+    """One SARIF document, the only file of the folder ``path``: results in the order of path, line and rule, rules once each. Written whole or not at all.
 
-    Meant for reports that a person or a review tool reads; results of any size go out as rows by ``sarif_results``.
+    Results are written by ranges and joined (``bounded.ordered_document``), so no task or row holds them all; the rules
+    follow from a sorted table, one at a time. Returns the file's path.
     """
-    rules = rule_descriptors(findings).agg(F.array_sort(F.collect_list(F.struct("id"))).alias("rules"))
-    region = F.struct(F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).alias("startLine"))
-    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    level = F.when(F.col("status") == "fail", "error").otherwise("warning")
-    result = F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
-    order = F.struct(F.coalesce("path", F.lit("")).alias("p"), F.coalesce("line", F.lit(0)).alias("l"), F.coalesce("rule", F.lit("")).alias("r"), F.coalesce("message", F.lit("")).alias("m"), result.alias("result"))
-    results = findings.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["result"]).alias("results"))
-    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
-    document = results.join(F.broadcast(rules)).select(F.to_json(F.struct(F.lit(version).alias("version"), F.array(run).alias("runs"))).alias("value"))
-    document.coalesce(1).write.mode("overwrite").text(path)
+    order = [F.coalesce("path", F.lit("")).alias("_p"), F.coalesce("line", F.lit(0)).alias("_l"), F.coalesce("rule", F.lit("")).alias("_r"), F.coalesce("message", F.lit("")).alias("_m")]
+    results = sarif_results(findings.select("*", *order), "_p", "_l", "_r", "_m")
+
+    def rules():
+        yield b'],"tool":{"driver":{"name":' + json.dumps(tool).encode() + b',"rules":['
+        for n, r in enumerate(rule_descriptors(findings).filter("id is not null").orderBy("id").toLocalIterator()):
+            yield b"," * bool(n) + json.dumps({"id": r["id"]}).encode()
+        yield b"]}}}]}\n"
+
+    return bounded.ordered_document(results, ["_p", "_l", "_r", "_m", "result"], path, "part-00000.sarif", value="result", head='{"version":' + json.dumps(version) + ',"runs":[{"results":[', foot=rules(), between=",")
 
 
 def attestation(cards: DataFrame, commit: str, tool: str) -> DataFrame:
