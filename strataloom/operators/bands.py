@@ -29,6 +29,23 @@ def pressure(units: DataFrame, by: list[str], limits: dict[str, tuple[float, flo
     return units.withColumn("_b", worst_of).groupBy(*by).agg(F.avg("_b").alias("pressure"), F.count("_b").alias("units"))
 
 
+def counts_by_role(units: DataFrame, by: list[str], is_test: Column, measures: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """(by, role, units, <m>_fail, <m>_warn, <m>_pressure for each measure): all units of a group, its production and its test units, in one pass.
+
+    ``measures``: name to (column, limit that warns, limit that fails). Roles are grouping sets, so each unit is
+    counted on both levels before the shuffle; a group without tests has no row for them. What was not measured counts in ``units`` alone; a unit whose role is null is production.
+    """
+    rows = units.withColumn("_test", F.coalesce(is_test, F.lit(False)))
+    out = [F.count("*").alias("units")]
+    for name, (column, warn, fail) in measures.items():
+        value = F.col(column)
+        out += [F.count_if(status(value, warn, fail) == "fail").alias(f"{name}_fail"), F.count_if(status(value, warn, fail) == "warn").alias(f"{name}_warn"), F.avg(band(value, warn, fail)).alias(f"{name}_pressure")]
+    keys = [F.col(c) for c in by]
+    both = rows.groupingSets([keys, [*keys, F.col("_test")]], *keys, F.col("_test")).agg(F.grouping("_test").alias("_level"), *out)
+    role = F.when(F.col("_level") == 1, "all").when(F.col("_test"), "test").otherwise("production")
+    return both.withColumn("role", role).select(*by, "role", *[c for c in both.columns if c not in (*by, "_test", "_level")])
+
+
 def corroborate(measurements: DataFrame) -> DataFrame:
     """(concept, unit, value, low, high, n_tools) from (concept, unit, tool, value, seq).
 

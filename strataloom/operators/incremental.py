@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,33 @@ def forget(spark: SparkSession, store: str, keep: int = 1) -> None:
     for name in names:
         if not name.startswith("gen=") or int(name[4:].split(".")[0]) not in newest:
             system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}"), True)
+
+
+def remembered(spark: SparkSession, store: str, commit: str, make: Callable[[], dict[str, DataFrame]], digest: str | None = None) -> tuple[dict[str, DataFrame], bool]:
+    """The tables that ``make`` gives for a commit, and whether they were read from the store instead of made.
+
+    A result is known by commit and digest of the code. It is written beside its place and renamed as a whole, with a list of its tables, so a
+    run that breaks leaves nothing that is read; of two runs at once one is kept. Tables keep their columns and rows; their order is not kept.
+    """
+    name = hashlib.sha256(f"{commit}\0{digest or code_digest()}".encode()).hexdigest()
+    path, system = _system(spark, f"{store}/result={name}")
+    made = not system.exists(path)
+    if made:
+        waiting = f"{store}/.{uuid.uuid4().hex}"
+        tables = make()
+        for table, frame in tables.items():
+            frame.write.parquet(f"{waiting}/{table}")
+        spark.createDataFrame([(commit, t) for t in sorted(tables)], "commit string, table string").coalesce(1).write.json(f"{waiting}/_tables")
+        if system.exists(path) or not system.rename(spark._jvm.org.apache.hadoop.fs.Path(waiting), path):
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(waiting), True)
+    names = [x.getPath().getName() for x in system.listStatus(path)]
+    return {t: spark.read.parquet(f"{store}/result={name}/{t}") for t in sorted(names) if not t.startswith(("_", "."))}, not made
+
+
+def missing(spark: SparkSession, store: str, commits: DataFrame, digest: str | None = None) -> DataFrame:
+    """Those of ``commits`` (commit) of which the store has no result of this code, as an anti-join."""
+    path, system = _system(spark, store)
+    done = [x.getPath().getName()[7:] for x in system.listStatus(path) if x.getPath().getName().startswith("result=")] if system.exists(path) else []
+    known = spark.createDataFrame([(d,) for d in done], "_name string")
+    name = F.sha2(F.concat(F.col("commit"), F.lit(f"\0{digest or code_digest()}")), 256)
+    return commits.withColumn("_name", name).join(known, "_name", "left_anti").drop("_name")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged, unstaged
+
 
 def identity(kind: Column, path: Column, name: Column, ordinal: Column) -> Column:
     """``kind:path:name#ordinal``; line numbers are no part of it."""
@@ -37,6 +39,39 @@ def tiered_match(current: DataFrame, known: DataFrame, tiers: list[list[str]], f
     return reduce(DataFrame.unionByName, out)
 
 
+def rename_map(renames: DataFrame, seq: str = "seq", old: str = "old", new: str = "new", rounds: int = 40) -> DataFrame:
+    """(old, new): where each path of the beginning of a log is at its end, from renames in the order of ``seq``.
+
+    A rename is followed by the next one that begins where it ended, if that comes later; so a name that is left and taken
+    again is told apart by time. Chains are halved in each round (pointer jumping), so a file that was renamed a
+    thousand times takes ten joins. Paths that were made by a rename are not of the beginning; renames of one ``seq`` happen at once, and of several of one path in one ``seq`` the least target counts. Paths that end where they began are left out.
+    """
+    own = renames.select(F.col(seq).alias("s"), F.col(old).alias("old"), F.col(new).alias("new")).filter("old is not null and new is not null and old != new").groupBy("s", "old").agg(F.min("new").alias("new"))
+    leaves, comes = own.select(F.col("old").alias("p"), "s", F.lit(1).alias("leaves"), "old", "new"), own.select(F.col("new").alias("p"), "s", F.lit(0).alias("leaves"), "old", "new")
+    # At each arrival at a path: when it is left next. At each leaving: whether it was arrived at before. One window a path.
+    w = Window.partitionBy("p").orderBy("s", F.desc("leaves"))
+    at = leaves.unionByName(comes).withColumn("next", F.min(F.when(F.col("leaves") == 1, F.col("s"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    at = at.withColumn("first", F.row_number().over(w) == 1)
+    heads = at.filter("leaves = 1 and first").select(F.col("p").alias("path"), F.struct("p", "s").alias("at"))
+    steps = at.filter("leaves = 0").select(F.struct(F.col("old").alias("p"), "s").alias("at"), F.col("new").alias("end"), F.when(F.col("next").isNotNull(), F.struct("p", F.col("next").alias("s"))).alias("to"))
+    steps = staged(steps, "renames")
+    for _ in range(rounds):
+        if steps.filter("to is not null").isEmpty():
+            break
+        ahead = steps.select(F.col("at").alias("to"), F.col("end").alias("_end"), F.col("to").alias("_to"))
+        jumped = staged(steps.join(ahead, "to", "left").select("at", F.coalesce("_end", "end").alias("end"), F.col("_to").alias("to")), "renames")
+        unstaged(steps)
+        steps = jumped
+    else:
+        raise RuntimeError(f"chains of renames did not end in {rounds} rounds")
+    return heads.join(steps, "at").select(F.col("path").alias("old"), F.col("end").alias("new")).filter("old != new")
+
+
+def at_new_paths(known: DataFrame, moved: DataFrame, path: str = "path", name: str = "path_now") -> DataFrame:
+    """``known`` with the path that each finding's file has now; for a last tier of ``tiered_match`` that holds it against the current paths."""
+    return known.join(moved.select(F.col("old").alias(path), F.col("new").alias("_new")), path, "left").withColumn(name, F.coalesce("_new", path)).drop("_new")
+
+
 def baseline_diff(current: DataFrame, known: DataFrame, matched: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
     """(fingerprint, change): introduced and cleared findings, those without a match."""
     new = current.join(matched.select(F.col("current").alias(fingerprint)), fingerprint, "left_anti").select(fingerprint, F.lit("introduced").alias("change"))

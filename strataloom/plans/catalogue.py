@@ -634,4 +634,26 @@ def asset_directories(spark, d):
     return evidence.asset_directories(_t(spark, d, "documents"), "source", "lang", ["en"], ["fr"])
 
 
+_ROLE = "count(*) units, count(*) filter (n_chars > 6000) size_fail, count(*) filter (n_chars > 2000 and n_chars <= 6000) size_warn, avg(case when n_chars <= 1200 then 0.0 when n_chars <= 2000 then 0.25 when n_chars <= 6000 then 0.5 when n_chars <= 10000 then 0.75 when n_chars is not null then 1.0 end) size_pressure, count(*) filter (w > 900) words_fail, count(*) filter (w > 300 and w <= 900) words_warn, avg(case when w <= 180 then 0.0 when w <= 300 then 0.25 when w <= 900 then 0.5 when w <= 1500 then 0.75 when w is not null then 1.0 end) words_pressure"
+
+
+@query(f"""with u as (select lang, source like '%3' t, n_chars, case when doc_id % 7 <> 0 then len(string_split(text, ' ')) end w from documents)
+ select lang, case when grouping(t) = 1 then 'all' when t then 'test' else 'production' end as role, {_ROLE} from u group by grouping sets ((lang), (lang, t))""")
+def counts_by_role(spark, d):
+    docs = _t(spark, d, "documents").withColumn("w", F.when(F.col("doc_id") % 7 != 0, F.size(F.split("text", " "))))
+    return bands.counts_by_role(docs, ["lang"], F.col("source").endswith("3"), {"size": ("n_chars", 2000, 6000), "words": ("w", 300, 900)})
+
+
+_RENAMES = "(select l_orderkey::bigint * 10 + l_linenumber s, 'p' || (l_partkey % 60) old, 'p' || (l_suppkey % 60) as new from lineitem where l_partkey % 60 <> l_suppkey % 60)"
+
+
+@query(f"""with recursive r as (select s, old, min(new) as new from {_RENAMES} group by 1, 2), e as (select old p, s, 1 leaves, old, new from r union all select new, s, 0, old, new from r),
+ x as (select *, min(case when leaves = 1 then s end) over (partition by p order by s, leaves desc rows between 1 following and unbounded following) t, row_number() over (partition by p order by s, leaves desc) n from e),
+ nx as (select old, s, new, t from x where leaves = 0), walk(p, pl, t) as (select x.p, nx.new, nx.t from x join nx on nx.old = x.p and nx.s = x.s where x.leaves = 1 and x.n = 1 union all select walk.p, nx.new, nx.t from walk join nx on nx.old = walk.pl and nx.s = walk.t)
+ select p as old, pl as new from walk where t is null and p <> pl""")
+def rename_map(spark, d):
+    rows = _t(spark, d, "lineitem").select((F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("p"), F.col("l_partkey") % 60).alias("old"), F.concat(F.lit("p"), F.col("l_suppkey") % 60).alias("new"))
+    return matching.rename_map(rows)
+
+
 from . import code_catalogue, report_catalogue, score_catalogue  # noqa: E402, F401  register their queries here

@@ -144,3 +144,14 @@ def is_generated(head: Column, banners: list[str], comment: str = r"^\s*(//|#|/\
     """Whether one of the head lines of a file (an array) is a comment with a banner that says so."""
     said = lambda line: F.lower(line).rlike("|".join(f"\\Q{b.lower()}\\E" for b in banners)) & line.rlike(comment)
     return F.exists(head, said)
+
+
+def declared_reports(spark: SparkSession, path: str, newest: DataFrame) -> DataFrame:
+    """(file, modified, commit_time, stale) of report files that a pipeline left: stale if the newest commit came after the file was written.
+
+    ``newest``: a frame with ``commit_time``, of which the latest counts; without any commit nothing is stale. Times of files come
+    from the listing, so nothing is read. Ties are fresh.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    last = newest.agg(F.max(F.col("commit_time").cast("timestamp")).alias("commit_time"))
+    return files.join(F.broadcast(last)).withColumn("stale", F.coalesce(F.col("modified") < F.col("commit_time"), F.lit(False)))  # a single row
