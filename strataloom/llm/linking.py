@@ -77,8 +77,9 @@ def link_buckets(buckets: DataFrame, traits: DataFrame, close: Callable[[Column,
             found = staged(found.join(done, ["a", "b"], "left_anti"), "near")
             released(spark)
         else:
-            # Both sides have the same columns and no filter of their own, so that one exchange serves both.
-            held = members.join(traits, "node").select("key", "node", "m", "comp", "main", "s").repartition("key")
+            # Both sides have the same columns and no filter of their own, so that one exchange serves both. It is Spark's
+            # own, whose large partitions AQE splits: a bucket that holds very many nodes does not stay in one task.
+            held = members.join(traits, "node").select("key", "node", "m", "comp", "main", "s")
             x = held.select(F.col("key").alias("xk"), F.col("node").alias("x"), F.col("m").alias("xm"), F.col("comp").alias("xc"), F.col("main").alias("xmain"), F.col("s").alias("xs"))
             y = held.select(F.col("key").alias("yk"), F.col("node").alias("y"), F.col("m").alias("ym"), F.col("comp").alias("yc"), F.col("main").alias("ymain"), F.col("s").alias("ys"))
             outside = F.when(F.col("yc") == F.col("xc"), False).otherwise(F.col("xc") != F.col("xmain"))
