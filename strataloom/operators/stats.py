@@ -24,6 +24,15 @@ def placed_values(rows: DataFrame, value: str, parts: int = 32) -> DataFrame:
     return ranged.withColumn("inside", inside).join(F.broadcast(ahead), "part").select("value", "k", (F.col("ahead") + F.col("inside")).alias("before"))
 
 
+def numbered(rows: DataFrame, order: str, name: str = "n", parts: int = 32) -> DataFrame:
+    """``rows`` numbered from 1 on in the order of a column, nulls first: by ranges of it, each numbered by itself behind those before it. Rows of equal values are numbered in no fixed order."""
+    ranged = staged(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sums = ranged.groupBy("_part").agg(F.count("*").alias("_own"))
+    ahead = sums.select("_part", (F.sum("_own").over(Window.orderBy("_part")) - F.col("_own")).alias("_ahead"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(ahead), "_part").withColumn(name, F.col("_ahead") + F.col("_inside")).drop("_part", "_inside", "_ahead")
+
+
 def references(rows: DataFrame, columns: list[str], least: int = 8) -> DataFrame:
     """Exact interpolated medians, one row; null where fewer than ``least`` rows have a value."""
     out = None

@@ -119,13 +119,12 @@ def computed_expectations(spark, d):
     return code.computed_expectations(files).select("path", "line", F.col("text").alias("what"))
 
 
-_PASTED = "case doc_id % 4 when 0 then left(coalesce(text, ''), 40) when 1 then 'x' || chr(10) || '@@ -1,2 +3 @@' || chr(10) || ' a' when 2 then '--- a' || chr(10) || 'b' || chr(10) || '+++ c' else '+a' || chr(10) || chr(10) || '-b @@ -1 +1 @@' end"
+_PASTED = "case doc_id % 4 when 0 then coalesce(text, '') when 1 then concat(coalesce(text, ''), chr(10), '@@ -1,2 +3 @@', chr(10), ' a') when 2 then concat('--- a', chr(10), coalesce(text, ''), chr(10), '+++ c') else concat('+', replace(coalesce(text, ''), chr(10), concat(chr(10), '-')), chr(10), ' ', chr(10), '-b @@ -1 +1 @@') end"
 
 
-@query(f"select doc_id, regexp_matches(t, '(?m)^@@ -\\d+(,\\d+)? \\+\\d+(,\\d+)? @@') or (regexp_matches(t, '(?m)^--- ') and regexp_matches(t, '(?m)^\\+\\+\\+ ')) is_diff, len(ls) > 0 and len(list_filter(ls, lambda x: not regexp_matches(x, '^[+-]'))) = 0 is_fragment from (select doc_id, t, list_filter(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '') ls from (select doc_id, {_PASTED} t from documents))")
+@query(f"select doc_id, regexp_matches(t, '(?m)^@@ -\\d+(,\\d+)? \\+\\d+(,\\d+)? @@') or (regexp_matches(t, '(?m)^--- ') and regexp_matches(t, '(?m)^\\+\\+\\+ ')) is_diff, len(ls) > 0 and len(list_filter(ls, lambda x: not regexp_matches(x, '^[+-]'))) = 0 is_fragment from (select doc_id, t, list_filter(regexp_split_to_array(t, '\\r\\n|[\\n\\r]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '') ls from (select doc_id, {_PASTED} t from documents))")
 def pasted_diffs(spark, d):
-    text = F.expr(_PASTED.replace("chr(10)", "'\\n'"))
-    rows = _t(spark, d, "documents").select("doc_id", text.alias("t"))
+    rows = _t(spark, d, "documents").select("doc_id", F.expr(_PASTED).alias("t"))
     return rows.select("doc_id", code.is_unified_diff("t").alias("is_diff"), code.is_diff_fragment("t").alias("is_fragment"))
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import reports, text
+from ..operators import reports, stats, text
 from ..session import shared_dir
 from ..sources import readers, sinks
 from ..sources import tool_reports as reports_source
@@ -120,13 +120,16 @@ def changed_state(spark, d):
     return reports.changed_state(part.filter("path % 3 <> 0"), part.filter("path % 4 <> 0").withColumn("hash", F.col("hash") + (F.col("path") % 5 == 0).cast("int")))
 
 
-@query("select doc_id, case when text = '' then 0 else 2 end + case when doc_id % 3 = 0 then 1 else 0 end n_lines from (select doc_id, left(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g'), 5) as text from documents)")
+_BREAKS = ["\n", "\r\n", "\r", "\u2028", "\x0b", "\x0c", "\x85"]
+
+
+@query("""select doc_id, len(regexp_extract_all(t, '\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]')) + case when t = '' or regexp_matches(t, '[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]\\z') then 0 else 1 end n_lines
+ from (select doc_id, replace(coalesce(text, ''), chr(10), [chr(10), chr(13) || chr(10), chr(13), chr(8232), chr(11), chr(12), chr(133)][doc_id % 7 + 1]) || case when doc_id % 3 = 0 then chr(13) else '' end t from documents)""")
 def split_lines(spark, d):
-    """A text, its copy behind a break of some kind, and for every third a blank line between; a break at the end begins no line."""
-    short = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]", ""), 1, 5)
-    brk = F.element_at(F.array(*map(F.lit, ["\n", "\r\n", "\r", " ", "\x0b", "\x0c", "\x85"])), (F.col("doc_id") % 7 + 1).cast("int"))
-    rows = _t(spark, d, "documents").select("doc_id", short.alias("s"), brk.alias("b")).withColumn("m", F.when(F.col("doc_id") % 3 == 0, F.concat("b", "b")).otherwise(F.col("b")))
-    whole = F.when(F.col("s") == "", F.when(F.col("doc_id") % 3 == 0, F.col("b")).otherwise("")).otherwise(F.concat("s", "m", "s", "b"))
+    """Whole texts with breaks of every kind in place of their own; a break at the end, which every third text gets, begins no line."""
+    brk = F.element_at(F.array(*map(F.lit, _BREAKS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    whole = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), brk), F.when(F.col("doc_id") % 3 == 0, "\r").otherwise(""))
+    rows = _t(spark, d, "documents")
     return rows.select("doc_id", F.size(text.split_lines(whole)).alias("n_lines"))
 
 
@@ -154,10 +157,8 @@ def csv_metrics(spark, d):
 
 @query("select n, c as commit from (select o_orderkey::varchar c, row_number() over (order by o_orderkey) n from orders) where (n - 1) % 10 = 0 and c not in (select o_orderkey::varchar from orders where o_orderstatus = 'F')")
 def commits_to_measure(spark, d):
-    from pyspark.sql import Window
-
     orders = _t(spark, d, "orders")
-    log = orders.select(F.col("o_orderkey").cast("string").alias("commit"), F.row_number().over(Window.orderBy("o_orderkey")).alias("n"))
+    log = stats.numbered(orders.select("o_orderkey"), "o_orderkey").select(F.col("o_orderkey").cast("string").alias("commit"), "n")
     return readers.commits_to_measure(log, orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("commit")), 10)
 
 
