@@ -42,26 +42,45 @@ def displayed(value: Column) -> Column:
     return F.when(value.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(5.0), value)) + HALF, 1))
 
 
+def _pressure(name: str, read: Callable[[str], Column]) -> Column:
+    if name == "file_size":
+        return read("file_band_pressure")
+    if name == "declaration_size":
+        return read("declaration_band_pressure")
+    return _share({"duplication": "duplicate_blocks", "risk_patterns": "risk_findings", "policy_gates": "gate_failures"}[name], "files", read)
+
+
 def pressures(read: Callable[[str], Column] = _c) -> dict[str, Column]:
-    return {"file_size": read("file_band_pressure"), "declaration_size": read("declaration_band_pressure"), "duplication": _share("duplicate_blocks", "files", read), "risk_patterns": _share("risk_findings", "files", read), "policy_gates": _share("gate_failures", "files", read)}
+    return {name: _pressure(name, read) for name in REFERENCES}
+
+
+def _documentation() -> Column:
+    extras = F.col("has_changelog").cast("int") + F.col("has_docs").cast("int")
+    return F.when(F.col("has_readme").isNull() | extras.isNull(), None).when(F.col("has_readme"), F.lit(3.0) + extras).otherwise(F.when(extras > 0, 1.5).otherwise(0.5))
+
+
+def _test_presence(read: Callable[[str], Column]) -> Column:
+    share = F.when(read("declarations") > 0, (read("declarations") - read("production_declarations")) / read("declarations"))
+    return F.when(read("test_files") == 0, 0.0).when(read("test_files").isNotNull(), steps(share, *LADDERS["test_presence"]))
+
+
+#: Each aspect by what it reads; only those that are asked for become expressions.
+ASPECTS: dict[str, Callable] = {name: lambda read, name=name: displayed(curve(_pressure(name, read) / REFERENCES[name])) for name in REFERENCES} | {
+    "change_coupling": lambda read: steps(_share("coupled_pairs", "files_changed", read), *LADDERS["history"]),
+    "churn_hotspots": lambda read: steps(_share("hotspots", "files_changed", read), *LADDERS["history"]),
+    "knowledge_concentration": lambda read: steps(_share("single_author_files", "settled_files", read), *LADDERS["knowledge_concentration"]),
+    "test_presence": _test_presence,
+    "dead_code": lambda read: steps(_share("dead_declarations", "production_declarations", read), *LADDERS["dead_code"]),
+    "near_duplication": lambda read: steps(_share("near_duplicates", "production_declarations", read), *LADDERS["near_duplication"]),
+    "idiom_consistency": lambda read: steps(read("divergent_concerns"), *LADDERS["idiom_consistency"]),
+    "documentation": lambda read: _documentation(),
+    "test_effectiveness": lambda read: displayed(read("coverage_percent") / 20),
+}
 
 
 def aspects(read: Callable[[str], Column] = _c) -> dict[str, Column]:
     """The 14 aspects of a summary row, 0 to 5; null where an input is. ``read`` gives a counter by its name: the column, or what it would be."""
-    out = {name: displayed(curve(p / REFERENCES[name])) for name, p in pressures(read).items()}
-    ladder = lambda rate, name: steps(rate, *LADDERS[name])
-    out["change_coupling"] = ladder(_share("coupled_pairs", "files_changed", read), "history")
-    out["churn_hotspots"] = ladder(_share("hotspots", "files_changed", read), "history")
-    out["knowledge_concentration"] = ladder(_share("single_author_files", "settled_files", read), "knowledge_concentration")
-    share = F.when(read("declarations") > 0, (read("declarations") - read("production_declarations")) / read("declarations"))
-    out["test_presence"] = F.when(read("test_files") == 0, 0.0).when(read("test_files").isNotNull(), ladder(share, "test_presence"))
-    out["dead_code"] = ladder(_share("dead_declarations", "production_declarations", read), "dead_code")
-    out["near_duplication"] = ladder(_share("near_duplicates", "production_declarations", read), "near_duplication")
-    out["idiom_consistency"] = ladder(read("divergent_concerns"), "idiom_consistency")
-    extras = F.col("has_changelog").cast("int") + F.col("has_docs").cast("int")
-    out["documentation"] = F.when(F.col("has_readme").isNull() | extras.isNull(), None).when(F.col("has_readme"), F.lit(3.0) + extras).otherwise(F.when(extras > 0, 1.5).otherwise(0.5))
-    out["test_effectiveness"] = displayed(read("coverage_percent") / 20)
-    return out
+    return {name: make(read) for name, make in ASPECTS.items()}
 
 
 def not_applicable() -> dict[str, Column]:
@@ -69,16 +88,20 @@ def not_applicable() -> dict[str, Column]:
     return {"test_effectiveness": F.col("coverage_percent").isNull(), "knowledge_concentration": F.coalesce(_c("settled_files") == 0, F.lit(False)), "change_coupling": F.coalesce(_c("files_changed") == 0, F.lit(False)), "churn_hotspots": F.coalesce(_c("files_changed") == 0, F.lit(False))}
 
 
-def weights(category: str) -> dict[str, Column]:
+def weights(category: str, absent: dict[str, Column] | None = None) -> dict[str, Column]:
     """Weights of a category's aspects: 0 for those without a population."""
-    absent = not_applicable()
+    absent = absent or not_applicable()
     return {a: F.when(absent[a], 0.0).otherwise(w) if a in absent else F.lit(w) for a, w in CATEGORIES[category].items()}
 
 
 def partial_sums(price: float) -> dict[str, tuple[Column, Column]]:
     """(sum of weighted aspects, sum of weights) of each category, over a_<aspect>."""
-    zero = F.lit(0.0)
-    return {c: (sum((F.coalesce(F.col(f"a_{a}"), F.lit(price)) * w for a, w in weights(c).items()), zero), sum(weights(c).values(), zero)) for c in CATEGORIES}
+    zero, absent, out = F.lit(0.0), not_applicable(), {}
+    known = {a: F.coalesce(F.col(f"a_{a}"), F.lit(price)) for a in ASPECTS}
+    for c in CATEGORIES:
+        own = weights(c, absent)
+        out[c] = sum((known[a] * w for a, w in own.items()), zero), sum(own.values(), zero)
+    return out
 
 
 def category(name: str, value: Column, price: float) -> Column:
@@ -126,14 +149,10 @@ def blockers(level: int = 1) -> Column:
 def cap_reason() -> Column:
     """Why a card cannot have more than a B: "no tests", else the unmeasured aspects that apply, else null. Over a_<aspect> and the summary's columns."""
     absent = not_applicable()
-    missing = F.array_sort(F.filter(F.array(*[F.when(F.col(f"a_{a}").isNull() & ~absent.get(a, F.lit(False)), a) for a in aspects()]), lambda x: x.isNotNull()))
+    missing = F.array_sort(F.filter(F.array(*[F.when(F.col(f"a_{a}").isNull() & ~absent.get(a, F.lit(False)), a) for a in ASPECTS]), lambda x: x.isNotNull()))
     return F.when(_c("test_files") == 0, "no tests").when(F.size(missing) > 0, F.concat(F.lit("unmeasured: "), F.array_join(missing, ", ")))
 
 
-def _held_at_b(letter: Column) -> Column:
-    return F.when(cap_reason().isNotNull() & letter.startswith("A"), "B").otherwise(letter)
-
-
 def scorecard(summary: DataFrame) -> DataFrame:
     """``summary`` with a_<aspect>, c_<category>, overall, low, high, grade and blockers.
 
@@ -141,9 +160,12 @@ def scorecard(summary: DataFrame) -> DataFrame:
     without tests, or with an aspect that applies but nobody measured, gets more than a B; ``capped`` names why (no tests first).
     """
     own = summary.select("*", *[v.alias(f"a_{k}") for k, v in aspects().items()])
-    point = _categories(UNKNOWN)
-    low, high = _overall(_categories(0.0)), _overall(_categories(5.0))
-    return own.select("*", *[v.alias(f"c_{k}") for k, v in point.items()], _overall(point).alias("overall"), low.alias("low"), high.alias("high"), _held_at_b(grade(low)).alias("grade"), cap_reason().alias("capped"), blockers().alias("blockers"))
+    # Bounds are columns before the letter reads them: each roll-up is one expression, not one for each comparison.
+    point = own.select("*", *[v.alias(f"c_{k}") for k, v in _categories(UNKNOWN).items()])
+    bounds = point.select("*", _overall({c: F.col(f"c_{c}") for c in CATEGORIES}).alias("overall"), _overall(_categories(0.0)).alias("low"), _overall(_categories(5.0)).alias("high"), cap_reason().alias("capped"))
+    letter = bounds.withColumn("_letter", grade(F.col("low")))
+    held = F.when(F.col("capped").isNotNull() & F.col("_letter").startswith("A"), "B").otherwise(F.col("_letter"))
+    return letter.select(*point.columns, "overall", "low", "high", held.alias("grade"), "capped", blockers().alias("blockers"))
 
 
 def widened(low: Column, high: Column, other: Column, spread: Column, single: Column) -> tuple[Column, Column]:

@@ -116,11 +116,12 @@ def worths(items: DataFrame, cards: DataFrame, by: list[str]) -> DataFrame:
             out = F.when(F.col("class") == cls, of(counter, aspect)).otherwise(out)
         return out
 
-    rows = rows.withColumns({f"_w_{c}": by_class(lambda _, a, c=c: scorecard.weights(c).get(a, F.lit(0.0))) for c in CATEGORIES})
+    own_weights = {c: scorecard.weights(c) for c in CATEGORIES}
+    rows = rows.withColumns({f"_w_{c}": by_class(lambda _, a, w=w: w.get(a, F.lit(0.0))) for c, w in own_weights.items()})
     for name, amount in (("_one", F.lit(1.0)), ("_all", F.col("class_count").cast("double"))):
 
         def moved(counter: str, aspect: str, amount=amount) -> Column:
-            fewer = scorecard.aspects(lambda n: _fewer(n, amount) if n == counter else scorecard._c(n))[aspect]
+            fewer = scorecard.ASPECTS[aspect](lambda n: _fewer(n, amount) if n == counter else scorecard._c(n))
             return F.when(F.col(counter).isNotNull(), F.coalesce(fewer, F.lit(UNKNOWN)) - F.coalesce(F.col(f"a_{aspect}"), F.lit(UNKNOWN)))
 
         rows = rows.withColumn(name, F.coalesce(by_class(moved), F.lit(0.0)))
