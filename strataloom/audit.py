@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexing, markers, paths
-from .operators import bands, code, incremental, scorecard, text, workorder
+from .operators import bands, code, incremental, practice, scorecard, text, workorder
 from .session import staged
 from .sources.files import source_files
 
@@ -31,17 +31,18 @@ def _ends(path: Column, suffixes: tuple[str, ...]) -> Column:
 def risk_findings(lines: DataFrame, rules: list[tuple[str, str, tuple[str, ...] | None]] = RULES) -> DataFrame:
     """(rule, path, line, text) of the lines that match a rule for their suffix; one scan for all rules, texts up to 180 characters."""
     hits = [F.when(F.col("text").rlike(p) & (F.lit(True) if ends is None else _ends(F.col("path"), ends)), F.lit(name)) for name, p, ends in rules]
-    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    found = F.filter(F.array(*hits) if hits else F.array().cast("array<string>"), lambda x: x.isNotNull())
     return lines.select(F.explode(found).alias("rule"), "path", F.col("line_no").alias("line"), F.substring(F.trim("text"), 1, 180).alias("text"))
 
 
-def audit(spark: SparkSession, root: str, exclude: list[str] = (), clone_lines: int = 8, history: DataFrame | None = None, gates: DataFrame | None = None, unpaired: bool | None = None, store: str | None = None) -> dict[str, DataFrame]:
+def audit(spark: SparkSession, root: str, exclude: list[str] = (), clone_lines: int = 8, history: DataFrame | None = None, gates: DataFrame | None = None, unpaired: bool | None = None, store: str | None = None, rules: list[tuple[str, str, tuple[str, ...] | None]] = RULES) -> dict[str, DataFrame]:
     """files, declarations, clones, similar, unused, risks, idioms, hotspots, work, summary and card of the sources under ``root``.
 
     Files are read and parsed once; sources and declarations are staged. ``history``: a row with
     files_changed, hotspots, coupled_pairs, settled_files and single_author_files; ``gates``: (gate, passed), a row a gate that was run, null where it could
     not be judged; ``unpaired``: whether a hotspot has no test. What is not given was not looked at: it is unknown and priced, never a clean reading.
-    With a ``store``, only files that it does not hold are parsed (``incremental``).
+    With a ``store``, only files that it does not hold are parsed (``incremental``). ``rules`` that do not compile, or backtrack beyond their
+    budget, do not run; table refused_rules names them.
     """
     read = source_files(spark, root, list(SUFFIXES), list(exclude))
     # Texts are read from the tree once; all tables come from the staged copy.
@@ -51,16 +52,17 @@ def audit(spark: SparkSession, root: str, exclude: list[str] = (), clone_lines:
     files = sources.select("path", "valid", F.size(text.split_lines(F.col("text"))).alias("lines"), test.alias("is_test")).withColumn("status", bands.status(F.col("lines"), *FILE_LIMITS))
     declared = incremental.declarations(sources, store) if store else staged(code.declarations(sources), "declarations")
     graded = declared.withColumn("status", code.status()).withColumn("is_test", test)
+    admitted, refused_rules = practice.admitted_rules(spark, rules)
     windows = text.clone_windows(lines, clone_lines)
     clones = text.clone_groups(windows, clone_lines)
-    similar, unused, risks = code.similar_bodies(declared), code.unused_declarations(declared, sources), risk_findings(lines)
+    similar, unused, risks = code.similar_bodies(declared), code.unused_declarations(declared, sources), risk_findings(lines, admitted)
     uses = lines.filter(~test).select("path", F.explode(markers.imported(F.col("text"), F.lower("path").endswith(".py"))).alias("package"))
     idioms = text.divergent(markers.competing(uses), "concern", "package", "path")
     summary = _summary(spark, root, files, graded, clones, similar, unused, risks, idioms, history, gates, unpaired)
     card = scorecard.scorecard(summary)
     hotspots = code.function_hotspots(declared)
     work = _work(windows, graded, files, similar, unused, risks, idioms, card, clone_lines)
-    return {"files": files, "declarations": graded.drop("tokens"), "clones": clones, "similar": similar, "unused": unused, "risks": risks, "idioms": idioms, "hotspots": hotspots, "work": work, "summary": summary, "card": card}
+    return {"files": files, "declarations": graded.drop("tokens"), "clones": clones, "similar": similar, "unused": unused, "risks": risks, "refused_rules": refused_rules, "idioms": idioms, "hotspots": hotspots, "work": work, "summary": summary, "card": card}
 
 
 def _work(windows, graded, files, similar, unused, risks, idioms, card, clone_lines) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markers, paths
@@ -113,6 +115,46 @@ def admitted(pattern: str, budget: float = 0.005) -> bool:
     return True
 
 
+#: Probes of rules: runs that a pattern with nested repetition tries in every way before it gives up.
+PROBES = ("a" * 20 + "!", "a1" * 12 + "!", " " * 24 + "x")
+
+
+def refused(spark: SparkSession, pattern: str, budget: float = 0.005, tries: int = 3) -> str | None:
+    """Why a rule must not reach the executors, or None: it does not compile, or takes more than its budget of seconds for a short probe.
+
+    The engine that will run the rule is asked, Spark's own in the driver's JVM; the best of a few tries counts, less what
+    a trivial rule takes there, so that a slow call of the driver is not taken for a slow rule.
+    """
+    engine = spark._jvm.java.util.regex.Pattern
+
+    def seconds(rule, probe: str) -> float:
+        best = float("inf")
+        for _ in range(tries):
+            matcher = rule.matcher(probe)
+            began = time.perf_counter()
+            matcher.find()
+            best = min(best, time.perf_counter() - began)
+            if best <= budget / 10:
+                break
+        return best
+
+    try:
+        rule = engine.compile(pattern)
+    except Exception as e:
+        return "does not compile: " + str(getattr(e, "java_exception", e)).split("\n")[0]
+    plain = engine.compile("x")
+    if any(seconds(rule, p) - seconds(plain, p) > budget for p in PROBES):
+        return f"takes more than {budget * 1000:g} ms for a short line"
+    return None
+
+
+def admitted_rules(spark: SparkSession, rules: list[tuple], budget: float = 0.005) -> tuple[list[tuple], DataFrame]:
+    """The rules (name, pattern, ...) that may run, and (rule, reason) of the others."""
+    reasons = [(r, refused(spark, r[1], budget)) for r in rules]
+    out = [(r[0], why) for r, why in reasons if why is not None]
+    return [r for r, why in reasons if why is None], spark.createDataFrame(out, "rule string, reason string")
+
+
 def new_oracles(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, weakened): test files whose count of assertions fell or whose skips rose between two states (path, asserts, skips)."""
     both = before.alias("x").join(after.alias("y"), "path")

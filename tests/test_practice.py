@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from strataloom.audit import risk_findings
 from strataloom.operators import practice
 
 
@@ -54,3 +55,12 @@ def test_asks_skips_rules_and_oracles(spark):
     before = spark.createDataFrame([("t1", 5, 0), ("t2", 5, 0), ("t3", 1, 0)], "path string, asserts int, skips int")
     after = spark.createDataFrame([("t1", 4, 0), ("t2", 5, 1), ("t3", 2, 0)], "path string, asserts int, skips int")
     assert rows(practice.new_oracles(before, after), "path") == [("t1",), ("t2",)]
+
+
+def test_rules_that_backtrack_do_not_run(spark):
+    rules = [("todo", r"(?i)\bTODO\b", None), ("open", "(", None), ("slow", r"(x+x+)+y|(\s*\s*\s*\s*\s*\s*)*z|(a|aa|a1)+$|((a?1?)*)*b", None), ("back", r"(\w+)=\1", (".py",))]
+    good, refused = practice.admitted_rules(spark, rules)
+    found = {r["rule"]: r["reason"] for r in refused.collect()}
+    assert [r[0] for r in good] == ["todo", "back"] and found["open"].startswith("does not compile") and "more than 5 ms" in found["slow"]
+    lines = spark.createDataFrame([("a.py", 1, "# todo x=x")], "path string, line_no int, text string")
+    assert sorted(r["rule"] for r in risk_findings(lines, good).collect()) == ["back", "todo"] and risk_findings(lines, []).count() == 0
