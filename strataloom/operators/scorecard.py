@@ -104,12 +104,15 @@ def partial_sums(price: float) -> dict[str, tuple[Column, Column]]:
     return out
 
 
+def testability_cap(price: float) -> Column:
+    """What testability may reach where there are no tests, or a hotspot has none; null where no cap holds."""
+    untested = F.when(_c("test_files").isNull(), price <= 0.0).otherwise(_c("test_files") == 0)
+    return F.when(untested, UNTESTED_CAP).when(F.coalesce(F.col("unpaired_hotspot"), F.lit(False)), UNPAIRED_CAP)
+
+
 def category(name: str, value: Column, price: float) -> Column:
     """The displayed score of a category from its weighted mean, under the caps of testability."""
-    if name == "testability":
-        untested = F.when(_c("test_files").isNull(), price <= 0.0).otherwise(_c("test_files") == 0)
-        value = F.when(untested, F.least(value, F.lit(UNTESTED_CAP))).when(F.coalesce(F.col("unpaired_hotspot"), F.lit(False)), F.least(value, F.lit(UNPAIRED_CAP))).otherwise(value)
-    return displayed(value)
+    return displayed(F.least(value, testability_cap(price)) if name == "testability" else value)
 
 
 def _categories(price: float) -> dict[str, Column]:
@@ -198,33 +201,3 @@ def thin_populations() -> Column:
 def economics(changes: Column, rate: Column, hours: tuple[float, ...] = (0.25, 1.0, 2.0), months: int = 12) -> dict[str, Column]:
     """What extra hours a change cost over a horizon, for a low, a base and a high guess."""
     return {name: F.round(changes * h * rate * months / 12 + HALF, 2) for name, h in zip(("low", "base", "high"), hours)}
-
-
-def curve_constant(summary: DataFrame, target: float = 4.0, low: float = 1e-3, high: float = 1e3, rounds: int = 200) -> float:
-    """The constant of the curve at which the median overall score is ``target``: a bisection, each step one aggregate over all projects; then the middle of the plateau around it.
-
-    The corpus is one row a project; 161 constants of the plateau are scored in one pass.
-    """
-    shares = summary.select(*[(p / REFERENCES[k]).alias(k) for k, p in pressures().items()], *[v.alias(f"a_{k}") for k, v in aspects().items() if k not in REFERENCES], "coverage_percent", "settled_files", "files_changed", "test_files", "unpaired_hotspot").persist()
-
-    def median(constants: list[float]) -> dict[float, float]:
-        table = summary.sparkSession.createDataFrame([(c,) for c in constants], "k double")
-        rows = shares.join(F.broadcast(table))  # a few constants
-        scored = rows.select("*", *[displayed(5 * F.col("k") / (F.col(a) + F.col("k"))).alias(f"a_{a}") for a in REFERENCES])
-        overall = scored.select("k", _overall(_categories(UNKNOWN)).alias("s"))
-        return {r["k"]: r["m"] for r in overall.groupBy("k").agg(F.median("s").alias("m")).collect()}
-
-    try:
-        for _ in range(rounds):
-            mid = (low + high) / 2
-            if high - low < 1e-6:
-                break
-            if median([mid])[mid] < target:
-                low = mid
-            else:
-                high = mid
-        around = [round(high + i * 0.001, 6) for i in range(-80, 81)]
-        flat = [k for k, m in median([k for k in around if k > 0]).items() if abs(m - target) < 1e-9]
-        return round((min(flat) + max(flat)) / 2, 4) if flat else round(high, 4)
-    finally:
-        shares.unpersist()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calibration, scoring, workorder
 from ..operators import scorecard as sc
-from ..operators import scoring, workorder
 from ..operators.reports import BANDS
 from .catalogue import _t, query
 
@@ -182,3 +182,25 @@ def class_worths(spark, d):
 def work_places(spark, d):
     rows = workorder.work_order(_items(spark, d), sc.scorecard(summary(spark, d)), ["k"])
     return rows.groupBy("k", "class").agg(F.count("*").alias("n"), F.min("place").alias("first_place"), F.sum("place").alias("places"), F.max(F.col("class_delta")).alias("worth"))
+
+
+_DRAWS, _SEED = 12, 7
+_REFITTED = ", ".join(f"case when {p} is not null and r_{k} > 0 then {_shown(f'greatest(0.0, least(5.0, 5 * c / ({p} / r_{k} + c)))')} end a_{k}" for k, p in _PRESSURES.items())
+_FIXED = ", ".join(f"{v} a_{k}" for k, v in _ASPECTS.items() if k not in _PRESSURES)
+_MEDIAN20 = "round(median(round({overall} * 10)) * 2)"
+_REFITS = f"""s as materialized ({_SUMMARY}), nb as (select *, row_number() over (order by k) i from s),
+ picks as (select draw, (('0x' || substr(md5('{_SEED}:' || draw || ':' || i), 1, 13))::bigint % (select count(*) from s)) + 1 i from nb, range(1, {_DRAWS + 1}) d(draw) union all select 0, i from nb),
+ rows as materialized (select draw, nb.*, {_FIXED} from picks join nb using (i)),
+ refs as materialized (select draw, count(*) n, {', '.join(f"round(median({p}) + 1e-9, 4) r_{k}" for k, p in _PRESSURES.items() if k != calibration.UNIT)}, {sc.REFERENCES[calibration.UNIT]}::double r_{calibration.UNIT} from rows group by 1),
+ b as (select draw, 0 step, {calibration.LOW}::double lo, {calibration.HIGH}::double hi from refs union all
+  select draw, step + 1, case when m < 80 - 1e-9 then c else lo end, case when m < 80 - 1e-9 then hi else c end from (select draw, step, c, lo, hi, {_MEDIAN20.format(overall=_overall(4.0))} m from (select *, {_REFITTED} from (select *, (lo + hi) / 2 c from b where step < {calibration.STEPS}) join refs using (draw) join rows using (draw)) group by all)),
+ e as (select draw, (lo + hi) / 2 fin from b where step = {calibration.STEPS}),
+ flat as (select draw, min(slot) a, max(slot) z from (select draw, slot, {_MEDIAN20.format(overall=_overall(4.0))} m from (select *, {_REFITTED} from (select draw, slot, fin + slot * {calibration.STRIDE}::double c from e, range(-{calibration.PLATEAU}, {calibration.PLATEAU + 1}) r(slot)) join refs using (draw) join rows using (draw)) group by 1, 2) where abs(m - 80) < 1e-9 group by 1),
+ fits as (select draw, n, coalesce(round((round(fin + a * {calibration.STRIDE}::double + 1e-9, 4) + round(fin + z * {calibration.STRIDE}::double + 1e-9, 4)) / 2 + 1e-9, 4), round(fin + 1e-9, 4)) constant, {', '.join(f"r_{k}" for k in _PRESSURES)} from e join refs using (draw) left join flat using (draw))"""
+
+
+@query(f"with recursive {_REFITS}, o as (select constant, row_number() over (order by constant, draw) - 1 place, count(*) over () n from fits where draw > 0), ends as (select count(*) draws, (select constant from fits where draw = 0) measured, max(constant) filter (place = floor(n * 0.025)) low, max(constant) filter (place = floor(n * 0.975)) high from o) select *, measured < low or measured > high outside from fits, ends")
+def refitted_constants(spark, d):
+    """The customers' summaries as a corpus, drawn again twelve times: references and constant of each draw (0: the corpus itself), beside the interval of the constant."""
+    fits = calibration.refits(summary(spark, d), "k", _DRAWS, _SEED)
+    return fits.crossJoin(calibration.interval(fits)).select("draw", "n", "constant", *[f"r_{k}" for k in _PRESSURES], "draws", "measured", "low", "high", "outside")  # the interval is one row

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strataloom.operators import calibration
 from strataloom.operators import scorecard as sc
 
 CLEAN = {
@@ -52,6 +53,6 @@ def test_what_has_no_population_leaves_both_sums(spark):
 def test_the_constant_brings_the_median_to_its_target(spark, target):
     rows = [tuple(float(v) if TYPES[k] == "double" else v for k, v in {**CLEAN, "file_band_pressure": 0.03 * i, "declaration_band_pressure": 0.05 * i, "duplicate_blocks": 60 * i, "risk_findings": 5 * i}.items()) for i in range(1, 10)]
     frame = spark.createDataFrame(rows, ", ".join(f"{k} {t}" for k, t in TYPES.items()))
-    k = sc.curve_constant(frame, target)
+    k = calibration.curve_constant(frame, target)
     again = frame.select("*", *[v.alias(f"a_{n}") for n, v in sc.aspects().items() if n not in sc.REFERENCES], *[sc.displayed(5 * k / (p / sc.REFERENCES[n] + k)).alias(f"a_{n}") for n, p in sc.pressures().items()])
     assert again.select(F.median(sc._overall(sc._categories(sc.UNKNOWN)))).first()[0] == pytest.approx(target, abs=0.1)
