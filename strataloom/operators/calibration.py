@@ -20,7 +20,7 @@ PLATEAU, STRIDE = 80, 0.001
 LEAST_CORPUS = 8
 UNIT = "policy_gates"
 
-#: Steps of a bisection that one pass answers: it looks at every middle they may come to.
+#: Steps of a bisection that one pass answers: it looks at every middle they may come to. Divides STEPS.
 DEPTH = 5
 
 
@@ -67,25 +67,13 @@ def references_of(rows: DataFrame, by: str = "draw", weight: str = "w") -> DataF
     return found.withColumn(f"r_{UNIT}", F.lit(sc.REFERENCES[UNIT]))
 
 
-def _middles(low: Column, high: Column, depth: int) -> list[Column]:
-    """The middles that ``depth`` steps of a bisection may come to, as a heap: that of place i is followed by 2 i + 1 downwards, 2 i + 2 upwards."""
-    out, level = [], [(low, high)]
-    for _ in range(depth):
-        mids = [(a + b) / 2 for a, b in level]
-        out += mids
-        level = [half for (a, b), m in zip(level, mids) for half in ((a, m), (m, b))]
-    return out
-
-
-def _descended(depth: int) -> Column:
-    """(low, high) behind ``depth`` steps, from the heap ``k`` and whether the median at each is ``below`` the target."""
-    def step(place: int, left: int, low: Column, high: Column) -> Column:
-        if not left:
-            return F.struct(low.alias("low"), high.alias("high"))
-        mid = F.col("k")[place]
-        return F.when(F.col("below")[place], step(2 * place + 2, left - 1, mid, high)).otherwise(step(2 * place + 1, left - 1, low, mid))
-
-    return step(0, depth, F.col("low"), F.col("high"))
+#: (low, high) halved downwards or upwards; the middles that DEPTH halvings may come to, as a heap whose place h is followed by 2 h downwards and 2 h + 1 upwards.
+_MID = "(x.low + x.high) / 2"
+_MIDDLES = f"""transform(sequence(1, {(1 << DEPTH) - 1}), h -> aggregate(slice(split(bin(h), ''), 2, 64), struct(low, high),
+    (x, up) -> if(up = '1', struct({_MID} as low, x.high as high), struct(x.low as low, {_MID} as high)), x -> {_MID}))"""
+#: Where the heap ``k`` leads to, by whether the median at each of its places is ``below`` the target.
+_DESCENDED = f"""aggregate(sequence(1, {DEPTH}), struct(1 as h, low, high),
+    (x, _) -> if(below[x.h - 1], struct(2 * x.h + 1 as h, k[x.h - 1] as low, x.high as high), struct(2 * x.h as h, x.low as low, k[x.h - 1] as high)), x -> struct(x.low, x.high))"""
 
 
 def _median_tenths(scored: DataFrame) -> DataFrame:
@@ -107,14 +95,15 @@ def _settled() -> list[Column]:
     return out
 
 
-def _overall_at(constant: Column) -> Column:
-    """The overall score under a constant of the curve, over q_<pressure>, f_<category>, t_<category> and cap."""
-    on_curve = {a: F.coalesce(sc.displayed(5 * constant / (F.col(f"q_{a}") + constant)), F.lit(UNKNOWN)) for a in sc.REFERENCES}
-    shown = []
+def _overall_at(rows: DataFrame) -> DataFrame:
+    """(draw, slot, w, s): the overall score under the constant k of the curve, over q_<pressure>, f_<category>, t_<category> and cap."""
+    shown = lambda v: F.round(F.greatest(F.lit(0.0), F.least(F.lit(5.0), v)) + HALF, 1)  # noqa: E731  the one rounding of scores, of what is never null
+    k, means = F.col("k"), {}
     for c, own in CATEGORIES.items():
-        mean = sum((on_curve[a] * w for a, w in own.items() if a in on_curve), F.col(f"f_{c}")) / F.col(f"t_{c}")
-        shown.append(sc.displayed(F.least(mean, F.col("cap")) if c == "testability" else mean))
-    return sc.displayed(sum(shown, F.lit(0.0)) / len(shown))
+        means[c] = sum((F.col(f"a_{a}") * w for a, w in own.items() if a in sc.REFERENCES), F.col(f"f_{c}")) / F.col(f"t_{c}")
+    means["testability"] = F.least(means["testability"], F.col("cap"))
+    curves = rows.select("draw", "slot", "w", "cap", *[f"{x}_{c}" for c in CATEGORIES for x in "ft"], *[F.when(F.col(f"q_{a}").isNull(), UNKNOWN).otherwise(shown(5 * k / (F.col(f"q_{a}") + k))).alias(f"a_{a}") for a in sc.REFERENCES])
+    return curves.select("draw", "slot", "w", shown(sum((shown(v) for v in means.values()), F.lit(0.0)) / len(means)).alias("s"))
 
 
 def fit_constants(rows: DataFrame, target: float = 4.0) -> DataFrame:
@@ -135,14 +124,13 @@ def fit_constants(rows: DataFrame, target: float = 4.0) -> DataFrame:
     def medians(points: DataFrame) -> DataFrame:
         """``points``: (draw, slot, k), some for each draw, whose number is a parameter."""
         at = corpus.join(F.broadcast(points), "draw")
-        return _median_tenths(at.select("draw", "slot", "w", _overall_at(F.col("k")).alias("s")))
+        return _median_tenths(_overall_at(at))
 
     goal = target * 20
-    for done in range(0, STEPS, DEPTH):
-        depth = min(DEPTH, STEPS - done)
-        heap = state.select("draw", "n", "low", "high", F.array(*_middles(F.col("low"), F.col("high"), depth)).alias("k"))
+    for _ in range(STEPS // DEPTH):
+        heap = state.select("draw", "n", "low", "high", F.expr(_MIDDLES).alias("k"))
         below = medians(heap.select("draw", F.posexplode("k").alias("slot", "k"))).groupBy("draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "m20"))), lambda x: x["m20"] < goal - HALF).alias("below"))
-        ahead = staged(heap.join(below, "draw").select("draw", "n", _descended(depth).alias("x")).select("draw", "n", "x.*"), "bounds")
+        ahead = staged(heap.join(below, "draw").select("draw", "n", F.expr(_DESCENDED).alias("x")).select("draw", "n", "x.*"), "bounds")
         unstaged(state)
         state = ahead
     fitted = state.select("draw", "n", ((F.col("low") + F.col("high")) / 2).alias("end"))
