@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import series
+from ..session import staged, unstaged
+from . import series, stats
 
 
 def top(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
@@ -164,44 +163,57 @@ def size_band(rows: DataFrame, group: str, size: str) -> DataFrame:
     return rows.join(F.broadcast(ends)).filter((F.col("_n") == 2) & F.col(size).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", "_n")
 
 
-def tracks(findings: DataFrame, by: str) -> DataFrame:
+#: What a finding and a track must have in common, from the strongest evidence on.
+TRACK_TIERS = (("fingerprint",), ("rule", "path", "line"), ("rule", "path"))
+
+
+def tracks(findings: DataFrame, by: str, tiers: tuple[tuple[str, ...], ...] = TRACK_TIERS) -> DataFrame:
     """(by, scan, track, fingerprint): findings of consecutive scans followed as tracks, each matched against every track that was ever seen.
 
-    A finding takes a track of the same fingerprint, else of the same rule, path and line, else of the same rule and path with the
-    nearest line; a track is taken once a scan, in the order of lines. ``findings``: (by, scan, fingerprint, rule, path, line). A group's history is worked
-    through in one task, scan by scan, as each depends on the one before; its state is a row for each track.
+    ``findings``: (by, scan, fingerprint, rule, path, line). The first scans of all series are matched at once, then the second
+    ones, and so on; a track is as its last finding was. Tier by tier, of the findings and tracks that are left and have
+    equal keys without nulls, the n-th of one side takes the n-th of the other, in the order of lines and fingerprints (nulls first). What takes
+    none begins a track; tracks are numbered from 0 on in each series, those of a scan by path, line, fingerprint and rule. Repeated rows are
+    findings of their own; rows without a scan are left out; a null series is one of its own; no rows give none.
+
+    Every step is joins and windows on keys of a file; what a scan leaves is written, so a lost executor costs one step.
     """
-    schema = "by string, scan long, track long, fingerprint string"
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by([("scan", "ascending"), ("path", "ascending"), ("line", "ascending"), ("fingerprint", "ascending")])
-        seen: list[dict] = []
-        out: dict[str, list] = {"by": [], "scan": [], "track": [], "fingerprint": []}
-        rows = table.to_pylist()
-        for scan in sorted({r["scan"] for r in rows}):
-            here, taken = [r for r in rows if r["scan"] == scan], {}
-            for tier in range(3):
-                for i, r in enumerate(here):
-                    if i in taken:
-                        continue
-                    free = [t for t, x in enumerate(seen) if t not in taken.values()]
-                    if tier == 0:
-                        fit = [t for t in free if seen[t]["fingerprint"] == r["fingerprint"]]
-                    else:
-                        fit = [t for t in free if (seen[t]["rule"], seen[t]["path"]) == (r["rule"], r["path"]) and (tier == 2 or seen[t]["line"] == r["line"])]
-                    if fit:
-                        taken[i] = min(fit, key=lambda t: (abs((seen[t]["line"] or 0) - (r["line"] or 0)), t))
-            for i, r in enumerate(here):
-                if i not in taken:
-                    taken[i] = len(seen)
-                    seen.append({})
-                seen[taken[i]] = r
-                for k, v in (("by", r["by"]), ("scan", scan), ("track", taken[i]), ("fingerprint", r["fingerprint"])):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_pydict({"by": pa.array(out["by"], pa.string()), "scan": pa.array(out["scan"], pa.int64()), "track": pa.array(out["track"], pa.int64()), "fingerprint": pa.array(out["fingerprint"], pa.string())})
-
-    rows = findings.select(F.col(by).cast("string").alias("by"), F.col("scan").cast("long").alias("scan"), "fingerprint", "rule", "path", F.col("line").cast("long").alias("line"))
-    return rows.groupBy("by").applyInArrow(lambda t: pa.Table.from_batches(list(follow(iter(t.combine_chunks().to_batches())))), schema)
+    kept = ["fingerprint", "rule", "path", "line"]
+    rows = findings.filter("scan is not null").select(F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")).alias("_by"), F.col("scan").cast("long").alias("scan"), "fingerprint", "rule", "path", F.col("line").cast("long").alias("line"))
+    place = rows.select("_by", "scan").distinct().withColumn("no", F.row_number().over(Window.partitionBy("_by").orderBy("scan")))  # a row for each scan
+    # Rows of a scan lie together, so that each step reads its own.
+    held = staged(rows.join(place, ["_by", "scan"]).repartitionByRange("no", "_by", "path").sortWithinPartitions("no"), "findings")
+    state = staged(held.limit(0).select("_by", F.lit(0).cast("long").alias("track"), *kept), "tracks")
+    out = [held.limit(0).select("_by", "scan", F.lit(0).cast("long").alias("track"), "fingerprint")]
+
+    def pairs(here: DataFrame, free: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        w = Window.partitionBy("_by", *keys)
+        a = here.filter(present).withColumn("_n", F.row_number().over(w.orderBy("line", "fingerprint", "id"))).select("_by", *keys, "_n", "id")
+        b = free.filter(present).withColumn("_n", F.row_number().over(w.orderBy("line", "fingerprint", "track"))).select("_by", *keys, "_n", "track")
+        return a.join(b, ["_by", *keys, "_n"]).select("_by", "id", "track")
+
+    for no in range(1, (place.agg(F.max("no")).first()[0] or 0) + 1):
+        ordered = stats.numbered(held.filter(F.col("no") == no).select("_by", "scan", *kept, F.struct("_by", "path", "line", "fingerprint", "rule").alias("_order")), "_order", "id").drop("_order")
+        here = staged(ordered, "here")
+        left, free, taken = here, state, None
+        for keys in tiers:
+            hit = staged(pairs(left, free, keys), "taken")
+            left, free = left.join(hit, ["_by", "id"], "left_anti"), free.join(hit, ["_by", "track"], "left_anti")
+            taken = hit if taken is None else taken.unionByName(hit)
+        begun = left.select("_by", "id", F.struct("_by", "id").alias("_order"))
+        begun = stats.numbered(begun, "_order", "_g")
+        first = begun.groupBy("_by").agg(F.min("_g").alias("_first"))
+        size = state.groupBy("_by").agg(F.count("*").alias("_size"))
+        fresh = begun.join(first, "_by").join(size, "_by", "left").select("_by", "id", (F.coalesce("_size", F.lit(0)) + F.col("_g") - F.col("_first")).alias("track"))
+        now = staged(here.join(taken.unionByName(fresh), ["_by", "id"]).select("_by", "scan", "track", *kept), "now")
+        ahead = staged(state.join(now, ["_by", "track"], "left_anti").unionByName(now.drop("scan")), "tracks")
+        for x in (state, here):
+            unstaged(x)
+        state = ahead
+        out.append(now.select("_by", "scan", "track", "fingerprint"))
+    whole = reduce(DataFrame.unionByName, out)
+    return whole.select(F.when(F.col("_by") != "", F.expr("substring(_by, 2)")).alias("by"), "scan", "track", "fingerprint")
 
 
 def escalations(followed: DataFrame, least: int = 2) -> DataFrame:

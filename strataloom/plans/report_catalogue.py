@@ -182,3 +182,30 @@ def tool_reports(spark, d):
     read = lambda name, kind, **more: reports_source.tool_reports(spark, f"{folder}/{name}", kind, tool=name, **more)
     rows = read("orders", "jsonl", keys="file,at.row,text", splitBytes=1 << 20).unionByName(read("sarif", "sarif")).unionByName(read("lint", "text", splitBytes=1 << 20))
     return rows.groupBy("tool", "rule", "level").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), F.min("path").alias("first_path"), F.min("message").alias("first_message"))
+
+
+def _tracks_sql(scans: int) -> str:
+    """What follows the rows of ``h`` (g, no, id, fingerprint, rule, path, line) through so many scans, ending with ``r`` (g, no, track)."""
+    kept, parts = "fingerprint, rule, path, line", ["s0 as (select g, 0::bigint track, fingerprint, rule, path, line from h where false)"]
+    for n in range(1, scans + 1):
+        parts.append(f"h{n} as materialized (select * from h where no = {n})")
+        left, free = f"h{n}", f"s{n - 1}"
+        for i, keys in enumerate(reports.TRACK_TIERS):
+            k = ", ".join(keys)
+            number = "row_number() over (partition by g, {k} order by line nulls first, fingerprint nulls first, {last}) n"
+            parts.append(f"x{n}_{i} as materialized (select g, id, track from (select g, {k}, id, {number.format(k=k, last='id')} from {left}) a join (select g, {k}, track, {number.format(k=k, last='track')} from {free}) b using (g, {k}, n))")
+            parts.append(f"l{n}_{i} as materialized (select * from {left} anti join x{n}_{i} using (g, id)), f{n}_{i} as materialized (select * from {free} anti join x{n}_{i} using (g, track))")
+            left, free = f"l{n}_{i}", f"f{n}_{i}"
+        taken = " union all ".join(f"select * from x{n}_{i}" for i in range(len(reports.TRACK_TIERS)))
+        parts.append(f"t{n} as materialized ({taken} union all select g, id, coalesce(c, 0) + row_number() over (partition by g order by id) - 1 from {left} left join (select g, count(*) c from s{n - 1} group by 1) using (g))")
+        parts.append(f"now{n} as materialized (select g, no, track, {kept} from h{n} join t{n} using (g, id)), s{n} as materialized (select g, track, {kept} from s{n - 1} anti join now{n} using (g, track) union all select g, track, {kept} from now{n})")
+    return ", ".join(parts) + ", r as (" + " union all ".join(f"select g, no, track, fingerprint from now{n}" for n in range(1, scans + 1)) + ")"
+
+
+@query(f"""with h as materialized (select *, row_number() over (order by g, path, line, fingerprint, rule) id from (select event_type as g, (day(ts) - 1) // 5 + 1 no, user_id || ':' || floor(value)::bigint fingerprint, 'r' || user_id % 3 as rule, 'u' || user_id // 10 path, hour(ts) line from events)), {_tracks_sql(6)}
+ select g series, track, count(*) scans, min(no) as first, max(no) as last, min(fingerprint) label from r group by 1, 2""")
+def finding_tracks(spark, d):
+    """The events of each type as findings of a scan every five days, followed as tracks: how often each stood, from when to when."""
+    ts, user = F.col("ts"), F.col("user_id")
+    rows = _t(spark, d, "events").select(F.col("event_type").alias("series"), F.floor((F.dayofmonth(ts) - 1) / 5 + 1).alias("scan"), F.concat(user.cast("string"), F.lit(":"), F.floor("value").cast("string")).alias("fingerprint"), F.concat(F.lit("r"), user % 3).alias("rule"), F.concat(F.lit("u"), F.floor(user / 10).cast("string")).alias("path"), F.hour(ts).alias("line"))
+    return reports.tracks(rows, "series").groupBy(F.col("by").alias("series"), "track").agg(F.count("*").alias("scans"), F.min("scan").alias("first"), F.max("scan").alias("last"), F.min("fingerprint").alias("label"))

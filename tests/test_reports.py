@@ -1,6 +1,7 @@
 """Tracks of findings, escalations, targeted outcomes, readers and documents on small inputs."""
 
 import json
+import random
 
 import pytest
 
@@ -26,6 +27,44 @@ def test_tracks_follow_what_moves(spark):
     assert reports.tracks(frame.limit(0), "repo").count() == 0
 
 
+def followed(findings):
+    """The same in plain Python: (series, scan, fingerprint, rule, path, line) -> rows of (by, scan, track, fingerprint)."""
+    low = lambda v: (v is not None, v if v is not None else 0)  # noqa: E731  nulls first
+    out = []
+    for series in {f[0] for f in findings}:
+        own, seen = [f for f in findings if f[0] == series], []
+        for scan in sorted({f[1] for f in own}):
+            here, taken = sorted((f for f in own if f[1] == scan), key=lambda f: (low(f[4]), low(f[5]), low(f[2]), low(f[3]))), {}
+            for keys in ((2,), (3, 4, 5), (3, 4)):
+                free = [t for t in range(len(seen)) if t not in taken.values()]
+                left = [i for i in range(len(here)) if i not in taken]
+                groups = {}
+                for i in sorted(left, key=lambda i: (low(here[i][5]), low(here[i][2]), i)):
+                    groups.setdefault(tuple(here[i][k] for k in keys), ([], []))[0].append(i)
+                for t in sorted(free, key=lambda t: (low(seen[t][5]), low(seen[t][2]), t)):
+                    groups.setdefault(tuple(seen[t][k] for k in keys), ([], []))[1].append(t)
+                for key, (a, b) in groups.items():
+                    if None not in key:
+                        taken |= dict(zip(a, b))
+            for i, f in enumerate(here):
+                if i not in taken:
+                    taken[i] = len(seen)
+                    seen.append(None)
+                seen[taken[i]] = f
+                out.append((series, scan, taken[i], f[2]))
+    return out
+
+
+def test_tracks_equal_plain_python_with_nulls_and_repeats(spark):
+    rng = random.Random(5)
+    pick = lambda values: rng.choice(values)
+    findings = [(pick(["g", "h", None]), pick([1, 2, 5]), pick(["a", "b", "c", "d", None]), pick(["r", "q"]), pick(["x.py", "y.py", None]), pick([1, 2, 3, None])) for _ in range(90)]
+    frame = spark.createDataFrame([*findings, ("g", None, "a", "r", "x.py", 1)], "repo string, scan long, fingerprint string, rule string, path string, line int")
+    key = lambda r: tuple((v is not None, v if v is not None else 0) for v in r)
+    got = [tuple(r) for r in reports.tracks(frame.repartition(3), "repo").collect()]
+    assert sorted(got, key=key) == sorted(followed(findings), key=key)
+
+
 def test_what_returns_twice_escalates(spark):
     present = {0: [1, 3, 5], 1: [1, 2, 3, 4, 5], 2: [1], 3: [1, 2, 4]}
     frame = spark.createDataFrame([("g", s, t, str(t)) for t, own in present.items() for s in own], "by string, scan long, track long, fingerprint string")
