@@ -65,6 +65,7 @@ def declarations(sources: DataFrame, store: str, digest: str | None = None) -> D
     A text is known by its path's suffix and the 256 bits of its digest, so a file that moved is not parsed again either, nor are copies of a
     text more than once. Texts without declarations leave a row without a name in the store, so that they are known,
     too. The new generation holds what this tree needs, and so does not grow with what was deleted. Null texts have no rows.
+    Digests that are made of a narrow table are taken for as small as that, so every join says that no side goes to all tasks.
     """
     spark, digest = sources.sparkSession, digest or code_digest()
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)?$", 0))
@@ -73,15 +74,15 @@ def declarations(sources: DataFrame, store: str, digest: str | None = None) -> D
     empty = code.declarations(own.limit(0)).withColumnsRenamed({"path": "mark"})
     held = spark.read.schema(empty.schema).parquet(f"{store}/gen={done[-1]}") if done else None
     wanted = own.select("mark").distinct()
-    new = own if held is None else own.join(held.select("mark").distinct(), "mark", "left_anti")
+    new = own if held is None else own.join(held.select("mark").distinct().hint("merge"), "mark", "left_anti")
     # One text a digest; what is parsed is called by its digest and keeps its suffix, which names the language.
     new = new.groupBy("mark").agg(F.first(F.struct("text", "suffix")).alias("t")).select(F.concat("mark", "t.suffix").alias("path"), "t.text", "mark")
     parsed = code.declarations(new).withColumn("mark", F.substring("path", 1, 64)).drop("path")
-    parsed = new.select("mark").join(parsed, "mark", "left").select(empty.columns)
-    rows = parsed if held is None else parsed.unionByName(held.join(wanted, "mark", "left_semi"))
+    parsed = new.select("mark").join(parsed.hint("merge"), "mark", "left").select(empty.columns)
+    rows = parsed if held is None else parsed.unionByName(held.join(wanted.hint("merge"), "mark", "left_semi"))
     place = _commit(rows, store, _next(spark, store), digest)
     kept = spark.read.schema(empty.schema).parquet(place).filter("name is not null")
-    return own.select("path", "mark").join(kept, "mark").drop("mark")
+    return own.select("path", "mark").join(kept.hint("merge"), "mark").drop("mark")
 
 
 def forget(spark: SparkSession, store: str, keep: int = 1) -> None:

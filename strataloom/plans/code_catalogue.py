@@ -132,7 +132,7 @@ def pasted_diffs(spark, d):
 def qualified_members(spark, d):
     declared = code.declarations(_sources(spark, d)).filter("kind = 'function'").select("path", "start", "end", "name", "kind")
     parts = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("k"))
-    files = _sources(spark, d).select("path").withColumn("id", F.regexp_extract("path", r"w(\d+)\.", 1).cast("long")).join(parts, "id")
+    files = _sources(spark, d).select("path").withColumn("id", F.regexp_extract("path", r"w(\d+)\.", 1).cast("long")).join(parts.hint("merge"), "id")
     spans = files.select("path", F.lit(1).alias("start"), F.lit(40).alias("end"), F.lit("Outer").alias("name")).union(files.filter("id % 6 = 2").select("path", F.lit(2), (F.col("k") * 3 + 7).cast("int"), F.lit("Inner")))
     return code.qualified(declared, spans, ".").select("path", F.col("start").alias("s"), "name")
 

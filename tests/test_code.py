@@ -132,3 +132,13 @@ def test_tests_that_work_out_what_they_expect(spark):
     """)
     files = spark.createDataFrame([("tests/test_x.py", text), ("src/x.py", text), ("tests/test_y.py", "def (")], "path string, text string")
     assert [(r["path"], r["line"]) for r in code.computed_expectations(files).orderBy("line").collect()] == [("tests/test_x.py", 5), ("tests/test_x.py", 7), ("tests/test_x.py", 10)]
+
+
+def test_files_of_one_task_are_read_in_several_and_handed_on_in_batches(spark):
+    rows = [(f"src/w{i}.py", "def f():\n    pass\n" if i % 3 else None) for i in range(600)]
+    files = spark.createDataFrame(rows, "path string, text string").coalesce(1)
+    masked = code.masked_lines(files)
+    assert masked.rdd.getNumPartitions() >= 4
+    assert masked.count() == 400 * 3 + 200
+    sizes = masked.mapInArrow(lambda batches: (b.select(["line_no"]).slice(0, 1) for b in batches), "line_no int").count()
+    assert sizes <= masked.rdd.getNumPartitions()

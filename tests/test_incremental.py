@@ -54,3 +54,12 @@ def test_generations_of_other_code_or_of_broken_runs_are_not_read(spark, tmp_pat
     incremental.forget(spark, store)
     assert incremental.generations(spark, store, "a" * 64) == [2] and incremental.generations(spark, store, "b" * 64) == [3]
     assert sorted(p.name.split(".")[0] for p in (tmp_path / "store").iterdir() if p.is_dir()) == ["gen=2", "gen=3"]
+
+
+def test_no_join_of_digests_sends_a_side_to_every_task(spark, tmp_path):
+    trees = spark.range(40).selectExpr("concat('a', id, '.py') path", "concat('def f', id, '():\n    pass\n') text")
+    store = f"file://{tmp_path}/store"
+    incremental.declarations(trees.limit(20), store)
+    rows = incremental.declarations(trees, store)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 40
