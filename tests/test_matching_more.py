@@ -74,3 +74,30 @@ def test_results_are_remembered_by_commit_and_code(spark, tmp_path):
     commits = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "commit string")
     assert pairs(incremental.missing(spark, store, commits, "d1"), "commit") == [("c3",)] and pairs(incremental.missing(spark, store, commits, "d2"), "commit") == [("c2",), ("c3",)]
     assert not incremental.remembered(spark, store, "c3", make, "d1")[1] and incremental.remembered(spark, store, "c3", make, "d1")[1]
+
+
+def test_long_chains_over_few_paths_take_few_rounds(spark, monkeypatch):
+    """A log of 3,000 renames among seven paths, followed by hand; blocks of a path or two give the same."""
+    rows = [(i // 2, f"p{i * i % 7}", f"p{(i * 5 + i // 3) % 7}") for i in range(3000)]
+    first, comes, log = {}, {}, {}
+    for s, a, b in rows:
+        if a != b:
+            log.setdefault(s, {})[a] = min(b, log.get(s, {}).get(a, b))
+    for s in sorted(log):
+        for a, b in log[s].items():
+            first.setdefault(a, s)
+            comes.setdefault(b, s)
+    want = []
+    for head in [p for p in first if first[p] <= comes.get(p, first[p])]:
+        end = head
+        for s in sorted(log):
+            end = log[s].get(end, end)
+        want += [(head, end)] if end != head else []
+    frame = spark.createDataFrame(rows, "seq long, old string, new string")
+    written = []
+    keep = matching.staged
+    monkeypatch.setattr(matching, "staged", lambda df, name: written.append(keep(df, name)) or written[-1])
+    assert pairs(matching.rename_map(frame), "old", "new") == sorted(want, key=str)
+    assert len(written) <= 8
+    monkeypatch.setattr(matching, "BLOCK_PATHS", 1)
+    assert pairs(matching.rename_map(frame.coalesce(1)), "old", "new") == sorted(want, key=str)
