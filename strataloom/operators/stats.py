@@ -75,18 +75,57 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     return both.agg(F.round(F.coalesce(F.nanvl(F.corr("_rx", "_ry"), F.lit(0.0)), F.lit(0.0)), 6).alias("rho"))
 
 
+#: Cuts of a group's places in which a resample's middle is looked for, and picks that one row of the draws stands for.
+CUTS, CHUNK = 256, 1 << 18
+
+
 def bootstrap_median(values: DataFrame, by: str, column: str, draws: int = 200, seed: int = 7) -> DataFrame:
     """(by, median, low, high): the median of each group and its 95 % interval over ``draws`` seeded resamples of the group.
 
-    The j-th value of a resample is that one whose place a digest of (seed, group, draw, j) names, so every run draws
-    alike. Meant for groups of a corpus, of hundreds of rows: a group's rows meet ``draws`` times as many.
+    The j-th value of a resample is that one whose place in the group's order a digest of (seed, group, draw, j) names, so every run draws
+    alike. Values never meet the picks: the middle of a resample is that of its places, which are counted in
+    ``CUTS`` cuts of the group first; only those in the cut of the middle are drawn again and put in order, and two places a resample are
+    looked up. Groups may be of any size. Null values and null groups are left out.
     """
-    own = values.filter(F.col(column).isNotNull()).select(F.col(by).alias("by"), F.col(column).cast("double").alias("v"))
-    placed = own.withColumn("i", F.row_number().over(Window.partitionBy("by").orderBy("v")) - 1)
-    sizes = own.groupBy("by").agg(F.count("*").alias("n"), F.median("v").alias("median"))
-    picks = sizes.select("by", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("by", "draw", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("by").cast("string"), "draw", "j"))
-    picks = picks.select("by", "draw", (F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % F.col("n")).alias("i"))
-    medians = picks.join(placed, ["by", "i"]).groupBy("by", "draw").agg(F.median("v").alias("m"))
-    bounds = medians.groupBy("by").agg(*[F.round(F.percentile("m", q) + 1e-9, 4).alias(k) for k, q in (("low", 0.025), ("high", 0.975))])
-    return sizes.join(bounds, "by").select(F.col("by").alias(by), F.round(F.col("median") + 1e-9, 4).alias("median"), "low", "high")
+    spark = values.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = values.filter(F.col(column).isNotNull() & F.col(by).isNotNull()).groupBy(F.col(by).alias("by"), F.col(column).cast("double").alias("v")).agg(F.count("*").alias("k"))
+    ranged = staged(counts.repartitionByRange(parts, "by", "v").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = staged(ranged.groupBy("by").agg(F.sum("k").alias("n")), "sizes")
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    # A row for each chunk of picks; those of a draw stay together, so that its cuts are counted before they move.
+    drawn = sizes.select("by", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    chunks = drawn.select("by", "n", "draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(CHUNK).cast("long"))).alias("from"))
+
+    def picks(rows: DataFrame) -> DataFrame:
+        """``rows`` (chunks, whatever else they have) with the place ``i`` of each of their picks and its ``cut``."""
+        spread = rows.repartition(parts, "by", "draw", "from").withColumn("j", F.explode(F.sequence("from", F.least("n", F.col("from") + (CHUNK - 1)))))
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("by").cast("string"), "draw", "j"))
+        return spread.withColumn("i", F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % F.col("n")).withColumn("cut", F.expr(f"i * {CUTS} div n"))
+
+    cuts = picks(chunks).groupBy("by", "draw", "cut").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    before = F.sum("c").over(Window.partitionBy("by", "draw").orderBy("cut")) - F.col("c")  # a row for each cut
+    placed = cuts.withColumn("before", before)
+    at = lambda place, size: (F.col("before") <= place) & (place < F.col("before") + F.col(size))
+    middle = placed.filter(at(low, "c") | at(high, "c")).groupBy("by", "draw").agg(F.min("cut").alias("first"), F.max("cut").alias("last"), F.min("before").alias("ahead"))
+    again = picks(chunks.join(middle.hint("merge"), ["by", "draw"])).filter((F.col("cut") == F.col("first")) | (F.col("cut") == F.col("last")))
+    # Between the cuts of the two middles, if these differ, no pick lies.
+    ranks = again.withColumn("rank", F.col("ahead") + F.row_number().over(Window.partitionBy("by", "draw").orderBy("i")) - 1)
+    wanted = ranks.groupBy("by", "draw").agg(*[F.max(F.when(F.col("rank") == place, F.col("i"))).alias(k) for k, place in (("a", low), ("b", high))])
+    wanted = staged(wanted.unionByName(sizes.select("by", F.lit(0).alias("draw"), low.alias("a"), high.alias("b"))), "wanted")  # draw 0: the group itself
+    # Where the values of so many places are: in which range, then in the range.
+    sums = ranged.groupBy("by", "part").agg(F.sum("k").alias("own"))
+    sums = sums.withColumn("before", F.sum("own").over(Window.partitionBy("by").orderBy("part")) - F.col("own"))  # a row for each range
+    place = F.col("place")
+    places = wanted.select("by", F.explode(F.array("a", "b")).alias("place")).distinct()
+    there = places.join(sums.hint("merge"), "by").filter(at(place, "own")).select("by", "part", "place", (place - F.col("before")).alias("inside"))
+    inside = ranged.withColumn("before", F.sum("k").over(Window.partitionBy("by", "part").orderBy("v")) - F.col("k"))
+    found = inside.join(there.hint("merge"), ["by", "part"]).filter(at(F.col("inside"), "k")).select("by", "place", "v")
+    found = staged(found, "found")
+    both = wanted
+    for k in ("a", "b"):
+        both = both.join(found.select("by", F.col("place").alias(k), F.col("v").alias(f"v{k}")).hint("merge"), ["by", k])
+    medians = both.select("by", "draw", (F.col("va") * 0.5 + F.col("vb") * 0.5).alias("m"))
+    drawn = F.when(F.col("draw") > 0, F.col("m"))
+    ends = medians.groupBy("by").agg(F.max(F.when(F.col("draw") == 0, F.col("m"))).alias("median"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
+    return ends.select(F.col("by").alias(by), *[F.round(F.col(k) + 1e-9, 4).alias(k) for k in ("median", "low", "high")])

@@ -70,3 +70,22 @@ def test_unknown_is_priced_and_never_raises_the_floor(spark):
     assert got["low"] <= scoring.overall(scoring.rollup(spark.createDataFrame(known, "r int, aspect string, score double, state string"), ["r"]), ["r"]).first()["low"]
     letters = spark.range(1).select(scoring.letter(F.lit(4.9), [(F.lit(None), 0.0, 0.1)]).alias("x"), scoring.letter(F.lit(4.9)).alias("y")).first()
     assert tuple(letters) == ("B", "A+")
+
+
+def test_pairs_of_commits_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    from strataloom.operators import history
+
+    rows = spark.range(600).selectExpr("id div 6 c", "id % 11 p")
+    monkeypatch.setattr(history, "COUNTED", 50)
+    got = history.coupling(rows, "c", "p", support=1, confidence=0.0)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+    assert sum(r["co_changes"] for r in got.collect()) == 100 * 15
+
+
+def test_a_bootstrap_sends_no_picks_to_every_task(spark):
+    from strataloom.operators import stats
+
+    rows = spark.range(300).selectExpr("id % 2 g", "cast(id * 7 % 31 as double) v")
+    got = stats.bootstrap_median(rows, "g", "v", draws=5)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 2
