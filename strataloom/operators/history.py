@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
+#: Pairs that one task counts.
+COUNTED = 2_000_000
+
 
 def churn(touches: DataFrame, path: str, author: str, added: str) -> DataFrame:
     """(path, commits, added, authors): one row for each path. A path that a commit lists twice counts twice. One shuffle, pre-aggregated."""
@@ -21,13 +26,17 @@ def coupling(touches: DataFrame, commit: str, path: str, most_files: int = 30, s
     """(a, b, co_changes, confidence): paths that change together.
 
     Commits of more than ``most_files`` distinct paths are left out before anything is paired, which bounds the pairs
-    of a commit; ``confidence`` is over the smaller number of commits that touch one of the two.
+    of a commit, and their number says how many tasks count them; ``confidence`` is over the smaller number of commits that touch one of the two.
     """
     own = touches.select(F.col(commit).alias("commit"), F.col(path).alias("path")).distinct()
     few = own.groupBy("commit").agg(F.count("*").alias("n")).filter(F.col("n") <= most_files).select("commit")
     small = own.join(few, "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("paths"))  # ``most_files`` paths at most
+    small = staged(small, "commits")
+    # Pairs are nearly all distinct on one side of a shuffle, so they are dealt to as many tasks as they need before any are counted.
+    total = small.agg(F.sum(F.size("paths") * (F.size("paths") - 1) / 2)).first()[0] or 0
+    parts = max(int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // COUNTED) + 1)
     pairs = small.select(F.explode(F.flatten(F.transform("paths", lambda x: F.transform(F.filter("paths", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
-    both = pairs.groupBy("a", "b").agg(F.count("*").alias("co_changes")).filter(F.col("co_changes") >= support)
+    both = pairs.repartition(parts, "a", "b").groupBy("a", "b").agg(F.count("*").alias("co_changes")).filter(F.col("co_changes") >= support)
     touched = small.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
     out = both.join(touched.withColumnsRenamed({"path": "a", "n": "na"}), "a").join(touched.withColumnsRenamed({"path": "b", "n": "nb"}), "b")
     out = out.withColumn("confidence", F.col("co_changes") / F.least("na", "nb")).filter(F.col("confidence") >= confidence)

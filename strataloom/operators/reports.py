@@ -176,7 +176,7 @@ def tracks(findings: DataFrame, by: str, tiers: tuple[tuple[str, ...], ...] = TR
     none begins a track; tracks are numbered from 0 on in each series, those of a scan by path, line, fingerprint and rule. Repeated rows are
     findings of their own; rows without a scan are left out; a null series is one of its own; no rows give none.
 
-    Every step is joins and windows on keys of a file; what a scan leaves is written, so a lost executor costs one step.
+    Every step is joins and windows on keys of a file, of which no side goes to all tasks by way of the driver; what a scan leaves is written, so a lost executor costs one step.
     """
     kept = ["fingerprint", "rule", "path", "line"]
     rows = findings.filter("scan is not null").select(F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")).alias("_by"), F.col("scan").cast("long").alias("scan"), "fingerprint", "rule", "path", F.col("line").cast("long").alias("line"))
@@ -191,7 +191,7 @@ def tracks(findings: DataFrame, by: str, tiers: tuple[tuple[str, ...], ...] = TR
         w = Window.partitionBy("_by", *keys)
         a = here.filter(present).withColumn("_n", F.row_number().over(w.orderBy("line", "fingerprint", "id"))).select("_by", *keys, "_n", "id")
         b = free.filter(present).withColumn("_n", F.row_number().over(w.orderBy("line", "fingerprint", "track"))).select("_by", *keys, "_n", "track")
-        return a.join(b, ["_by", *keys, "_n"]).select("_by", "id", "track")
+        return a.join(b.hint("merge"), ["_by", *keys, "_n"]).select("_by", "id", "track")
 
     for no in range(1, (place.agg(F.max("no")).first()[0] or 0) + 1):
         ordered = stats.numbered(held.filter(F.col("no") == no).select("_by", "scan", *kept, F.struct("_by", "path", "line", "fingerprint", "rule").alias("_order")), "_order", "id").drop("_order")
@@ -199,15 +199,15 @@ def tracks(findings: DataFrame, by: str, tiers: tuple[tuple[str, ...], ...] = TR
         left, free, taken = here, state, None
         for keys in tiers:
             hit = staged(pairs(left, free, keys), "taken")
-            left, free = left.join(hit, ["_by", "id"], "left_anti"), free.join(hit, ["_by", "track"], "left_anti")
+            left, free = left.join(hit.hint("merge"), ["_by", "id"], "left_anti"), free.join(hit.hint("merge"), ["_by", "track"], "left_anti")
             taken = hit if taken is None else taken.unionByName(hit)
         begun = left.select("_by", "id", F.struct("_by", "id").alias("_order"))
         begun = stats.numbered(begun, "_order", "_g")
         first = begun.groupBy("_by").agg(F.min("_g").alias("_first"))
         size = state.groupBy("_by").agg(F.count("*").alias("_size"))
         fresh = begun.join(first, "_by").join(size, "_by", "left").select("_by", "id", (F.coalesce("_size", F.lit(0)) + F.col("_g") - F.col("_first")).alias("track"))
-        now = staged(here.join(taken.unionByName(fresh), ["_by", "id"]).select("_by", "scan", "track", *kept), "now")
-        ahead = staged(state.join(now, ["_by", "track"], "left_anti").unionByName(now.drop("scan")), "tracks")
+        now = staged(here.join(taken.unionByName(fresh).hint("merge"), ["_by", "id"]).select("_by", "scan", "track", *kept), "now")
+        ahead = staged(state.join(now.hint("merge"), ["_by", "track"], "left_anti").unionByName(now.drop("scan")), "tracks")
         for x in (state, here):
             unstaged(x)
         state = ahead
