@@ -47,3 +47,13 @@ def test_latest_keeps_the_last_two_records(spark, tmp_path):
         got = findings.latest(spark.readStream.schema(schema).parquet(folder), base)
     assert sorted(map(tuple, got.select("series", "name", "place", "before", "value", "records").collect())) == [("s", "n", "04", 5.0, 4.0, 3), ("t", "n", "03", None, 0.5, 3)]
     assert [tuple(r) for r in findings.live_ratchet(got, 0.5).collect()] == [("s", "n", 5.0, 4.0)]
+
+
+def test_states_are_tables_and_no_key_is_worked_on_by_itself(spark, tmp_path):
+    folder, base = f"file://{tmp_path}/log", f"file://{tmp_path}/base"
+    for turn in range(2):
+        spark.range(500).selectExpr("cast(id as string) series", f"cast({turn} + 1 as long) scan", "array('x', 'y') findings").write.mode("append").parquet(folder)
+        found = findings.presence(spark.readStream.schema("series string, scan long, findings array<string>").parquet(folder), base)
+        assert {tuple(r) for r in found.select("seen", "last", "returned").collect()} == {(turn + 1, turn + 1, 0)}
+    assert found.count() == 1000
+    assert not (tmp_path / "base" / "state" / "state").exists()
