@@ -215,6 +215,20 @@ def test_lines_within_the_edit_bound_are_found_at_the_defaults(spark, part, leas
     assert all(i % 2 for i in got) and len(got) >= least * len(base)
 
 
+def test_no_pair_within_the_edit_bound_is_left_out(spark, monkeypatch):
+    """Each tenth character replaced: words, and so sketches, have next to nothing in common. Tiles of a few lines, and lines that are too far by one edit."""
+    monkeypatch.setattr(lines, "TILE", 16)
+    rng = np.random.default_rng(13)
+    base = [random_line(rng, int(rng.integers(3, 60))) for _ in range(60)] + [random_line(rng, 130)]
+    at = lambda x, n: "".join("z" if k % 10 == 4 and k // 10 < n and c != " " else c for k, c in enumerate(x))
+    spoilt = [at(x, len(x) // 10) for x in base]
+    bound = [sum(a != b for a, b in zip(x, y)) for x, y in zip(base, spoilt)]
+    beyond = [x[:-1].rstrip() + "".join("yw"[k % 2] for k in range(len(x) // 8 + 2)) for x in base]
+    rows = [(3 * i + k, t) for i, three in enumerate(zip(base, spoilt, beyond)) for k, t in enumerate(three)]
+    got = [r["doc_id"] for r in lines.line_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_dropped"]]
+    assert sorted(got) == [3 * i + 1 for i, n in enumerate(bound) if n] and sum(bound) > 400
+
+
 @pytest.mark.parametrize("distance", [None, 3])
 def test_short_lines_are_dropped_as_equals_alone(spark, distance):
     rows = [(1, "Ietzte\nand ornd\n \n--\n漢字文章"), (2, "ietzte!\nand ornt\n \n--\n漢字文章。"), (3, "ietzta\nAND ornd")]
