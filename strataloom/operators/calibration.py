@@ -1,7 +1,7 @@
 """The constant of the curve from a corpus of projects, and how far it moves when the corpus is drawn again: weighted resamples, all fitted in lockstep.
 
 A corpus is one summary row a project (``scorecard``). Every fit is a bisection on the median overall score of its
-resample; one pass serves all resamples and four steps of each.
+resample; one pass serves all resamples and some steps of each, and scores only the rows that still change between them.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ PLATEAU, STRIDE = 80, 0.001
 LEAST_CORPUS = 8
 UNIT = "policy_gates"
 
-#: Steps of a bisection that one pass answers: it looks at every middle they may come to. Divides STEPS.
-DEPTH = 5
+#: Steps of a bisection that each pass answers: it looks at every middle they may come to. Few while the span is wide and
+#: most rows still change in it, many when few do.
+DEPTHS = (2, 2, 2, 2, 2, 5, 5, 5, 5, 5, 5)
+#: Passes after which nearly every row still changes in the span, so that looking for those that don't would not pay.
+WIDE = 4
+assert sum(DEPTHS) == STEPS
 
 
 def resample(projects: DataFrame, key: str, draws: int, seed: int = 7) -> DataFrame:
@@ -67,18 +71,24 @@ def references_of(rows: DataFrame, by: str = "draw", weight: str = "w") -> DataF
     return found.withColumn(f"r_{UNIT}", F.lit(sc.REFERENCES[UNIT]))
 
 
-#: (low, high) halved downwards or upwards; the middles that DEPTH halvings may come to, as a heap whose place h is followed by 2 h downwards and 2 h + 1 upwards.
 _MID = "(x.low + x.high) / 2"
-_MIDDLES = f"""transform(sequence(1, {(1 << DEPTH) - 1}), h -> aggregate(slice(split(bin(h), ''), 2, 64), struct(low, high),
+
+
+def _middles(depth: int) -> str:
+    """(low, high) halved downwards or upwards; the middles that so many halvings may come to, as a heap whose place h is followed by 2 h downwards and 2 h + 1 upwards."""
+    return f"""transform(sequence(1, {(1 << depth) - 1}), h -> aggregate(slice(split(bin(h), ''), 2, 64), struct(low, high),
     (x, up) -> if(up = '1', struct({_MID} as low, x.high as high), struct(x.low as low, {_MID} as high)), x -> {_MID}))"""
-#: Where the heap ``k`` leads to, by whether the median at each of its places is ``below`` the target.
-_DESCENDED = f"""aggregate(sequence(1, {DEPTH}), struct(1 as h, low, high),
+
+
+def _descended(depth: int) -> str:
+    """Where the heap ``k`` leads to, by whether the median at each of its places is ``below`` the target."""
+    return f"""aggregate(sequence(1, {depth}), struct(1 as h, low, high),
     (x, _) -> if(below[x.h - 1], struct(2 * x.h + 1 as h, k[x.h - 1] as low, x.high as high), struct(2 * x.h as h, x.low as low, k[x.h - 1] as high)), x -> struct(x.low, x.high))"""
 
 
 def _median_tenths(scored: DataFrame) -> DataFrame:
-    """(draw, slot, m20): twice the weighted median of the scores in tenths, of which there are 51 at most."""
-    counts = scored.groupBy("draw", "slot", F.round(F.col("s") * 10).cast("int").alias("t")).agg(F.sum("w").alias("w"))
+    """(draw, slot, m20) of (draw, slot, t, w): twice the weighted median of the scores in tenths, of which there are 51 at most."""
+    counts = scored.groupBy("draw", "slot", "t").agg(F.sum("w").alias("w"))
     w = Window.partitionBy("draw", "slot")
     upto = counts.select("draw", "slot", "t", F.sum("w").over(w.orderBy("t")).alias("upto"), F.sum("w").over(w).alias("n"))
     ends = [F.min(F.when(F.col("upto") * 2 >= F.col("n"), F.col("t"))), F.min(F.when(F.col("upto") * 2 > F.col("n"), F.col("t")))]
@@ -95,15 +105,17 @@ def _settled() -> list[Column]:
     return out
 
 
-def _overall_at(rows: DataFrame) -> DataFrame:
-    """(draw, slot, w, s): the overall score under the constant k of the curve, over q_<pressure>, f_<category>, t_<category> and cap."""
+def _tenths(rows: DataFrame, **at: Column) -> DataFrame:
+    """``rows`` with a column for each of ``at``: ten times the overall score under that constant of the curve, over q_<pressure>, f_<category>, t_<category> and cap."""
     shown = lambda v: F.round(F.greatest(F.lit(0.0), F.least(F.lit(5.0), v)) + HALF, 1)  # noqa: E731  the one rounding of scores, of what is never null
-    k, means = F.col("k"), {}
-    for c, own in CATEGORIES.items():
-        means[c] = sum((F.col(f"a_{a}") * w for a, w in own.items() if a in sc.REFERENCES), F.col(f"f_{c}")) / F.col(f"t_{c}")
-    means["testability"] = F.least(means["testability"], F.col("cap"))
-    curves = rows.select("draw", "slot", "w", "cap", *[f"{x}_{c}" for c in CATEGORIES for x in "ft"], *[F.when(F.col(f"q_{a}").isNull(), UNKNOWN).otherwise(shown(5 * k / (F.col(f"q_{a}") + k))).alias(f"a_{a}") for a in sc.REFERENCES])
-    return curves.select("draw", "slot", "w", shown(sum((shown(v) for v in means.values()), F.lit(0.0)) / len(means)).alias("s"))
+    curve = lambda a, k: F.when(F.col(f"q_{a}").isNull(), UNKNOWN).otherwise(shown(5 * k / (F.col(f"q_{a}") + k)))
+    curves = rows.select("*", *[curve(a, k).alias(f"{x}_a_{a}") for a in sc.REFERENCES for x, k in at.items()])
+    out = []
+    for x in at:
+        means = {c: sum((F.col(f"{x}_a_{a}") * w for a, w in own.items() if a in sc.REFERENCES), F.col(f"f_{c}")) / F.col(f"t_{c}") for c, own in CATEGORIES.items()}
+        means["testability"] = F.least(means["testability"], F.col("cap"))
+        out.append(F.round(shown(sum((shown(v) for v in means.values()), F.lit(0.0)) / len(means)) * 10).cast("int").alias(x))
+    return curves.select(*[f"`{c}`" for c in rows.columns], *out)
 
 
 def fit_constants(rows: DataFrame, target: float = 4.0) -> DataFrame:
@@ -121,21 +133,42 @@ def fit_constants(rows: DataFrame, target: float = 4.0) -> DataFrame:
     enough = corpus.groupBy("draw").agg(F.sum("w").alias("n")).filter(F.col("n") >= LEAST_CORPUS)
     state = staged(enough.select("draw", "n", F.lit(LOW).alias("low"), F.lit(HIGH).alias("high")), "bounds")
 
-    def medians(points: DataFrame) -> DataFrame:
+    # A score never falls as the constant grows. So a row whose score is the same at both ends of its draw's span has it
+    # all over the span: it goes into the counts for good, and only the others are scored at every middle.
+    rising = [F.coalesce(F.col(f"q_{k}") >= 0, F.lit(True)) for k in sc.REFERENCES]
+
+    def settled(rows: DataFrame, counts: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows that still change within the ``spans`` (draw, low, high), and ``counts`` (draw, t, w) with those that don't."""
+        ends = _tenths(rows.join(F.broadcast(spans.select("draw", "low", "high")), "draw"), _u=F.col("low"), _v=F.col("high"))
+        same = F.col("_u") == F.col("_v")
+        for x in rising:
+            same = same & x
+        held = staged(ends.withColumn("_same", F.coalesce(same, F.lit(False))).drop("low", "high"), "ends")
+        done = held.filter("_same").groupBy("draw", F.col("_u").alias("t")).agg(F.sum("w").alias("w"))
+        return held.filter("not _same").drop("_u", "_v", "_same"), staged(counts.union(done), "counts")
+
+    def medians(rows: DataFrame, counts: DataFrame, points: DataFrame) -> DataFrame:
         """``points``: (draw, slot, k), some for each draw, whose number is a parameter."""
-        at = corpus.join(F.broadcast(points), "draw")
-        return _median_tenths(_overall_at(at))
+        at = _tenths(rows.join(F.broadcast(points), "draw"), t=F.col("k")).groupBy("draw", "slot", "t").agg(F.sum("w").alias("w"))
+        return _median_tenths(at.union(counts.join(F.broadcast(points), "draw").select("draw", "slot", "t", "w")))
 
     goal = target * 20
-    for _ in range(STEPS // DEPTH):
-        heap = state.select("draw", "n", "low", "high", F.expr(_MIDDLES).alias("k"))
-        below = medians(heap.select("draw", F.posexplode("k").alias("slot", "k"))).groupBy("draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "m20"))), lambda x: x["m20"] < goal - HALF).alias("below"))
-        ahead = staged(heap.join(below, "draw").select("draw", "n", F.expr(_DESCENDED).alias("x")).select("draw", "n", "x.*"), "bounds")
-        unstaged(state)
-        state = ahead
+    none = corpus.groupBy("draw").agg(F.lit(0).alias("t"), F.sum("w").alias("w")).filter("false")
+    rows, counts = corpus, none
+    for turn, depth in enumerate(DEPTHS):
+        heap = state.select("draw", "n", "low", "high", F.expr(_middles(depth)).alias("k"))
+        below = medians(rows, counts, heap.select("draw", F.posexplode("k").alias("slot", "k"))).groupBy("draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "m20"))), lambda x: x["m20"] < goal - HALF).alias("below"))
+        state = staged(heap.join(below, "draw").select("draw", "n", F.expr(_descended(depth)).alias("x")).select("draw", "n", "x.*"), "bounds")
+        if turn >= WIDE:
+            rows, counts = settled(rows, counts, state)
     fitted = state.select("draw", "n", ((F.col("low") + F.col("high")) / 2).alias("end"))
     strides = F.transform(F.sequence(F.lit(-PLATEAU), F.lit(PLATEAU)), lambda i: F.col("end") + i * STRIDE)
-    flat = medians(fitted.select("draw", F.posexplode(strides).alias("slot", "k"))).filter(F.abs(F.col("m20") - goal) < HALF)
+    points = fitted.select("draw", F.posexplode(strides).alias("slot", "k"))
+    # A draw that ends near 0 has constants below it, where scores need not rise: its rows are all scored.
+    spans = points.groupBy("draw").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    wide = spans.select("draw", F.when(F.col("low") > 0, F.col("low")).alias("low"), "high")
+    rows, counts = settled(corpus, none, wide)
+    flat = medians(rows, counts, points).filter(F.abs(F.col("m20") - goal) < HALF)
     edges = flat.groupBy("draw").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
     near = lambda slot: F.round(F.col("end") + (F.col(slot) - PLATEAU) * STRIDE + HALF, 4)
     constant = F.coalesce(F.round((near("a") + near("b")) / 2 + HALF, 4), F.round(F.col("end") + HALF, 4))

@@ -73,3 +73,17 @@ def test_small_corpora_have_no_constant(spark):
     assert calibration.interval(few).first()["low"] is None
     assert calibration.refits(corpus(spark, 5).limit(0), "repo", 2).count() == 0
     assert calibration.curve_constant(corpus(spark, 5)) is None
+
+
+def test_rows_that_no_longer_change_are_not_scored_again(spark, monkeypatch):
+    scored, real = [], calibration._tenths
+
+    def spy(rows, **at):
+        if "t" in at:
+            scored.append(rows.filter("slot = 1").count())
+        return real(rows, **at)
+
+    monkeypatch.setattr(calibration, "_tenths", spy)
+    fits = calibration.refits(corpus(spark, 40), "repo", 2)
+    assert fits.count() == 3 and len(scored) == len(calibration.DEPTHS) + 1
+    assert scored[0] > 60 and scored[-2] * 10 < scored[0] > scored[-1]
